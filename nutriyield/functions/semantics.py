@@ -105,7 +105,7 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def sig(c, digits: int = 10) -> Column:
+def sig(c, digits: int = 8) -> Column:
     """Snap a double to ``digits`` significant digits (half-even).
 
     Sums over shuffled partitions differ in the last bits; snapping makes results
@@ -142,7 +142,7 @@ def numeric_cols(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in ex]
 
 
-def snap_doubles(df: DataFrame, digits: int = 10) -> DataFrame:
+def snap_doubles(df: DataFrame, digits: int = 8) -> DataFrame:
     """Apply :func:`sig` to every double column (report boundary only)."""
     return df.withColumns({f.name: sig(f.name, digits) for f in df.schema.fields
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))})

@@ -84,28 +84,33 @@ def _pop(i: Inputs):
     return i.population
 
 
-def _supply_sql() -> dict:
+def _supply_sql(src: str = "adj", p: str = "") -> dict:
+    """Mean annual supply and population supplied, CTE names prefixed by ``p``."""
     ys = ", ".join(str(y) for y in D.SUPPLY_YEARS)
     lo, hi = min(D.SUPPLY_YEARS), max(D.SUPPLY_YEARS) + 1
     cols = ["catch"] + NUT
     return {
-        "s_month": "SELECT region, date_bin_start, year(date_bin_start) AS year, "
-                   + ", ".join(f"{O.strict(c)} AS {c}" for c in cols)
-                   + f" FROM adj WHERE date_bin_start >= DATE '{lo}-01-01' AND date_bin_start < DATE '{hi}-01-01'"
-                     " GROUP BY region, date_bin_start",
-        "s_year": "SELECT year, region, " + ", ".join(f"coalesce(sum({c}), 0.0) AS {c}" for c in cols)
-                  + f" FROM s_month WHERE year IN ({ys}) GROUP BY year, region",
-        "s_mean": "SELECT region, avg(catch) / 1000.0 AS catch, " + ", ".join(f"avg({c}) AS {c}" for c in NUT)
-                  + " FROM s_year GROUP BY region",
-        "supply": "SELECT * FROM s_mean UNION ALL SELECT 'National', "
-                  + ", ".join(f"coalesce(sum({c}), 0.0)" for c in cols) + " FROM s_mean",
-        "supplied0": "SELECT s.region, "
-                     + " + ".join(f"coalesce(s.{n} / (SELECT conv_factor FROM rdi WHERE nutrient = '{n}'), 0.0)"
-                                  for n in NUT6)
-                     + " AS total, p.population FROM supply s LEFT JOIN population p ON s.region = p.region",
-        "supplied": "SELECT region, CAST(CASE WHEN region = 'National' THEN (SELECT sum(population) FROM supplied0)"
-                    " ELSE population END AS BIGINT) AS population, total FROM supplied0",
-        "supplied2": f"SELECT region, population, total, {O.dv('total', 'population')} * 100.0 AS perc FROM supplied",
+        f"{p}s_month": "SELECT region, date_bin_start, year(date_bin_start) AS year, "
+                       + ", ".join(f"{O.strict(c)} AS {c}" for c in cols)
+                       + f" FROM {src} WHERE date_bin_start >= DATE '{lo}-01-01' AND date_bin_start < DATE '{hi}-01-01'"
+                         " GROUP BY region, date_bin_start",
+        f"{p}s_year": "SELECT year, region, " + ", ".join(f"coalesce(sum({c}), 0.0) AS {c}" for c in cols)
+                      + f" FROM {p}s_month WHERE year IN ({ys}) GROUP BY year, region",
+        f"{p}s_mean": "SELECT region, avg(catch) / 1000.0 AS catch, " + ", ".join(f"avg({c}) AS {c}" for c in NUT)
+                      + f" FROM {p}s_year GROUP BY region",
+        f"{p}supply": f"SELECT * FROM {p}s_mean UNION ALL SELECT 'National', "
+                      + ", ".join(f"coalesce(sum({c}), 0.0)" for c in cols) + f" FROM {p}s_mean",
+        f"{p}supplied0": "SELECT s.region, "
+                         + " + ".join(f"coalesce(s.{n} / (SELECT conv_factor FROM rdi WHERE nutrient = '{n}'), 0.0)"
+                                      for n in NUT6)
+                         + f" AS total, p.population FROM {p}supply s LEFT JOIN population p ON s.region = p.region",
+        f"{p}supplied": "SELECT region, CAST(CASE WHEN region = 'National' THEN "
+                        f"(SELECT sum(population) FROM {p}supplied0) ELSE population END AS BIGINT) AS population, "
+                        f"total FROM {p}supplied0",
+        f"{p}supplied2": f"SELECT region, population, total, {O.dv('total', 'population')} * 100.0 AS perc "
+                         f"FROM {p}supplied",
+        f"{p}map": f"SELECT s.region AS area, s.catch AS annual_catch, x.perc AS WRA FROM {p}supply s "
+                   f"LEFT JOIN {p}supplied2 x ON s.region = x.region",
     }
 
 
@@ -125,9 +130,8 @@ def _supplied(i: Inputs):
     return S.population_supplied(sup, i.rdi, i.population)
 
 
-@register("dom_map_data", O.with_base(O.snap_select(
-    "SELECT s.region AS area, s.catch AS annual_catch, p.perc AS WRA FROM supply s "
-    "LEFT JOIN supplied2 p ON s.region = p.region", ["annual_catch", "WRA"], ["area"]), _supply_sql()))
+@register("dom_map_data", O.with_base(O.snap_select("SELECT * FROM map", ["annual_catch", "WRA"], ["area"]),
+                                      _supply_sql()))
 def _map_data(i: Inputs):
     """DOM-11 tail: (area, annual_catch, WRA %) map table."""
     sup = S.mean_annual_supply(i.region_stats_adj, D.SUPPLY_YEARS)
@@ -206,3 +210,7 @@ KOBO_COLS = ["landing_id", "landing_period", "reporting_region", "landing_date",
 def _kobo(i: Inputs):
     """DOM-6: per-trip catch and nutrient yield (two-level unnest, strict sums)."""
     return i.kobo_trips
+
+
+# further registrations (density, economics, flows, profiles, statistics, models)
+from nutriyield.plans import catalog_domain  # noqa: E402,F401

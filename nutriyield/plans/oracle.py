@@ -3,7 +3,7 @@
 Each query is a ``WITH`` block over the driver views.  The derivations of the
 domain inputs mirror ``nutriyield.sources.driver`` rule by rule; the operator
 logic is written the plain SQL way (flat joins, GROUP BY, UNION ALL) rather than
-following the Spark code.  Doubles in the final SELECT are snapped to 10
+following the Spark code.  Doubles in the final SELECT are snapped to 8
 significant digits, like ``snap_doubles`` on the Spark side.
 """
 
@@ -31,7 +31,7 @@ def strict(x: str) -> str:
     return f"CASE WHEN count({x}) = count(*) THEN sum({x}) END"
 
 
-def snap(x: str, digits: int = 10) -> str:
+def snap(x: str, digits: int = 8) -> str:
     """Same exact steps as ``functions.sig``: scale by a power of ten, rint, unscale."""
     v = f"CAST({x} AS DOUBLE)"
     k = f"({digits - 1} - floor(log10(abs({v}))))"
