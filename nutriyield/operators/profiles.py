@@ -43,15 +43,17 @@ def _r_number(c) -> Column:
     return F.when(c == F.floor(c), F.floor(c).cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def model_frame(clustered: DataFrame, gill_net: bool = True) -> DataFrame:
-    """Model table: interaction column, predictors and the cluster label as strings."""
+def model_frame(clustered: DataFrame, gill_net: bool = True, keep=()) -> DataFrame:
+    """Model table: interaction column, predictors and the cluster label as strings.
+
+    ``keep`` carries id columns along (an ID role, not a predictor)."""
     if gill_net:
         return clustered.select(
-            F.col("quarter").cast("string").alias("quarter"), "habitat",
+            *keep, F.col("quarter").cast("string").alias("quarter"), "habitat",
             paste("habitat", _r_number("mesh_size"), sep="_").alias("habitat_mesh"),
             "mesh_size", "vessel_type", F.col("clusters").alias("cluster"))
     return clustered.select(
-        F.col("quarter").cast("string").alias("quarter"),
+        *keep, F.col("quarter").cast("string").alias("quarter"),
         paste("habitat", "gear_type", sep="_").alias("habitat_gear"),
         "habitat", "gear_type", "vessel_type", F.col("clusters").alias("cluster"))
 

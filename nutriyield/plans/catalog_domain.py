@@ -537,3 +537,5 @@ def _perm_report(i: Inputs):
 
 
 __all__ = ["sig"]
+
+from nutriyield.plans import catalog_models  # noqa: E402,F401
