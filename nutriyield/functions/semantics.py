@@ -46,6 +46,12 @@ def median_na_rm(c) -> Column:
     return F.median(_c(c))
 
 
+def n_distinct_r(c) -> Column:
+    """``length(unique(x))``: distinct values with NULL counted as one value."""
+    c = _c(c)
+    return F.count_distinct(c) + F.max(c.isNull().cast("int"))
+
+
 def first_by(value, order) -> Column:
     """Deterministic ``first(x)``: the value at the smallest ``order`` key.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nutriyield.functions import n_distinct_r
 from nutriyield.operators.composition import rename_nutrients
 from nutriyield.operators.trips import catch_rows
 from nutriyield.operators.verbs import with_scalars
@@ -31,7 +32,7 @@ def single_catch_trips(catch_data: DataFrame, taxa: DataFrame | None = None,
           .select("landing_id", "landing_value", F.col("__rows")[0].alias("__r"))
           .select("landing_id", "landing_value", "__r.*"))
     if with_share:
-        tot = df.agg(F.countDistinct("landing_id").alias("__tot"))
+        tot = df.agg(n_distinct_r("landing_id").alias("__tot"))
         share = (df.groupBy("catch_taxon").agg(F.count(F.lit(1)).alias("__k")))
         share = with_scalars(share, tot).select("catch_taxon", (F.col("__k") / F.col("__tot") * 100.0)
                                                 .alias("catch_percent"))

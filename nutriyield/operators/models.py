@@ -154,6 +154,12 @@ class ProfileClassifier:
         prep = Pipeline(stages=_feature_stages(self.cat_cols, self.num_cols)).fit(train)
         x = prep.transform(train)
         self.prep = prep
+        attrs = x.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+        names = {}
+        for group in attrs.values():
+            for a in group:
+                names[a["idx"]] = a["name"]
+        self.feature_names = [names.get(j, f"f{j}") for j in range(len(names))]
         if self.kind == "rf":
             from pyspark.ml.feature import StringIndexer
             self.lab_idx = StringIndexer(inputCol=self.label, outputCol="__y", stringOrderType="alphabetAsc").fit(x)
@@ -187,17 +193,12 @@ class ProfileClassifier:
 
     def feature_importance(self) -> list[tuple[str, float]]:
         """(encoded feature, importance), averaged over the per-class models."""
-        names = []
-        for c in self.cat_cols:
-            labels = [s.labels for s in self.prep.stages if getattr(s, "getOutputCol", lambda: "")() == f"{c}__idx"][0]
-            names += [f"{c}{lv}" for lv in labels] + [f"{c}__invalid"]
-        names += self.num_cols
-        acc = [0.0] * len(names)
+        acc = [0.0] * len(self.feature_names)
         for m in self.models:
-            imp = m.featureImportances.toArray()
-            for i, v in enumerate(imp):
-                acc[i] += float(v) / len(self.models)
-        return list(zip(names, acc))
+            for j, v in enumerate(m.featureImportances.toArray()):
+                if j < len(acc):
+                    acc[j] += float(v) / len(self.models)
+        return list(zip(self.feature_names, acc))
 
 
 def lhs_grid(n: int = 20, seed: int = 42, n_features: int = 5) -> list[dict]:
@@ -236,8 +237,9 @@ def tune(train: DataFrame, folds_col: str, make, grid: Sequence[dict], label: st
             tr = train.where(F.col(folds_col) != f)
             te = train.where(F.col(folds_col) == f)
             model = make(params).fit(tr)
-            pred = model.transform(te)
+            pred = model.transform(te).persist()  # scored once, read by every class pair
             aucs.append(roc_auc_hand_till(pred, label, model.classes).first()["estimate"])
+            pred.unpersist()
         results.append((gi, float(sum(a for a in aucs if a is not None) / max(1, len(aucs)))))
     best = max(results, key=lambda r: r[1])
     return grid[best[0]], results

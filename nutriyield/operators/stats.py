@@ -263,9 +263,10 @@ def drop_cooks_outliers(df: DataFrame, key: str, x: str, y: str, factor: float =
     j = j.withColumn("__e", e)
     sse = j.groupBy(key).agg(F.sum(F.col("__e") * F.col("__e")).alias("__sse"))
     j = j.join(sse, key)
-    h = F.lit(1.0) / F.col("__n") + (F.col(x) - F.col("__xbar")) ** 2 / F.col("__sxx")
+    dx = F.col(x) - F.col("__xbar")
+    h = F.lit(1.0) / F.col("__n") + (dx * dx) / F.col("__sxx")
     s2 = F.col("__sse") / (F.col("__n") - 2)
-    d = F.try_divide(F.col("__e") ** 2, 2 * s2) * F.try_divide(h, (1 - h) ** 2)
+    d = F.try_divide(F.col("__e") * F.col("__e"), 2 * s2) * F.try_divide(h, (1 - h) * (1 - h))
     j = j.withColumn("__d", d)
     mean_d = j.agg(F.avg("__d").alias("__md"))
     j = with_scalars(j, mean_d)

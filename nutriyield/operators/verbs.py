@@ -225,3 +225,23 @@ def exact_median_by(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str
     out = agg.select(*g, med.alias("__med"))
     wide = out.groupBy(*keys).agg(*[F.max(F.when(F.col("var") == c, F.col("__med"))).alias(c) for c in value_cols])
     return wide
+
+
+def level_order(df: DataFrame, level: str, measure: str, out: str | None = None) -> DataFrame:
+    """``reorder(level, measure)``: 1-based rank of each level by the mean of
+    ``measure`` (ties by level).  Level means are one aggregate; the rank window
+    runs over the distinct levels only."""
+    out = out or f"{level}_order"
+    means = df.groupBy(level).agg(F.avg(measure).alias("__m"))
+    ranked = means.withColumn(out, F.row_number().over(Window.orderBy(F.col("__m").asc_nulls_last(),
+                                                                      F.col(level)))).drop("__m")
+    return df.join(ranked, df[level].eqNullSafe(ranked[level]), "left").drop(ranked[level])
+
+
+def separate(df: DataFrame, col: str, into: Sequence[str], sep: str = "_") -> DataFrame:
+    """``tidyr::separate``: split a string column on a literal separator into
+    columns; missing pieces are NULL and extra pieces are dropped."""
+    import re
+    parts = F.split(F.col(col), re.escape(sep))
+    return df.select(*[c for c in df.columns if c != col],
+                     *[F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(into)])

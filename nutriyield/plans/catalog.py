@@ -38,6 +38,15 @@ def register(name: str, sql: str | None = None):
 
 NUT_MU, NUT, NUT6 = L.NUTRIENTS_MU, L.NUTRIENTS, L.NUTRIENTS_NO_SE
 
+
+def _supply_window(i: Inputs) -> Inputs:
+    """Supply tables only read the supply years: push that window to the scan."""
+    return i.window(f"{min(D.SUPPLY_YEARS)}-01-01", f"{max(D.SUPPLY_YEARS) + 1}-01-01")
+
+
+def _summary_window(i: Inputs) -> Inputs:
+    return i.window(f"{D.SUMMARY_YEAR}-01-01", f"{D.SUMMARY_YEAR + 1}-01-01")
+
 # ============================================================ composition (DOM-1..3)
 
 
@@ -118,6 +127,7 @@ def _supply_sql(src: str = "adj", p: str = "") -> dict:
                                                 _supply_sql()))
 def _supply(i: Inputs):
     """DOM-10: mean annual supply per region over three years, plus National."""
+    i = _supply_window(i)
     return S.mean_annual_supply(i.region_stats_adj, D.SUPPLY_YEARS)
 
 
@@ -126,6 +136,7 @@ def _supply(i: Inputs):
     ["total", "number_of_people", "perc"], ["region", "population"]), _supply_sql()))
 def _supplied(i: Inputs):
     """DOM-11: women supplied per region and share of the population."""
+    i = _supply_window(i)
     sup = S.mean_annual_supply(i.region_stats_adj, D.SUPPLY_YEARS)
     return S.population_supplied(sup, i.rdi, i.population)
 
@@ -134,6 +145,7 @@ def _supplied(i: Inputs):
                                       _supply_sql()))
 def _map_data(i: Inputs):
     """DOM-11 tail: (area, annual_catch, WRA %) map table."""
+    i = _supply_window(i)
     sup = S.mean_annual_supply(i.region_stats_adj, D.SUPPLY_YEARS)
     return S.map_data(sup, S.population_supplied(sup, i.rdi, i.population))
 
@@ -166,6 +178,7 @@ def _summary_sql(share: float = 0.2) -> dict:
     ["region", "nutrient"]), _summary_sql()))
 def _summary(i: Inputs):
     """DOM-12: annual supply, people supplied daily and % of population (20 % RDI)."""
+    i = _summary_window(i)
     return S.summary_table(i.region_stats_adj, i.population, i.rdi, D.SUMMARY_YEAR, 0.20)
 
 
@@ -185,6 +198,7 @@ def _wide_sql() -> dict:
     NUT6 + ["total"], ["region", "population"]), _wide_sql()))
 def _summary_wide(i: Inputs):
     """DOM-13: wide % of population per nutrient with total, region label stripped."""
+    i = _summary_window(i)
     tab = S.summary_table(i.region_stats_adj, i.population, i.rdi, D.SUMMARY_YEAR, 0.20)
     return S.summary_wide(tab, i.population)
 

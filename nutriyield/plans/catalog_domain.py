@@ -13,7 +13,7 @@ from nutriyield.operators import stats as ST
 from nutriyield.operators import supply as S
 from nutriyield.operators.verbs import sample_fraction
 from nutriyield.plans import oracle as O
-from nutriyield.plans.catalog import NUT, NUT6, NUT_MU, _supply_sql, register
+from nutriyield.plans.catalog import NUT, NUT6, NUT_MU, _supply_sql, _supply_window, register
 from nutriyield.plans.inputs import Inputs
 from nutriyield.sources import driver as D
 from nutriyield.sources import literals as L
@@ -319,6 +319,7 @@ def _map_sql() -> dict:
     "SELECT * FROM map_frame", ["annual_catch_tot", "WRA"], ["region", "geometry"]), _map_sql()))
 def _map_frame(i: Inputs):
     """DOM-25: regional map frame (adjusted WRA %, unadjusted catch, geometry)."""
+    i = _supply_window(i)
     adj = S.mean_annual_supply(i.region_stats_adj, D.SUPPLY_YEARS)
     tot = S.mean_annual_supply(i.region_stats, D.SUPPLY_YEARS)
     m_adj = S.map_data(adj, S.population_supplied(adj, i.rdi, i.population))
@@ -539,3 +540,4 @@ def _perm_report(i: Inputs):
 __all__ = ["sig"]
 
 from nutriyield.plans import catalog_models  # noqa: E402,F401
+from nutriyield.plans import catalog_extra  # noqa: E402,F401

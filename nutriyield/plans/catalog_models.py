@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nutriyield.operators import explain as EX
 from nutriyield.operators import models as M
 from nutriyield.operators import profiles as PR
+from nutriyield.operators.verbs import exact_median_by, separate
 from nutriyield.plans import oracle as O
 from nutriyield.plans.catalog import register
 from nutriyield.plans.catalog_domain import _clustered, _profile_sql
@@ -192,7 +193,7 @@ DEFAULT_PARAMS = {"trees": 20, "tree_depth": 4, "min_n": 2, "learn_rate": 0.1, "
 
 
 def _fit(i: Inputs, gn: bool, kind: str = "gbt"):
-    s = M.stratified_split(_frame(i, gn), "cluster", ["landing_id"], 0.8, 234)
+    s = M.stratified_split(_frame(i, gn), "cluster", ["landing_id"], 0.8, 234).persist()
     tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     cat, num = (GN_CAT, GN_NUM) if gn else (AG_CAT, AG_NUM)
     model = M.ProfileClassifier(cat, num, "cluster", kind, DEFAULT_PARAMS).fit(tr)
@@ -212,7 +213,7 @@ def _report(i: Inputs):
     per = {}
     for gn, name in ((True, "Gill nets"), (False, "Other gears")):
         model, _, te = _fit(i, gn)
-        pred = model.transform(te)
+        pred = model.transform(te).persist()  # read by every metric
         auc = M.roc_auc_hand_till(pred, "cluster", model.classes)
         mets = M.classification_metrics(M.confusion(pred, "cluster", model.classes))
         per[name] = auc.unionByName(mets)
@@ -240,13 +241,13 @@ def _importance(i: Inputs):
 def _tune(i: Inputs):
     """ML-12/13: Latin-hypercube grid, stratified folds, best mean Hand-Till AUC.
 
-    Registered with a small grid (4 points, trees <= 40, 3 folds) so the check
+    Registered with a small grid (2 points, trees <= 20, 2 folds) so the check
     stays quick; ``tune`` takes any grid and fold count."""
     s = M.stratified_split(_frame(i, True), "cluster", ["landing_id"], 0.8, 234).where(F.col("split") == "train")
-    tr = M.stratified_folds(s.drop("split"), "cluster", ["landing_id"], 3, 567).cache()
-    grid = M.lhs_grid(4, seed=891, n_features=len(GN_CAT) + len(GN_NUM))
+    tr = M.stratified_folds(s.drop("split"), "cluster", ["landing_id"], 2, 567).persist()
+    grid = M.lhs_grid(2, seed=891, n_features=len(GN_CAT) + len(GN_NUM))
     for g in grid:
-        g["trees"] = max(1, min(40, g["trees"]))
+        g["trees"] = max(1, min(20, g["trees"]))
         g["tree_depth"] = max(1, min(6, g["tree_depth"]))
         g["mtry"] = "all"
 
@@ -282,6 +283,13 @@ def _shap_eff(i: Inputs):
 
 @register("ml_lump_near_zero_ag")
 def _lump_zero(i: Inputs):
-    """ML-24: gear-type SHAP with the 15 levels nearest zero pooled to "Others"."""
-    s = EX.shap_for(_shap(i, False), "gear_type", ["habitat", "gear_type"])
-    return EX.lump_near_zero(s, "gear_type", "shap", 15)
+    """ML-23/24 (other gears): gear-type SHAP by profile; the habitat x gear label
+    split into habitat and gear (title-cased); the 15 gear levels with mean
+    -|shap| nearest zero pooled to "Others"; median per (profile, gear, habitat),
+    positive only, Deep shown as Pelagic."""
+    s = EX.shap_for(_shap(i, False), "gear_type", ["habitat_gear"])
+    s = separate(s, "habitat_gear", ["habitat", "gear_fact"], "_")
+    s = s.withColumn("gear_fact", F.initcap("gear_fact")).withColumn("profile", F.concat(F.lit("FNP-"), "class"))
+    s = EX.lump_near_zero(s, "gear_fact", "shap", 15)
+    med = exact_median_by(s, ["profile", "gear_fact", "habitat"], ["shap"]).where(F.col("shap") > 0)
+    return med.withColumn("habitat", F.when(F.col("habitat") == "Deep", F.lit("Pelagic")).otherwise(F.col("habitat")))

@@ -17,9 +17,17 @@ from nutriyield.sources import literals as L
 class Inputs:
     """Domain inputs of one scale-factor folder; each property is a lazy plan."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, ship_from: str | None = None, ship_to: str | None = None):
         self.spark = spark
+        self.sf_dir = sf_dir
         self.t = D.Tables(spark, sf_dir)
+        self.ship_from, self.ship_to = ship_from, ship_to
+
+    def window(self, ship_from: str | None, ship_to: str | None) -> "Inputs":
+        """Same inputs with the regional estimates limited to a ship-date window
+        (pushed to the lineitem scan).  Only for queries whose result depends on
+        that window alone."""
+        return Inputs(self.spark, self.sf_dir, ship_from, ship_to)
 
     @cached_property
     def rdi(self) -> DataFrame:
@@ -41,11 +49,12 @@ class Inputs:
 
     @cached_property
     def region_stats(self) -> DataFrame:
-        return S.region_yields(D.region_parts(self.t), self.nutrients)
+        return S.region_yields(D.region_parts(self.t, self.ship_from, self.ship_to), self.nutrients)
 
     @cached_property
     def region_stats_adj(self) -> DataFrame:
-        return S.edible_adjusted(self.region_stats, D.edible_portions(self.t), D.ADJUST_BEFORE)
+        adj_inputs = self if self.ship_to else self.window(self.ship_from, D.ADJUST_BEFORE)
+        return S.edible_adjusted(adj_inputs.region_stats, D.edible_portions(self.t), D.ADJUST_BEFORE)
 
     @cached_property
     def population(self) -> DataFrame:
@@ -53,7 +62,8 @@ class Inputs:
 
     @cached_property
     def trips(self) -> DataFrame:
-        return TR.fill_region_by_tracker(D.trips(self.t))
+        # the region fill needs trip heads only; the nested catch joins afterwards
+        return D.attach_catch(TR.fill_region_by_tracker(D.trip_heads(self.t)), D.trip_catch(self.t))
 
     @cached_property
     def kobo_trips(self) -> DataFrame:

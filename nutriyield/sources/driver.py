@@ -48,9 +48,18 @@ def part_taxa(t: Tables) -> DataFrame:
             .join(F.broadcast(L.brand_taxa_df(t.spark)), "p_brand"))
 
 
-def region_parts(t: Tables) -> DataFrame:
-    """Regional monthly catch estimate per taxon: (region, date_bin_start, grouped_taxa, catch)."""
+def region_parts(t: Tables, ship_from: str | None = None, ship_to: str | None = None) -> DataFrame:
+    """Regional monthly catch estimate per taxon: (region, date_bin_start, grouped_taxa, catch).
+
+    ``ship_from`` / ``ship_to`` (month starts, end exclusive) restrict the raw
+    ship date at the scan, where Parquet can prune; a filter on the month bin
+    after the aggregate could not be pushed there.
+    """
     li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    if ship_from:
+        li = li.where(F.col("l_shipdate") >= F.lit(ship_from).cast("timestamp_ntz"))
+    if ship_to:
+        li = li.where(F.col("l_shipdate") < F.lit(ship_to).cast("timestamp_ntz"))
     sup = t.supplier.select("s_suppkey", "s_nationkey")
     nat = F.broadcast(t.nation.select("n_nationkey", "n_name"))  # 25 rows by TPC-H definition
     return (li.join(sup, li.l_suppkey == sup.s_suppkey)
@@ -139,12 +148,12 @@ def _nutrient_struct_fields():
     ]
 
 
-def trips(t: Tables) -> DataFrame:
-    """Nested trip records: one row per order, ``landing_catch`` array of taxa,
-    each with a ``length_frequency`` array of catch rows.
+def trip_catch(t: Tables) -> DataFrame:
+    """Nested catch per order: (l_orderkey, landing_catch array of taxa, each with a
+    ``length_frequency`` array of catch rows).
 
-    lineitem is hash-partitioned once by order key; both nesting aggregates and
-    the join with orders reuse that partitioning (one lineitem shuffle).
+    lineitem is hash-partitioned once by order key; both nesting aggregates
+    reuse that partitioning (one lineitem shuffle, no per-line sort).
     """
     taxa = part_taxa(t).select("p_partkey", "grouped_taxa")
     lines = (t.lineitem.join(taxa, F.col("l_partkey") == F.col("p_partkey"))
@@ -153,9 +162,13 @@ def trips(t: Tables) -> DataFrame:
              .repartition("l_orderkey"))
     per_part = (lines.groupBy("l_orderkey", "l_partkey", "grouped_taxa")
                 .agg(F.array_sort(F.collect_list("lf")).alias("length_frequency")))
-    per_order = (per_part.groupBy("l_orderkey")
-                 .agg(F.array_sort(F.collect_list(
-                     F.struct(F.col("grouped_taxa").alias("catch_taxon"), "length_frequency"))).alias("landing_catch")))
+    return (per_part.groupBy("l_orderkey")
+            .agg(F.array_sort(F.collect_list(
+                F.struct(F.col("grouped_taxa").alias("catch_taxon"), "length_frequency"))).alias("landing_catch")))
+
+
+def trip_heads(t: Tables) -> DataFrame:
+    """Trip-level attributes, one row per order (no catch arrays)."""
     cust_nat = F.broadcast(t.nation.select("n_nationkey", F.col("n_name").alias("cust_nation")))
     cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(
         cust_nat, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -165,8 +178,8 @@ def trips(t: Tables) -> DataFrame:
     ok = F.col("o_orderkey")
     o = (t.orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
          .join(hab, "o_orderpriority").join(gear, "c_mktsegment").join(ves, "o_orderstatus"))
-    o = o.select(
-        ok.cast("string").alias("landing_id"), ok.alias("_ok"),
+    return o.select(
+        ok.cast("string").alias("landing_id"), ok.alias("order_key"),
         F.to_date("o_orderdate").alias("landing_date"),
         (ok % 12 + 1).cast("double").alias("trip_length"),
         (F.col("o_custkey") % 4).cast("int").alias("fisher_number_man"),
@@ -179,8 +192,18 @@ def trips(t: Tables) -> DataFrame:
         F.when(ok % 7 != 0, F.col("cust_nation")).alias("municipality"),
         F.col("o_custkey").cast("string").alias("tracker_imei"),
     )
-    return (o.join(per_order, F.col("_ok") == F.col("l_orderkey"), "left")
-            .drop("_ok", "l_orderkey"))
+
+
+def attach_catch(heads: DataFrame, catch: DataFrame) -> DataFrame:
+    """Trip heads with their nested catch (left join: trips without lines keep a
+    NULL ``landing_catch``).  Filters on head columns are pushed below the join."""
+    return (heads.join(catch, F.col("order_key") == F.col("l_orderkey"), "left")
+            .drop("order_key", "l_orderkey"))
+
+
+def trips(t: Tables) -> DataFrame:
+    """Nested trip records: one row per order with its ``landing_catch``."""
+    return attach_catch(trip_heads(t), trip_catch(t))
 
 
 def catch_data(t: Tables) -> DataFrame:
