@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nutriyield.operators.verbs import anti_in, dedupe_first
+from nutriyield.operators.verbs import anti_in, dedupe_first, with_scalars
 from nutriyield.sources import literals as L
 
 
@@ -91,10 +91,10 @@ def nutrients_table(predictions: DataFrame, species: DataFrame, fao: DataFrame,
 def impute_median(df: DataFrame, cols) -> DataFrame:
     """``replace_na(x, median(x, na.rm=TRUE))`` per column, exact median.
 
-    The medians are one aggregate row attached to every row (bounded broadcast).
+    The medians are one aggregate row, attached as a scalar subquery.
     """
     med = df.agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(med))
+    out = with_scalars(df, med)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}) \
         .drop(*[f"__med_{c}" for c in cols])
 

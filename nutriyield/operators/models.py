@@ -284,9 +284,9 @@ def roc_auc_hand_till(pred: DataFrame, truth: str, classes: Sequence[str]) -> Da
         for b in classes[i + 1:]:
             u1 = _mann_whitney(pred, truth, a, b, f"pred_{a}")
             u2 = _mann_whitney(pred, truth, b, a, f"pred_{b}")
-            pair = (u1.select((F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("a1"))
-                    .crossJoin(u2.select((F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("a2")))
-                    .select(((F.col("a1") + F.col("a2")) / 2.0).alias("a")))
+            a1 = u1.select((F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("a1"))
+            a2 = u2.select((F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("a2"))
+            pair = with_scalars(a1, a2).select(((F.col("a1") + F.col("a2")) / 2.0).alias("a"))
             parts = pair if parts is None else parts.unionByName(pair)
     return parts.agg(F.avg("a").alias("estimate")).select(F.lit("roc_auc").alias("metric"), "estimate")
 

@@ -222,11 +222,13 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     return term.unionByName(resid).unionByName(total)
 
 
-def _bucket_digits(n: int, target: int = 2000) -> int:
-    """Hex digits of hash bucket so that a bucket holds about ``target`` rows."""
+def _bucket_digits(n: int, target: int = 200_000) -> int:
+    """Hex digits of hash bucket so that one sort holds at most about ``target``
+    rows.  Every permutation has exactly n rows (no skew is possible), so up to
+    ``target`` rows a plain per-permutation window is used (0 digits)."""
     import math
     if n <= target:
-        return 1
+        return 0
     return max(1, min(5, math.ceil(math.log(n / target, 16))))
 
 

@@ -117,10 +117,14 @@ def summary_table(adjusted: DataFrame, population: DataFrame, rdi: DataFrame, ye
     region and nutrient for one year, with an all-region row per nutrient."""
     r = rdi.withColumn("conv_factor", F.col("conv_factor") * F.lit(rdi_share)) if rdi_share != 1.0 else rdi
     m = monthly_totals(adjusted, [year])
-    per = m.groupBy("region", "year").agg(*[strict_sum(c).alias(c) for c in L.NUTRIENTS])
-    long = per.unpivot(["region", "year"], L.NUTRIENTS, "nutrient", "kg")
-    allr = long.groupBy("year", "nutrient").agg(strict_sum("kg").alias("kg")).withColumn("region", F.lit(total_label))
-    nut = long.unionByName(allr)
+    # per-region rows and the all-region row from one ROLLUP; grouping_id (not
+    # IS NULL) labels the total, so a real NULL region is never merged into it
+    g = m.rollup("year", "region").agg(*[strict_sum(c).alias(c) for c in L.NUTRIENTS],
+                                       F.grouping_id("year", "region").alias("__gid"))
+    g = (g.where(F.col("__gid") <= 1)
+         .withColumn("region", F.when(F.col("__gid") == 1, F.lit(total_label)).otherwise(F.col("region")))
+         .drop("__gid"))
+    nut = g.unpivot(["region", "year"], L.NUTRIENTS, "nutrient", "kg")
     tab = (nut.join(population.select("region", "population"), "region", "left")
            .join(F.broadcast(r.select("nutrient", "conv_factor")), "nutrient", "left"))
     rni = F.col("conv_factor") / 1000.0

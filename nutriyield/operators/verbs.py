@@ -44,8 +44,13 @@ def anti_in(left: DataFrame, right: DataFrame, key: str, right_key: str | None =
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (a broadcast of exactly one row)."""
-    return df.crossJoin(F.broadcast(scalars))
+    """Attach the columns of a one-row aggregate to every row.
+
+    The aggregate becomes one scalar subquery (a struct, computed once and
+    inlined as a value): no join and no unpartitioned window."""
+    cols = scalars.columns
+    s = scalars.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__s")).scalar()
+    return df.select("*", *[s[c].alias(c) for c in cols])
 
 
 # --------------------------------------------------------------------------- reshape
@@ -132,9 +137,14 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order_key: str, bucket_dig
     into up to 16**digits buckets: counts per bucket become offsets (a window over
     at most 4096 count rows per group), and only rows of one bucket are sorted
     together.  The result equals ``row_number() over (partition by keys order by
-    order_key, tie_cols)``.
+    order_key, tie_cols)``.  ``bucket_digits <= 0`` is the plain window, for
+    callers that know every group is small and of equal size.
     """
     keys = list(keys)
+    if bucket_digits <= 0:
+        # groups known to be bounded and unskewed: one sort per group is enough
+        w = Window.partitionBy(*keys).orderBy(F.col(order_key), *[F.col(c) for c in tie_cols])
+        return df.withColumn("__pos", F.row_number().over(w).cast("long"))
     b = F.conv(F.substring(F.col(order_key), 1, bucket_digits), 16, 10).cast("int")
     x = df.withColumn("__b", b)
     counts = x.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))

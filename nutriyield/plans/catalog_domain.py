@@ -257,7 +257,7 @@ def _price_app(i: Inputs):
     _aff_sql("single", 1000.0, False)))
 def _aff(i: Inputs):
     """DOM-21: nutrient density of each taxon's first trip vs its modelled price."""
-    single = _single(i)
+    single = _single(i).persist()  # read by the price model and the density aggregate
     top = DN.top_taxon_per_group(i.region_stats, i.catch_groups)
     return EC.affordability(single, EC.price_model(single, 1000.0), i.rdi, i.catch_groups, top)
 
@@ -267,7 +267,7 @@ def _aff(i: Inputs):
     _aff_sql("single_app", 100.0, True)))
 def _aff_app(i: Inputs):
     """DOM-21 appendix: six fixed taxa, share of single-row trips."""
-    single = _single_app(i)
+    single = _single_app(i).persist()
     return EC.affordability(single, EC.price_model(single, 100.0), i.rdi, i.catch_groups)
 
 

@@ -119,7 +119,7 @@ def _cooks_sql() -> dict:
     "SELECT * FROM cooks", ["landing_value", "weight"], ["landing_id", "catch_taxon"]), _cooks_sql()))
 def _cooks(i: Inputs):
     """STA-3: drop rows whose Cook's distance in the per-taxon price line exceeds 5x the mean."""
-    s = _single(i).select("landing_id", "catch_taxon", "landing_value", "weight")
+    s = _single(i).select("landing_id", "catch_taxon", "landing_value", "weight").persist()  # read 4 times
     s = s.withColumn("x", F.log(F.col("weight") / 1000.0 + 1.0)).withColumn("y", F.log(F.col("landing_value") + 1.0))
     return ST.drop_cooks_outliers(s, "catch_taxon", "x", "y", 5.0).drop("x", "y")
 

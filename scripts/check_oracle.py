@@ -1,6 +1,6 @@
 """Run registered queries against their DuckDB oracles.
 
-usage: python scripts/check_oracle.py [sf_dir] [name ...]
+usage: python scripts/check_oracle.py [--oracle-only] [sf_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from nutriyield.session import get_spark  # noqa: E402
 
 
 def main() -> int:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or list(QUERIES)
+    if "--oracle-only" in sys.argv:
+        names = [n for n in names if n in ORACLE]
     spark = get_spark("local[8]", 8)
     con = duck(sf_dir)
     bad = 0
