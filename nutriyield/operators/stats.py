@@ -1,7 +1,8 @@
 """Clustering and PERMANOVA, with the heavy work as distributed DataFrame jobs.
 
-* k-means: Spark ML ``KMeans`` over several seeds (lowest cost kept), clusters
-  relabelled by centroid order so labels do not depend on the seed; and a
+* k-means: all restarts of a multi-start Lloyd run advance together in one
+  aggregate per step (lowest cost kept), clusters relabelled by centroid
+  order so labels do not depend on the restart; and a
   deterministic Lloyd form (fixed hash-chosen seeds, fixed iteration count)
   whose every step is an aggregate, reproducible in SQL.
 * PERMANOVA: sums of squares from centroids (no n x n distance matrix); label
@@ -26,30 +27,80 @@ def _assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def cluster_profiles(df: DataFrame, cols: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 555,
-                     max_iter: int = 50, label_col: str = "clusters"):
-    """k-means on unscaled ``cols`` with ``restarts`` seeds; returns (frame, model).
+def cluster_profiles(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], k: int = 3,
+                     restarts: int = 500, seed: int = 555, max_iter: int = 10, label_col: str = "clusters"):
+    """Multi-start k-means on unscaled ``cols``; returns (frame, model).
 
-    The fit with the lowest within-cluster sum of squares is kept.  Cluster ids
-    are renumbered 1..k by ascending centroid (lexicographic over ``cols``) and
-    returned as strings, so they are stable across seeds and partitionings.
+    All ``restarts`` runs advance together.  Each step explodes the rows once
+    per restart inside the pipeline and joins the restart's k centroids from a
+    restart-keyed table (restarts x k rows, a size fixed by the parameters, so
+    it is broadcast).  The nearest centroid is picked with plain column
+    expressions, and a partial ``groupBy(restart, cluster)`` aggregate reduces
+    every partition to restarts x k rows before the shuffle.  Seeds of restart r
+    are the k rows with the smallest md5(seed, r, id); the rank filter becomes a
+    per-partition group limit, so only restarts x k rows per partition move.
+
+    The run with the lowest total within-cluster sum of squares is kept (ties:
+    lowest restart).  Cluster ids are renumbered 1..k by ascending centroid
+    (lexicographic over ``cols``) and returned as strings.  The model is the
+    bounded dict {centers, tot_withinss, restart, iterations}.
     """
-    from pyspark.ml.clustering import KMeans
-    x = _assemble(df, cols).cache()
-    best, best_cost = None, None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
-                   predictionCol="__pred").fit(x)
-        cost = m.summary.trainingCost
-        if best is None or cost < best_cost:
-            best, best_cost = m, cost
-    centers = [tuple(c) for c in best.clusterCenters()]  # k x d, bounded model metadata
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    relabel = {old: str(new + 1) for new, old in enumerate(order)}
-    mapping = F.create_map(*[v for kv in relabel.items() for v in (F.lit(kv[0]), F.lit(kv[1]))])
-    out = best.transform(x).withColumn(label_col, mapping[F.col("__pred")]).drop("features", "__pred")
-    x.unpersist()
-    return out, best
+    from pyspark.sql import Window
+    cols, id_cols = list(cols), list(id_cols)
+    spark = df.sparkSession
+    x = cut_lineage(df)
+    runs = F.explode(F.sequence(F.lit(1), F.lit(int(restarts)))).alias("__r")
+    e = x.select(*id_cols, *[F.col(f"`{c}`") for c in cols], runs)
+    w = Window.partitionBy("__r").orderBy("__h", *id_cols)
+    seeds = (e.withColumn("__h", hash_key(seed, "__r", *id_cols))
+             .withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k)
+             .select("__r", "__i", *[F.col(f"`{c}`") for c in cols]).collect())  # restarts x k rows
+    cents: dict[int, list[list[float]]] = {}
+    for r in sorted(seeds, key=lambda r: (r["__r"], r["__i"])):
+        cents.setdefault(r["__r"], []).append([float(r[c]) for c in cols])
+
+    def step(cents):
+        rows = [(r, *[v for c in cs for v in c]) for r, cs in cents.items()]
+        schema = "__r int, " + ", ".join(f"__c{i}_{j} double" for i in range(k) for j in range(len(cols)))
+        table = F.broadcast(spark.createDataFrame(rows, schema))
+        j = e.join(table, "__r")
+        d = []
+        for i in range(k):
+            t = None
+            for jx, c in enumerate(cols):
+                diff = F.col(f"`{c}`") - F.col(f"__c{i}_{jx}")
+                t = diff * diff if t is None else t + diff * diff
+            d.append(t)
+        m = F.least(*d)
+        cid = F.when(d[0] == m, F.lit(0))
+        for i in range(1, k):
+            cid = cid.when(d[i] == m, F.lit(i))
+        j = j.select("__r", *[F.col(f"`{c}`") for c in cols], cid.alias("__cid"), m.alias("__d"))
+        agg = (j.groupBy("__r", "__cid")
+               .agg(F.sum("__d").alias("__ss"), *[F.avg(f"`{c}`").alias(c) for c in cols]).collect())
+        new = {r: [list(c) for c in cs] for r, cs in cents.items()}
+        wss = dict.fromkeys(cents, 0.0)
+        for a in agg:
+            if a["__cid"] is None:
+                continue
+            new[a["__r"]][a["__cid"]] = [float(a[c]) for c in cols]
+            wss[a["__r"]] += float(a["__ss"])
+        return new, wss
+
+    it = 0
+    for it in range(1, max_iter + 1):
+        nxt, _ = step(cents)
+        if nxt == cents:
+            break
+        cents = nxt
+    _, wss = step(cents)  # within-SS of the final centroids of every restart
+    best = min(wss, key=lambda r: (wss[r], r))
+    centers = sorted(tuple(c) for c in cents[best])
+    out = _assign(x, cols, _cents_frame(spark, [[i + 1, *c] for i, c in enumerate(centers)],
+                                         "cid int, " + ", ".join(f"`{c}` double" for c in cols), cols))
+    out = out.withColumn(label_col, F.col("__cid").cast("string")).drop("__cid")
+    model = {"centers": centers, "tot_withinss": wss[best], "restart": best, "iterations": it}
+    return out, model
 
 
 def lloyd_kmeans(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], k: int = 3, iters: int = 5,

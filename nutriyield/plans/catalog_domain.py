@@ -509,8 +509,8 @@ for _gn, _tag in ((True, "gn"), (False, "ag")):
 
 @register("ml_kmeans_profiles_gn")
 def _kmeans_ml(i: Inputs):
-    """ML-1: Spark ML k-means (k=3, several seeds, lowest cost), relabelled clusters."""
-    out, _ = ST.cluster_profiles(_features(i, True), NUT6, k=3, restarts=3, seed=555)
+    """ML-1: multi-start k-means (k=3, 500 restarts, lowest cost), relabelled clusters."""
+    out, _ = ST.cluster_profiles(_features(i, True), NUT6, ["landing_id"], k=3, restarts=500, seed=555)
     return out
 
 

@@ -31,15 +31,21 @@ def strict(x: str) -> str:
     return f"CASE WHEN count({x}) = count(*) THEN sum({x}) END"
 
 
-def snap(x: str, digits: int = 8) -> str:
-    """Same exact steps as ``functions.sig``: scale by a power of ten, rint, unscale."""
-    v = f"CAST({x} AS DOUBLE)"
+def _snap_once(v: str, digits: int) -> str:
     k = f"({digits - 1} - floor(log10(abs({v}))))"
     return (f"(CASE WHEN {v} IS NULL OR isnan({v}) OR {v} = 0 OR isinf({v}) THEN {v} "
             f"WHEN {k} >= 0 THEN round_even({v} * pow(10.0, {k}), 0) / pow(10.0, {k}) "
             f"ELSE round_even({v} / pow(10.0, -{k}), 0) * pow(10.0, -{k}) END)")
 
 
+def snap(x: str, digits: int = 8) -> str:
+    """Same exact steps as ``functions.sig``: 12 digits first, then ``digits``."""
+    v = f"CAST({x} AS DOUBLE)"
+    if digits < 12:
+        v = _snap_once(v, 12)
+    return _snap_once(v, digits)
+
+
 def dv(a: str, b: str) -> str:
     """Division with Spark's ``try_divide`` rule (x / 0 -> NULL)."""
     return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"

@@ -49,6 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
+    if not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder would not survive the loss of an executor
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running "
+                           "iterative operators on a cluster")
     d = os.environ.get("NUTRIYIELD_LOCAL_CHECKPOINT") or tempfile.mkdtemp(prefix="nutriyield-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)

@@ -94,3 +94,22 @@ def test_t_quantile_known_values():
     want = [31.820516, 6.964557, 3.364930, 2.763769, 2.457262, 2.328214]
     for a, b in zip(q, want):
         assert abs(a - b) < 1e-4
+
+
+def test_multi_start_kmeans_planted_blobs(spark):
+    # three separated blobs in 2-d; every restart that seeds one row per blob finds them
+    centres = [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]
+    rows = []
+    for b, (cx, cy) in enumerate(centres):
+        for i in range(12):
+            rows.append((f"{b}-{i}", cx + (i % 4) * 0.1, cy + (i // 4) * 0.1))
+    df = spark.createDataFrame(rows, "id string, x double, y double")
+    out, model = ST.cluster_profiles(df, ["x", "y"], ["id"], k=3, restarts=20, seed=7)
+    got = {r.id: r.clusters for r in out.collect()}
+    for b in range(3):
+        assert len({got[f"{b}-{i}"] for i in range(12)}) == 1
+    assert len(set(got.values())) == 3
+    # centres sorted lexicographically, so cluster "1" is the blob at the origin
+    assert got["0-0"] == "1" and got["2-0"] == "2" and got["1-0"] == "3"
+    spread = sum(((i % 4) * 0.1 - 0.15) ** 2 + ((i // 4) * 0.1 - 0.1) ** 2 for i in range(12))
+    assert abs(model["tot_withinss"] - 3 * spread) < 1e-9
