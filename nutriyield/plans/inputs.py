@@ -12,6 +12,7 @@ from nutriyield.operators import supply as S
 from nutriyield.operators import trips as TR
 from nutriyield.sources import driver as D
 from nutriyield.sources import literals as L
+from nutriyield.session import cut_lineage
 
 
 class Inputs:
@@ -27,7 +28,10 @@ class Inputs:
         """Same inputs with the regional estimates limited to a ship-date window
         (pushed to the lineitem scan).  Only for queries whose result depends on
         that window alone."""
-        return Inputs(self.spark, self.sf_dir, ship_from, ship_to)
+        w = Inputs(self.spark, self.sf_dir, ship_from, ship_to)
+        # same tables and the same (materialised) nutrient dimension
+        w.t, w.__dict__["nutrients"] = self.t, self.nutrients
+        return w
 
     @cached_property
     def rdi(self) -> DataFrame:
@@ -43,9 +47,14 @@ class Inputs:
 
     @cached_property
     def nutrients(self) -> DataFrame:
-        """Nutrient table keyed by ``grouped_taxa``."""
-        return (C.nutrients_table(D.predictions(self.t), D.species(self.t), self.fao)
-                .withColumnRenamed("interagency_code", "grouped_taxa"))
+        """Nutrient table keyed by ``grouped_taxa``.
+
+        A small per-taxon dimension derived from the part and supplier scans and
+        referenced several times by most plans: it is computed once and written
+        to the shared checkpoint folder (reliable, survives executor loss), so
+        later references scan that file instead of repeating its shuffles."""
+        return cut_lineage(C.nutrients_table(D.predictions(self.t), D.species(self.t), self.fao)
+                           .withColumnRenamed("interagency_code", "grouped_taxa"))
 
     @cached_property
     def region_stats(self) -> DataFrame:
