@@ -236,6 +236,10 @@ def tune(train: DataFrame, folds_col: str, make, grid: Sequence[dict], label: st
     submitted at once from driver threads and share the executors.
     """
     from concurrent.futures import ThreadPoolExecutor
+    from nutriyield.session import cut_lineage
+    # read by every fit and every scoring: written once to the shared checkpoint
+    # folder, so concurrent jobs neither race to compute it nor replay its lineage
+    train = cut_lineage(train)
     folds = sorted(r[0] for r in train.select(folds_col).distinct().collect())
 
     def one(task):
