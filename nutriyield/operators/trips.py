@@ -41,6 +41,16 @@ def _strict_array_sum(rows: Column, field: str) -> Column:
     return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r[field])
 
 
+def trip_window(trips: DataFrame, start: str, end: str, regions: Sequence[str]) -> DataFrame:
+    """The trip-level filters of ``trip_yields``: a landing id, a month bin in
+    [start, end] and a reporting region in ``regions``.  They read trip heads
+    only, so they can run before the nested catch is built or joined."""
+    period = F.trunc(F.col("landing_date"), "MM")
+    return (trips.where(F.col("landing_id").isNotNull())
+            .where((period >= F.lit(start).cast("date")) & (period <= F.lit(end).cast("date")))
+            .where(F.col("reporting_region").isin(list(regions))))
+
+
 def trip_yields(trips: DataFrame, start: str, end: str, regions: Sequence[str]) -> DataFrame:
     """Per-trip catch and nutrient yield in tonnes (``kobo_trips``).
 
@@ -51,12 +61,8 @@ def trip_yields(trips: DataFrame, start: str, end: str, regions: Sequence[str])
     The unnest and the per-trip sums run inside each row with higher-order
     functions, so only one row per trip reaches the (landing_id, period) shuffle.
     """
-    period = F.trunc(F.col("landing_date"), "MM")
-    df = (trips.where(F.col("landing_id").isNotNull())
-          .withColumn("landing_period", period)
-          .where((F.col("landing_period") >= F.lit(start).cast("date"))
-                 & (F.col("landing_period") <= F.lit(end).cast("date")))
-          .where(F.col("reporting_region").isin(list(regions)))
+    df = (trip_window(trips, start, end, regions)
+          .withColumn("landing_period", F.trunc(F.col("landing_date"), "MM"))
           .withColumn("__rows", catch_rows(F.col("landing_catch")))
           .where(F.size("__rows") > 0))
     attrs = F.struct(

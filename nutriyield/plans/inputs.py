@@ -76,7 +76,12 @@ class Inputs:
 
     @cached_property
     def kobo_trips(self) -> DataFrame:
-        return TR.trip_yields(self.trips, D.TRIP_START, D.TRIP_END, D.REGIONS)
+        # region fill over all trips (the mode needs every trip of a tracker),
+        # then the head-only filters, then nest only the kept orders' lines
+        heads = TR.trip_window(TR.fill_region_by_tracker(D.trip_heads(self.t)),
+                               D.TRIP_START, D.TRIP_END, D.REGIONS)
+        trips = D.attach_catch(heads, D.trip_catch(self.t, heads))
+        return TR.trip_yields(trips, D.TRIP_START, D.TRIP_END, D.REGIONS)
 
     @cached_property
     def catch_data(self) -> DataFrame:

@@ -151,17 +151,21 @@ def _nutrient_struct_fields():
     ]
 
 
-def trip_catch(t: Tables) -> DataFrame:
+def trip_catch(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Nested catch per order: (l_orderkey, landing_catch array of taxa, each with a
     ``length_frequency`` array of catch rows).
 
     lineitem is hash-partitioned once by order key; both nesting aggregates
-    reuse that partitioning (one lineitem shuffle, no per-line sort).
+    reuse that partitioning (one lineitem shuffle, no per-line sort).  With
+    ``orders`` (a frame with ``order_key``), only the lines of those orders are
+    nested: a semi join on the same key, so it shares that shuffle.
     """
     taxa = part_taxa(t).select("p_partkey", "grouped_taxa")
-    lines = (t.lineitem.join(taxa, F.col("l_partkey") == F.col("p_partkey"))
-             .select("l_orderkey", "l_partkey", "grouped_taxa",
-                     F.struct(*_nutrient_struct_fields()).alias("lf"))
+    lines = t.lineitem.join(taxa, F.col("l_partkey") == F.col("p_partkey"))
+    if orders is not None:
+        lines = lines.join(orders.select("order_key"), F.col("l_orderkey") == F.col("order_key"), "left_semi")
+    lines = (lines.select("l_orderkey", "l_partkey", "grouped_taxa",
+                          F.struct(*_nutrient_struct_fields()).alias("lf"))
              .repartition("l_orderkey"))
     per_part = (lines.groupBy("l_orderkey", "l_partkey", "grouped_taxa")
                 .agg(F.array_sort(F.collect_list("lf")).alias("length_frequency")))
