@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nutriyield.llm import language_bits, length_buckets, near_dups, quality_lines
+from nutriyield.llm import byte_bpe, importance, language_bits, length_buckets, near_dups, quality_lines, scaled_sketch
 from nutriyield.llm.common import documents, held_out
 
 
@@ -19,6 +19,10 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.clean_lines(documents(spark, sf_dir)).select(*quality_lines.QUERY_COLUMNS)
 
 
+def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.edit_report(documents(spark, sf_dir))
+
+
 def op7_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     filters = language_bits.learn(docs.where(~held_out(F.col("doc_id"), 3, 1)))
@@ -26,12 +30,21 @@ def op7_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(documents(spark, sf_dir)).drop("ids")
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return importance.resample(documents(spark, sf_dir), labels.where("quality = 1").select("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_length_buckets, op2_line_rules, op7_language_bits, op9_circulant_minhash)}
+    op1_length_buckets, op2_line_rules, op6_scaled_sketch, op7_language_bits, op8_byte_bpe, op9_circulant_minhash, op10_importance)}
 
 ORACLE: dict[str, str] = {
     "op1_length_buckets": length_buckets.oracle(),

@@ -73,7 +73,8 @@ def slices(batch: pa.RecordBatch, col: str, limit: int = 4_000_000):
     while start < batch.num_rows:
         before = size[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
-        yield batch.slice(start, end - start)
+        # a copy: some string kernels misread an array that begins inside its buffers
+        yield batch.take(pa.array(np.arange(start, end)))
         start = end
 
 
@@ -83,9 +84,8 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     Returns (code per word, first word of each text plus the total, distinct
     words).  Null counts as empty; ``lower`` maps A-Z only.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
+    texts = pc.fill_null(texts, "")
+    texts = (pc.ascii_lower(texts) if lower else texts).cast(pa.large_string())
     parts = pc.ascii_split_whitespace(texts)
     offsets = parts.offsets.to_numpy().astype(np.int64)
     flat = parts.flatten().dictionary_encode()
