@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nutriyield.llm import byte_bpe, importance, language_bits, length_buckets, near_dups, quality_lines, scaled_sketch
+from nutriyield.llm import byte_bpe, importance, interpolated_lm, language_bits, length_buckets, near_dups, quality_lines, scaled_sketch
 from nutriyield.llm.common import documents, held_out
 
 
@@ -19,6 +19,10 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.clean_lines(documents(spark, sf_dir)).select(*quality_lines.QUERY_COLUMNS)
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2))
+
+
 def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edit_report(documents(spark, sf_dir))
 
@@ -44,7 +48,8 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_length_buckets, op2_line_rules, op6_scaled_sketch, op7_language_bits, op8_byte_bpe, op9_circulant_minhash, op10_importance)}
+    op1_length_buckets, op2_line_rules, op5_deleted_interpolation, op6_scaled_sketch, op7_language_bits, op8_byte_bpe,
+    op9_circulant_minhash, op10_importance)}
 
 ORACLE: dict[str, str] = {
     "op1_length_buckets": length_buckets.oracle(),
