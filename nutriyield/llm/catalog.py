@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nutriyield.llm import byte_bpe, importance, interpolated_lm, language_bits, length_buckets, near_dups, quality_lines, scaled_sketch
+from nutriyield.llm import (bestfit_rows, byte_bpe, importance, interpolated_lm, language_bits, length_buckets, near_dups,
+                            quality_lines, scaled_sketch, toxicity_gru)
 from nutriyield.llm.common import documents, held_out
 
 
@@ -19,6 +20,19 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.clean_lines(documents(spark, sf_dir)).select(*quality_lines.QUERY_COLUMNS)
 
 
+def op3_bestfit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_rows.pack_rows(documents(spark, sf_dir))
+
+
+def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 4, 2)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    net = toxicity_gru.fit(docs, labels.where(~held))
+    return toxicity_gru.score_toxicity(docs, net).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows")
+
+
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score_documents(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2))
 
@@ -48,8 +62,8 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_length_buckets, op2_line_rules, op5_deleted_interpolation, op6_scaled_sketch, op7_language_bits, op8_byte_bpe,
-    op9_circulant_minhash, op10_importance)}
+    op1_length_buckets, op2_line_rules, op3_bestfit_rows, op4_toxicity_gru, op5_deleted_interpolation, op6_scaled_sketch,
+    op7_language_bits, op8_byte_bpe, op9_circulant_minhash, op10_importance)}
 
 ORACLE: dict[str, str] = {
     "op1_length_buckets": length_buckets.oracle(),
