@@ -59,15 +59,16 @@ def _blocks(batches):
         for part in slices(batch, "text", BLOCK_BYTES):
             codes, at, words = word_codes(part.column("text"), lower=True)
             yield pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([number], pa.int64()), pa.array([pack(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))], pa.binary()),
+                pa.array([pack(part.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.int8))], pa.binary()),
                 pa.array([pack(part.column("role").to_numpy(zero_copy_only=False).astype(np.int8))], pa.binary()),
                 pa.array([pack(np.diff(at))], pa.binary()), pa.array([pack(codes.astype(np.uint32))], pa.binary()),
                 pa.array([pack(mix(word_hashes(words)))], pa.binary())], BLOCK_NAMES)
             number += 1
 
 
-BLOCK_NAMES = ["block", "ids", "roles", "lengths", "codes", "words"]
-BLOCK_SCHEMA = "block bigint, ids array<bigint>, roles binary, lengths binary, codes binary, words binary"
+BLOCK_NAMES = ["block", "ids", "no_id", "roles", "lengths", "codes", "words"]
+BLOCK_SCHEMA = "block bigint, ids binary, no_id binary, roles binary, lengths binary, codes binary, words binary"
 
 
 class Block:
@@ -219,7 +220,7 @@ def _scores(order: int, tokens: int, types: int, weights: np.ndarray):
             score = np.log10((p * weights[bucket]).sum(1))
             base = np.log10((unigram + 1) / (tokens + types + 1))
             at = np.concatenate([[0], np.cumsum(b.n_tokens)])
-            ids = pd.array([None if x is None else int(x) for x in r.ids], dtype="Int64")
+            ids = pd.arrays.IntegerArray(unpack(r.ids, np.int64), unpack(r.no_id, np.int8).astype(bool))
             out.append(pd.DataFrame({"doc_id": ids, "held_out": b.roles == 0, "n_tokens": b.n_tokens,
                                      "n_known": sums((unigram > 0).astype(np.int64), at), "train_tokens": tokens,
                                      "base_score": np.add.reduceat(base, at[:-1]), "score": np.add.reduceat(score, at[:-1])}))
