@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nutriyield.operators.verbs import anti_in, dedupe_first, with_scalars
+from nutriyield.operators.verbs import anti_in, dedupe_first, exact_median_by, with_scalars
+from nutriyield.session import cut_lineage
 from nutriyield.sources import literals as L
 
 
@@ -77,14 +78,14 @@ def nutrients_table(predictions: DataFrame, species: DataFrame, fao: DataFrame,
     tab = (anti_in(tab, fao, "interagency_code")
            .unionByName(fao.select("interagency_code", *L.NUTRIENTS_MU))
            .where(F.col("interagency_code") != "FLY"))
-    fly = (tab.where(F.col("interagency_code").isin(L.FLY_PROXIES))
-           .agg(*[F.median(c).alias(c) for c in L.NUTRIENTS_MU])
+    tab = cut_lineage(tab)  # each median reads its input twice
+    fly = (exact_median_by(tab.where(F.col("interagency_code").isin(L.FLY_PROXIES)), [], L.NUTRIENTS_MU)
            .withColumn("interagency_code", F.lit("FLY")))
     tab = tab.unionByName(fly)
     if convert:
         tab = convert_units(tab)
     if summarise:
-        tab = tab.groupBy("interagency_code").agg(*[F.median(c).alias(c) for c in L.NUTRIENTS_MU])
+        tab = exact_median_by(tab, ["interagency_code"], L.NUTRIENTS_MU)
     return impute_median(tab, L.NUTRIENTS_MU)
 
 
@@ -93,7 +94,8 @@ def impute_median(df: DataFrame, cols) -> DataFrame:
 
     The medians are one aggregate row, attached as a scalar subquery.
     """
-    med = df.agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
+    df = cut_lineage(df)
+    med = exact_median_by(df, [], cols).select(*[F.col(c).alias(f"__med_{c}") for c in cols])
     out = with_scalars(df, med)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}) \
         .drop(*[f"__med_{c}" for c in cols])
@@ -110,6 +112,6 @@ def nutrients_table_legacy(legacy: DataFrame, species: DataFrame, fao: DataFrame
     if convert:
         tab = convert_units(tab)
     if summarise:
-        tab = tab.groupBy("interagency_code").agg(*[F.median(c).alias(c) for c in L.NUTRIENTS_MU])
+        tab = exact_median_by(cut_lineage(tab), ["interagency_code"], L.NUTRIENTS_MU)
     rest = [c for c in L.NUTRIENTS_MU if c != "Selenium_mu"]
     return dedupe_first(tab, ["interagency_code", "Selenium_mu"], rest).select("interagency_code", *L.NUTRIENTS_MU)

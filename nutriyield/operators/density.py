@@ -94,7 +94,7 @@ def top_taxon_per_group(yields: DataFrame, catch_groups: DataFrame) -> DataFrame
     tot = yields.agg(F.coalesce(F.sum("catch"), F.lit(0.0)).alias("tot_catch"))
     g = fish_group(yields.select("grouped_taxa", "catch"), "yield", merge_label="Marine invertebrates")
     per = g.groupBy("fish_group", "grouped_taxa").agg(F.coalesce(F.sum("catch"), F.lit(0.0)).alias("catch"))
-    per = with_scalars(per, tot).withColumn("catch_percent", F.col("catch") / F.col("tot_catch") * 100.0)
+    per = with_scalars(per, tot).withColumn("catch_percent", F.try_divide(F.col("catch"), F.col("tot_catch")) * 100.0)
     top = top_n_with_ties(per, ["fish_group"], F.col("catch_percent"), 1)
     top = top.where(F.col("fish_group").isNotNull() & F.col("catch_percent").isNotNull())
     return (top.join(F.broadcast(catch_groups.select("interagency_code", "catch_name")),
@@ -112,7 +112,8 @@ def density_by(trips: DataFrame, key: str, rdi: DataFrame, recode: dict | None =
     rdi_row = rdi.groupBy().pivot("nutrient", L.NUTRIENTS_NO_SE).agg(F.first("conv_factor"))
     rdi_row = rdi_row.select(*[F.col(n).alias("__rdi_" + n) for n in L.NUTRIENTS_NO_SE])
     x = with_scalars(rename_nutrients(trips.select(key, "weight", *L.NUTRIENTS_MU)), rdi_row)
-    x = x.select(key, *[((F.col(n) / F.col("weight")) * 1000.0 / F.col("__rdi_" + n)).alias(n)
+    # a trip of no weight has no score
+    x = x.select(key, *[(F.try_divide(F.col(n), F.col("weight")) * 1000.0 / F.col("__rdi_" + n)).alias(n)
                         for n in L.NUTRIENTS_NO_SE])
     med = exact_median_by(x, [key], L.NUTRIENTS_NO_SE)
     long = med.unpivot([key], L.NUTRIENTS_NO_SE, "nutrient", "inds_kg")

@@ -81,7 +81,7 @@ def affordability(single: DataFrame, prices: DataFrame, rdi: DataFrame, catch_gr
     x = with_scalars(x, rdi_row)
     inds = None
     for n in L.NUTRIENTS_NO_SE:
-        e = (F.col(n) / F.col("weight") * 100.0) / F.col("__rdi_" + n) * 100.0
+        e = (F.try_divide(F.col(n), F.col("weight")) * 100.0) / F.col("__rdi_" + n) * 100.0
         inds = e if inds is None else inds + e
     # one row per (trip, taxon) already, so the per-trip total is the row sum
     per = x.select("landing_id", "catch_taxon", *(["catch_percent"] if "catch_percent" in x.columns else []),

@@ -7,14 +7,13 @@ the same numbers can be reproduced in SQL.
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nutriyield.operators.verbs import bucketed_rank, hash_key, with_scalars
+from nutriyield.operators.verbs import bucketed_rank, hash_key, with_hash_cut, with_scalars
 
 # --------------------------------------------------------------------------- splits (ML-4, ML-5)
 
@@ -22,13 +21,9 @@ from nutriyield.operators.verbs import bucketed_rank, hash_key, with_scalars
 def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], prop: float = 0.8,
                      seed: int = 234) -> DataFrame:
     """Adds ``split`` = train/test: per stratum the first floor(prop * n) rows by
-    md5(seed, id) train.  Ranks come from hash buckets (hot strata are split)."""
-    x = df.withColumn("__h", hash_key(seed, *id_cols))
-    x = bucketed_rank(x, [label], "__h", tie_cols=list(id_cols))
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    x = x.join(n, label)  # one row per stratum; AQE broadcasts it after measuring
-    split = F.when(F.col("__pos") <= F.floor(F.col("__n") * F.lit(prop)), F.lit("train")).otherwise(F.lit("test"))
-    return x.withColumn("split", split).drop("__h", "__pos", "__n")
+    md5(seed, id) train.  Each stratum's cut is a threshold; no row is ranked or moved."""
+    x = with_hash_cut(df.withColumn("__h", hash_key(seed, *id_cols)), [label], prop, "__h", list(id_cols))
+    return x.withColumn("split", F.when(F.col("__in"), F.lit("train")).otherwise(F.lit("test"))).drop("__h", "__in")
 
 
 def stratified_folds(df: DataFrame, label: str, id_cols: Sequence[str], v: int = 10, seed: int = 567) -> DataFrame:
@@ -259,8 +254,9 @@ def tune(train: DataFrame, folds_col: str, make, grid: Sequence[dict], label: st
     results = []
     for gi in range(len(grid)):
         a = [x for x in aucs[gi * len(folds):(gi + 1) * len(folds)] if x is not None]
-        results.append((gi, float(sum(a) / max(1, len(folds)))))
-    best = max(results, key=lambda r: (r[1], -r[0]))
+        # folds without a usable class pair count neither in the sum nor in the number
+        results.append((gi, float(sum(a) / len(a)) if a else float("nan")))
+    best = max(results, key=lambda r: (-1.0 if r[1] != r[1] else r[1], -r[0]))
     return grid[best[0]], results
 
 
@@ -303,23 +299,31 @@ def roc_auc_hand_till(pred: DataFrame, truth: str, classes: Sequence[str]) -> Da
         for b in classes[i + 1:]:
             u1 = _mann_whitney(pred, truth, a, b, f"pred_{a}")
             u2 = _mann_whitney(pred, truth, b, a, f"pred_{b}")
-            a1 = u1.select((F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("a1"))
-            a2 = u2.select((F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("a2"))
+            # a class without rows makes its pairs NULL, and the mean is over the others
+            a1 = u1.select(F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("a1"))
+            a2 = u2.select(F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("a2"))
             pair = with_scalars(a1, a2).select(((F.col("a1") + F.col("a2")) / 2.0).alias("a"))
             parts = pair if parts is None else parts.unionByName(pair)
     return parts.agg(F.avg("a").alias("estimate")).select(F.lit("roc_auc").alias("metric"), "estimate")
 
 
-def roc_curves(pred: DataFrame, truth: str, classes: Sequence[str]) -> DataFrame:
+def roc_curves(pred: DataFrame, truth: str, classes: Sequence[str], buckets: int = 65536) -> DataFrame:
     """One-vs-all ROC points per class: at each distinct score threshold, share
-    of positives / negatives at or above it (sensitivity, 1 - specificity)."""
+    of positives / negatives at or above it (sensitivity, 1 - specificity).
+
+    Counts above come from fixed score buckets (a window over at most
+    ``buckets`` rows), then from a window inside one bucket."""
     out = None
     for c in classes:
         x = (pred.groupBy(F.col(f"pred_{c}").alias("threshold"))
              .agg(F.count(F.when(F.col(truth) == c, 1)).alias("tp"), F.count(F.when(F.col(truth) != c, 1)).alias("fp")))
+        x = x.withColumn("b", F.least(F.floor(F.col("threshold") * buckets), F.lit(buckets - 1)).cast("int"))
+        per = x.groupBy("b").agg(F.sum("tp").alias("__tp"), F.sum("fp").alias("__fp"))
+        above = Window.orderBy(F.col("b").desc())  # <= buckets rows
+        per = per.select("b", *[(F.sum(f"__{k}").over(above) - F.col(f"__{k}")).alias(f"__{k}") for k in ("tp", "fp")])
         tot = x.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-        w = Window.orderBy(F.col("threshold").desc())  # over distinct scores of one class
-        x = x.withColumn("ctp", F.sum("tp").over(w)).withColumn("cfp", F.sum("fp").over(w))
+        w = Window.partitionBy("b").orderBy(F.col("threshold").desc())
+        x = x.join(per, "b").select("threshold", *[(F.col(f"__{k}") + F.sum(k).over(w)).alias(f"c{k}") for k in ("tp", "fp")])
         x = with_scalars(x, tot).select(
             F.lit(c).alias("level"), "threshold",
             F.try_divide(F.col("ctp"), F.col("P")).alias("sensitivity"),
@@ -398,5 +402,3 @@ def importance_by_feature(importance: DataFrame, rules: Sequence[tuple[str, str]
         g = g.withColumn("category", F.initcap(F.regexp_replace(e, "^(.*?)_", "$1 ")))
     return g
 
-
-__all__ = ["math"]

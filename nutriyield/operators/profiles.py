@@ -32,7 +32,8 @@ def profile_features(trips: DataFrame, rdi: DataFrame, gill_net: bool = True) ->
     if gill_net:
         keys.append("mesh_size")
     x = x.withColumn("quarter", F.quarter("landing_date").cast("int"))
-    x = x.select(*keys, *[((F.col(n) / F.col("weight")) * 1000.0 / F.col("__rdi_" + n)).alias(n) for n in FEATURES])
+    # a trip of no weight has no features and goes with the incomplete rows
+    x = x.select(*keys, *[(F.try_divide(F.col(n), F.col("weight")) * 1000.0 / F.col("__rdi_" + n)).alias(n) for n in FEATURES])
     out = x.groupBy(*keys).agg(*[F.median(n).alias(n) for n in FEATURES])
     return drop_na_rows(out)
 

@@ -156,20 +156,56 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order_key: str, bucket_dig
             .drop("__b", "__off"))
 
 
+def hash_cuts(df: DataFrame, strata: Sequence[str], prop: float, order_key: str, tie_cols: Sequence[str],
+              digits: int = 3) -> DataFrame:
+    """Per stratum the (hash, ties) of its floor(prop * n)-th row in hash order, as ``__cut`` (NULL: none).
+
+    Rows stay where they are: hash prefixes are counted map-side, and only the
+    rows of the one prefix that holds the cut are ranked.
+    """
+    strata = list(strata)
+    b = F.substring(F.col(order_key), 1, digits)
+    per = df.groupBy(*strata, b.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    # at most 16 ** digits count rows per stratum
+    w = Window.partitionBy(*strata).orderBy("__b")
+    whole = Window.partitionBy(*strata)
+    per = per.withColumns({"__to": F.sum("__n").over(w), "__want": F.floor(F.sum("__n").over(whole) * F.lit(prop))})
+    edge = per.where((F.col("__to") >= F.col("__want")) & (F.col("__to") - F.col("__n") < F.col("__want"))) \
+        .select(*strata, "__b", (F.col("__want") - F.col("__to") + F.col("__n")).alias("__rank"))
+    on = None
+    rows = df.select(*strata, b.alias("__b"), F.struct(F.col(order_key), *[F.col(c) for c in tie_cols]).alias("__key"))
+    for k in [*strata, "__b"]:
+        e = F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
+        on = e if on is None else on & e
+    near = rows.alias("r").join(edge.alias("e"), on).select(*[F.col(f"r.{k}") for k in strata], "__key", "__rank")
+    pos = F.row_number().over(Window.partitionBy(*strata).orderBy("__key"))
+    return near.withColumn("__pos", pos).where(F.col("__pos") == F.col("__rank")).select(*strata, F.col("__key").alias("__cut"))
+
+
+def with_hash_cut(df: DataFrame, strata: Sequence[str], prop: float, order_key: str, tie_cols: Sequence[str]) -> DataFrame:
+    """``df`` with ``__in``: the row is among the first floor(prop * n) of its stratum in hash order."""
+    cuts = hash_cuts(df, strata, prop, order_key, tie_cols)
+    key = F.struct(F.col(order_key), *[F.col(c) for c in tie_cols])
+    if strata:
+        on = None
+        for k in strata:
+            e = F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}"))
+            on = e if on is None else on & e
+        x = df.alias("x").join(cuts.alias("c"), on, "left").select("x.*", "__cut")  # one row per stratum; AQE measures it
+    else:
+        x = with_scalars(df, cuts)
+    return x.withColumn("__in", F.coalesce(key <= F.col("__cut"), F.lit(False))).drop("__cut")
+
+
 def sample_fraction(df: DataFrame, id_cols: Sequence[str], prop: float, seed: int,
                     strata: Sequence[str] = ()) -> DataFrame:
     """Sample ``floor(prop * n)`` rows without replacement (per stratum if given).
 
-    Deterministic: rows are ordered by md5(seed, id) and the first ``floor(prop*n)``
-    kept, so the result does not depend on partitioning.
+    Deterministic: the first ``floor(prop*n)`` rows by md5(seed, id), found by a
+    threshold and filtered in place, whatever the partitioning.
     """
     x = df.withColumn("__h", hash_key(seed, *id_cols))
-    x = bucketed_rank(x, strata, "__h", tie_cols=id_cols)
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n")) if strata else \
-        df.agg(F.count(F.lit(1)).alias("__n"))
-    x = x.join(F.broadcast(sizes), list(strata)) if strata else with_scalars(x, sizes)
-    keep = F.col("__pos") <= F.floor(F.col("__n") * F.lit(prop))
-    return x.where(keep).drop("__h", "__pos", "__n")
+    return with_hash_cut(x, strata, prop, "__h", id_cols).where("__in").drop("__h", "__in")
 
 
 def sample_n(df: DataFrame, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -201,40 +237,43 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def exact_median_by(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
                     accuracy: int = 10000) -> DataFrame:
-    """Exact interpolated median per group (NULLs skipped), safe for hot groups.
+    """Exact interpolated median per group (NULL and NaN skipped), safe for hot groups.
 
     Spark's ``median`` merges a value->count map of a whole group in one task.
-    Here a first pass finds, per group, ``percentile_approx`` bounds around the
-    middle rank (rank error <= n / accuracy, widened by a margin); a second pass
-    counts the values below the lower bound and sorts only the values between
-    the bounds -- about 8 n / accuracy of them.  Groups with at most
-    ``accuracy`` values keep every value.  The median is the mean of the two
-    middle order statistics, as R computes it.
+    Here ``percentile_approx`` (a bounded sketch, merged map-side) brackets the
+    middle ranks, equal values are counted before they move, and a running count
+    over the few distinct values inside the bracket -- about 8 n / ``accuracy``
+    at most -- picks the two middle order statistics.  Their mean is the median,
+    as R computes it.  One plan for every group size, and no arrays.
     """
     keys = list(keys)
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), F.col(c).cast("double").alias("v"))
                              for c in value_cols])).alias("__kv")
-    long = df.select(*keys, kv).select(*keys, "__kv.var", "__kv.v").where(F.col("v").isNotNull())
+    every = df.select(*keys, kv).select(*keys, "__kv.var", F.nanvl("__kv.v", F.lit(None).cast("double")).alias("v"))
+    long = every.where(F.col("v").isNotNull())
     g = keys + ["var"]
     eps = 4.0 / accuracy
     q = F.percentile_approx("v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy)
-    stats = long.groupBy(*g).agg(F.count("v").alias("__n"), q.alias("__q"))
-    small = F.col("__n") <= accuracy
-    stats = stats.select(*g, "__n",
-                         F.when(small, F.lit(float("-inf"))).otherwise(F.col("__q")[0]).alias("__lo"),
-                         F.when(small, F.lit(float("inf"))).otherwise(F.col("__q")[1]).alias("__hi"))
-    j = long.join(stats, g)
-    inside = (F.col("v") >= F.col("__lo")) & (F.col("v") <= F.col("__hi"))
-    agg = j.groupBy(*g).agg(
-        F.first("__n").alias("__n"),
-        F.count(F.when(F.col("v") < F.col("__lo"), 1)).alias("__below"),
-        F.sort_array(F.collect_list(F.when(inside, F.col("v")))).alias("__mid"))
-    r1 = F.floor((F.col("__n") - 1) / 2) - F.col("__below")
-    r2 = F.ceil((F.col("__n") - 1) / 2) - F.col("__below")
-    med = (F.try_element_at("__mid", (r1 + 1).cast("int")) + F.try_element_at("__mid", (r2 + 1).cast("int"))) / 2.0
-    out = agg.select(*g, med.alias("__med"))
-    wide = out.groupBy(*keys).agg(*[F.max(F.when(F.col("var") == c, F.col("__med"))).alias(c) for c in value_cols])
-    return wide
+    stats = every.groupBy(*g).agg(F.count("v").alias("__n"), q.alias("__q"))
+    stats = stats.select(*g, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
+    pick = None
+    for k in g:  # a NULL group is a group
+        e = F.col(f"a.{k}").eqNullSafe(F.col(f"s.{k}"))
+        pick = e if pick is None else pick & e
+    counts = long.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("__c"))
+    j = counts.alias("a").join(stats.alias("s"), pick).select(*[F.col(f"a.{k}") for k in g], "v", "__c", "__n", "__lo", "__hi")
+    # everything below the bracket is one row per group, the values inside keep theirs
+    at = F.when(F.col("v") >= F.col("__lo"), F.col("v"))
+    inside = j.where(F.col("v") <= F.col("__hi")).groupBy(*g, at.alias("v")).agg(
+        F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
+    upto = F.sum("__c").over(Window.partitionBy(*g).orderBy(F.col("v").asc_nulls_first()))
+    r = inside.withColumn("__to", upto).where(F.col("v").isNotNull())
+    low, high = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)  # 1-based middle ranks
+    has = lambda rank: (F.col("__to") >= rank) & (F.col("__to") - F.col("__c") < rank)
+    med = r.groupBy(*g).agg(((F.max(F.when(has(low), F.col("v"))) + F.max(F.when(has(high), F.col("v")))) / 2.0).alias("__med"))
+    # a group without values keeps its row
+    med = med.unionByName(stats.select(*g, F.lit(None).cast("double").alias("__med")))
+    return med.groupBy(*keys).agg(*[F.max(F.when(F.col("var") == c, F.col("__med"))).alias(c) for c in value_cols])
 
 
 def level_order(df: DataFrame, level: str, measure: str, out: str | None = None) -> DataFrame:

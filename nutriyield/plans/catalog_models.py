@@ -22,14 +22,16 @@ CL = D.SCORED_CLASSES
 def _scored_sql() -> dict:
     raw = {c: f"(CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)), {4 * i + 1}, 4)) AS INTEGER) + 1.0 + "
               f"CASE WHEN truth = '{c}' THEN 20000.0 ELSE 0.0 END)" for i, c in enumerate(CL)}
-    tot = f"(({raw['1']} + {raw['2']}) + {raw['3']})"
+    tot = raw[CL[0]]
+    for c in CL[1:]:
+        tot = f"({tot} + {raw[c]})"
+    types = " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in zip(D.SCORED_TYPES, CL))
+    best = " ".join(f"WHEN pred_{c} >= greatest({', '.join(f'pred_{x}' for x in CL[i + 1:])}) THEN '{c}'" for i, c in enumerate(CL[:-1]))
     d = {
-        "ev": "SELECT event_id, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' "
-              "WHEN 'purchase' THEN '3' END AS truth FROM events",
+        "ev": f"SELECT event_id, CASE event_type {types} END AS truth FROM events",
         "sc0": "SELECT event_id, truth, " + ", ".join(f"{raw[c]} / {tot} AS pred_{c}" for c in CL)
                + " FROM ev WHERE truth IS NOT NULL",
-        "scored": "SELECT *, CASE WHEN pred_1 >= pred_2 AND pred_1 >= pred_3 THEN '1' "
-                  "WHEN pred_2 >= pred_3 THEN '2' ELSE '3' END AS pred_class FROM sc0",
+        "scored": f"SELECT *, CASE {best} ELSE '{CL[-1]}' END AS pred_class FROM sc0",
         "classes": O.values([(c,) for c in CL], ["c"]),
         "conf": "SELECT p.c AS prediction, t.c AS truth, CAST(coalesce(x.n, 0) AS BIGINT) AS n "
                 "FROM classes p CROSS JOIN classes t LEFT JOIN (SELECT pred_class, truth, count(*) AS n FROM scored "

@@ -231,21 +231,26 @@ def object_listing(t: Tables) -> DataFrame:
     return ev.select(name.alias("name"), F.date_trunc("day", F.col("ts")).alias("updated"))
 
 
-SCORED_CLASSES = ["1", "2", "3"]
+#: event type of each class, in the order of the class labels
+SCORED_TYPES = ["view", "click", "purchase", "signup", "error"]
+SCORED_CLASSES = [str(i + 1) for i in range(len(SCORED_TYPES))]
 
 
 def scored_events(t: Tables) -> DataFrame:
-    """Classifier output stand-in: truth from three event types, class
-    probabilities from md5 digits of the event id plus a signal on the truth."""
-    truth = (F.when(F.col("event_type") == "view", F.lit("1")).when(F.col("event_type") == "click", F.lit("2"))
-             .when(F.col("event_type") == "purchase", F.lit("3")))
+    """Classifier output stand-in: truth from the event type, class probabilities
+    from md5 digits of the event id plus a signal on the truth."""
+    truth = F.lit(None).cast("string")
+    for c, kind in zip(SCORED_CLASSES, SCORED_TYPES):
+        truth = F.when(F.col("event_type") == kind, F.lit(c)).otherwise(truth)
     h = F.md5(F.col("event_id").cast("string"))
     ev = t.events.select("event_id", truth.alias("truth"), h.alias("__h")).where(F.col("truth").isNotNull())
     raw = {}
     for i, c in enumerate(SCORED_CLASSES):
         digits = F.conv(F.substring("__h", 4 * i + 1, 4), 16, 10).cast("double")
         raw[c] = digits + F.lit(1.0) + F.when(F.col("truth") == c, F.lit(20000.0)).otherwise(F.lit(0.0))
-    tot = (raw["1"] + raw["2"]) + raw["3"]
+    tot = raw["1"]
+    for c in SCORED_CLASSES[1:]:
+        tot = tot + raw[c]
     out = ev.select("event_id", "truth", *[(raw[c] / tot).alias(f"pred_{c}") for c in SCORED_CLASSES])
     best = F.array_max(F.array(*[F.struct(F.col(f"pred_{c}").alias("p"), F.lit(-i).alias("neg_i"),
                                           F.lit(c).alias("c")) for i, c in enumerate(SCORED_CLASSES)]))
