@@ -136,11 +136,6 @@ def _cents_frame(spark, cents, schema, cols) -> DataFrame:
     return c.select(F.collect_list(F.struct(F.col("cid"), *[F.col(f"`{x}`") for x in cols])).alias("__c"))
 
 
-def _w_all(order_col: str):
-    from pyspark.sql import Window
-    return Window.orderBy(order_col)  # over exactly k rows
-
-
 def _assign(df: DataFrame, cols: Sequence[str], cents: DataFrame) -> DataFrame:
     x = with_scalars(df, cents)
 
@@ -317,8 +312,8 @@ def drop_cooks_outliers(df: DataFrame, key: str, x: str, y: str, factor: float =
     sse = j.groupBy(key).agg(F.sum(F.col("__e") * F.col("__e")).alias("__sse"))
     j = j.join(sse, key)
     dx = F.col(x) - F.col("__xbar")
-    h = F.lit(1.0) / F.col("__n") + (dx * dx) / F.col("__sxx")
-    s2 = F.col("__sse") / (F.col("__n") - 2)
+    h = F.lit(1.0) / F.col("__n") + F.try_divide(dx * dx, F.col("__sxx"))
+    s2 = F.try_divide(F.col("__sse"), F.col("__n") - 2)
     d = F.try_divide(F.col("__e") * F.col("__e"), 2 * s2) * F.try_divide(h, (1 - h) * (1 - h))
     j = j.withColumn("__d", d)
     mean_d = j.agg(F.avg("__d").alias("__md"))

@@ -10,7 +10,7 @@ from nutriyield.operators import stats as ST
 from nutriyield.operators import supply as S
 from nutriyield.operators.verbs import level_order
 from nutriyield.plans import oracle as O
-from nutriyield.plans.catalog import NUT_MU, _summary_sql, register
+from nutriyield.plans.catalog import NUT_MU, _summary_sql, _summary_window, register
 from nutriyield.plans.catalog_domain import ECON_SQL, _density_sql, _single
 from nutriyield.plans.inputs import Inputs
 from nutriyield.sources import driver as D
@@ -141,7 +141,8 @@ def _minmax_sql() -> dict:
     ["region", "nutrient"]), _minmax_sql()))
 def _minmax(i: Inputs):
     """FN-17: log min-max colour score of the summary table columns."""
-    tab = S.summary_table(i.region_stats_adj, i.population, i.rdi, D.SUMMARY_YEAR, 0.20)
+    w = _summary_window(i)
+    tab = S.summary_table(w.region_stats_adj, w.population, w.rdi, D.SUMMARY_YEAR, 0.20)
     return S.log_minmax(tab, ["annual_kg", "people_supplied_daily", "percent_population_supplied"])
 
 

@@ -75,19 +75,24 @@ class Inputs:
         return D.attach_catch(TR.fill_region_by_tracker(D.trip_heads(self.t)), D.trip_catch(self.t))
 
     @cached_property
-    def kobo_trips(self) -> DataFrame:
+    def windowed_trips(self) -> DataFrame:
+        """Trips of the study window with their nested catch: the one place that nests lineitem."""
         # region fill over all trips (the mode needs every trip of a tracker),
         # then the head-only filters, then nest only the kept orders' lines
         heads = TR.trip_window(TR.fill_region_by_tracker(D.trip_heads(self.t)),
                                D.TRIP_START, D.TRIP_END, D.REGIONS)
-        trips = D.attach_catch(heads, D.trip_catch(self.t, heads))
-        return TR.trip_yields(trips, D.TRIP_START, D.TRIP_END, D.REGIONS)
+        return D.attach_catch(heads, D.trip_catch(self.t, heads))
+
+    @cached_property
+    def kobo_trips(self) -> DataFrame:
+        return TR.trip_yields(self.windowed_trips, D.TRIP_START, D.TRIP_END, D.REGIONS)
 
     @cached_property
     def catch_data(self) -> DataFrame:
-        """Revenue records of the trips kept in ``kobo_trips``."""
-        cd = D.catch_data(self.t)
-        return cd.join(self.kobo_trips.select("landing_id").distinct(), "landing_id", "left_semi")
+        """Revenue records of the trips kept in ``kobo_trips``: those with a catch row.
+
+        One trip is one row of ``windowed_trips``, so the test stays inside the row."""
+        return D.revenue_records(self.windowed_trips.where(F.size(TR.catch_rows(F.col("landing_catch"))) > 0))
 
     def total_label(self, df: DataFrame, col: str, label: str) -> DataFrame:
         return df.withColumn(col, F.coalesce(F.col(col), F.lit(label)))

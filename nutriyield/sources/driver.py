@@ -213,13 +213,17 @@ def trips(t: Tables) -> DataFrame:
     return attach_catch(trip_heads(t), trip_catch(t))
 
 
-def catch_data(t: Tables) -> DataFrame:
+def revenue_records(trip_frame: DataFrame) -> DataFrame:
     """Trip revenue records: (landing_id, landing_value, landing_catch)."""
-    tr = trips(t)
     ok = F.col("landing_id").cast("long")
-    return tr.select("landing_id",
-                     F.when(ok % 17 != 0, F.col("landing_catch_price")).alias("landing_value"),
-                     "landing_catch")
+    return trip_frame.select("landing_id",
+                             F.when(ok % 17 != 0, F.col("landing_catch_price")).alias("landing_value"),
+                             "landing_catch")
+
+
+def catch_data(t: Tables) -> DataFrame:
+    """Revenue records of all trips."""
+    return revenue_records(trips(t))
 
 
 def object_listing(t: Tables) -> DataFrame:
