@@ -143,6 +143,11 @@ def comma_format(c) -> Column:
     return F.format_number(_c(c).cast("double"), 0)
 
 
+def catch_label(c) -> Column:
+    """Tonnes as a label: "<1" below one, else the rounded number with thousands separators."""
+    return F.when(_c(c) < 1, F.lit("<1")).otherwise(comma_format(_c(c)))
+
+
 # --------------------------------------------------------------------------- frames
 
 def cols_between(df: DataFrame, first: str, last: str) -> list[str]:

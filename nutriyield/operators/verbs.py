@@ -95,6 +95,27 @@ def add_total_row(df: DataFrame, key: str, value_aggs: dict[str, Column], label:
             .drop("__gid"))
 
 
+# --------------------------------------------------------------------------- selection and order
+
+
+def cols_matching(df: DataFrame, contains: str | None = None, starts_with: str | None = None,
+                  without: str | None = None) -> list[str]:
+    """Column names by a literal pattern (``contains``, ``starts_with``, ``!contains``), in schema order."""
+    return [c for c in df.columns if (contains is None or contains in c)
+            and (starts_with is None or c.startswith(starts_with)) and (without is None or without not in c)]
+
+
+def arrange(df: DataFrame, by: Sequence[Column], within: Sequence[str] = (), rank: str | None = None) -> DataFrame:
+    """``arrange(..., .by_group)``: a global sort by the group columns, then ``by``.
+
+    ``rank`` adds the row's position in its group (or in the table).  Positions
+    need a total order; they are for report tables, whose groups hold a few rows.
+    """
+    if rank:
+        df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*by)))
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in within], *by)
+
+
 # --------------------------------------------------------------------------- ranks and samples
 
 

@@ -541,3 +541,4 @@ __all__ = ["sig"]
 
 from nutriyield.plans import catalog_models  # noqa: E402,F401
 from nutriyield.plans import catalog_extra  # noqa: E402,F401
+from nutriyield.plans import catalog_verbs  # noqa: E402,F401
