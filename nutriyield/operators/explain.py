@@ -6,11 +6,12 @@ mean model output over background rows b of the hybrid (x on S, b elsewhere).
 
 Distributed plan: distinct feature tuples of the rows to explain (the model is
 a function of the tuple, so duplicates share values) are expanded in-row over
-the coalitions and the fixed-size background (both bounded: 2**p and ``n_bg``
-rows, attached as one broadcast row), scored by the model in one
-``transform``, averaged per (tuple, coalition, class), and combined with the
-Shapley weights inside each (tuple, class) group of 2**p values.  The result
-is joined back to every row.
+the coalitions and the distinct background rows with their weights (both
+bounded: 2**p and ``n_bg`` rows, attached as one broadcast row).  Equal hybrids
+add up their weights before they move, each distinct hybrid is scored once by
+the model in one ``transform``, and the scores are averaged per (tuple,
+coalition, class) and combined with the Shapley weights inside each (tuple,
+class) group of 2**p values.  The result is joined back to every row.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def kernel_shap(model, df: DataFrame, features: Sequence[str], id_cols: Sequence
     p = len(features)
     spark = df.sparkSession
     bg = sample_n(df.select(*id_cols, *features), id_cols, n_bg, seed).select(*features)
-    bg_row = bg.agg(F.collect_list(F.struct(*features)).alias("__bg"))  # n_bg rows, fixed size
+    bg = bg.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+    bg_row = bg.agg(F.collect_list(F.struct("*")).alias("__bg"))  # n_bg rows at most
     masks = spark.createDataFrame([(m,) for m in range(2 ** p)], "mask int") \
         .agg(F.collect_list("mask").alias("__masks"))
     tuples = df.select(*features).distinct()
@@ -47,10 +49,13 @@ def kernel_shap(model, df: DataFrame, features: Sequence[str], id_cols: Sequence
     x = x.select("*", F.explode("__bg").alias("__b")).drop("__bg")
     hybrid = {f: F.when((F.col("mask").bitwiseAND(1 << j)) != 0, F.col(f"__x_{f}")).otherwise(F.col("__b")[f])
               for j, f in enumerate(features)}
-    h = x.select("__tid", "mask", *[e.alias(f) for f, e in hybrid.items()])
-    scored = model.transform(h)
+    h = x.select("__tid", "mask", F.col("__b")["__w"].alias("__w"), F.struct(*[e.alias(f) for f, e in hybrid.items()]).alias("__s"))
+    h = h.groupBy("__tid", "mask", "__s").agg(F.sum("__w").alias("__w")).withColumn("__hid", F.md5(F.to_json("__s")))
     classes = list(model.classes)
-    v = scored.groupBy("__tid", "mask").agg(*[F.avg(f"pred_{c}").alias(c) for c in classes])
+    scored = model.transform(h.groupBy("__hid").agg(F.first("__s").alias("__s")).select("__hid", "__s.*")) \
+        .select("__hid", *[f"pred_{c}" for c in classes])
+    v = h.join(scored, "__hid").groupBy("__tid", "mask").agg(
+        *[(F.sum(F.col(f"pred_{c}") * F.col("__w")) / F.sum("__w")).alias(c) for c in classes])
     v = v.unpivot(["__tid", "mask"], classes, "class", "v")
     arr = v.groupBy("__tid", "class").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("mask", "v"))), lambda s: s["v"]).alias("__v"))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nutriyield.operators.verbs import bucketed_rank, hash_key, with_scalars
+from nutriyield.operators.verbs import hash_key, with_scalars
 from nutriyield.session import cut_lineage
 
 # --------------------------------------------------------------------------- k-means (Spark ML)
@@ -201,8 +201,13 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     SS_T = sum ||x - mean||^2; SS_W(labels) = SS_T - sum_g ||S_g||^2 / n_g with
     S_g the sum of centred rows of group g.  Each permutation gives every row the
     label at its hash rank (rank of md5(seed, perm, id) inside the permutation);
-    one aggregate per (perm, label) yields S_g.  Permutations are processed in
-    chunks of ``perm_chunk`` to bound the rows x permutations expansion.
+    one aggregate per (perm, label) yields S_g.
+
+    No row is ranked or moved for that: hash prefixes are counted map-side, the
+    rows of the one prefix that holds a group boundary give the boundary's exact
+    hash, and rows compare their hash with the k - 1 boundaries of the
+    permutation (perm_chunk x (k - 1) values, a size fixed by the parameters, so
+    broadcast).  Chunks of ``perm_chunk`` permutations run one after another.
     p = (1 + #{F_perm >= F_obs - sqrt(eps)}) / (permutations + 1).
     """
     cols = list(cols)
@@ -236,24 +241,21 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
 
     obs = obs.select("ss_t", "ss_b", fstat(F.col("ss_b"), F.col("ss_t")).alias("f_obs"))
 
-    cut_arr = F.array(*[F.lit(c) for c in cuts])
     lab_arr = F.array(*[F.lit(str(g)) for g in labels])
-    counts = None
+    key = F.struct(F.col("__h"), *[F.col(c) for c in id_cols]).alias("__key")
+    ge = 0
     for start in range(1, permutations + 1, perm_chunk):
         stop = min(permutations, start + perm_chunk - 1)
         p = z.select(*id_cols, *zc, F.explode(F.sequence(F.lit(start), F.lit(stop))).alias("__perm"))
-        p = p.withColumn("__h", hash_key(seed, "__perm", *id_cols))
-        p = bucketed_rank(p, ["__perm"], "__h", bucket_digits=_bucket_digits(n), tie_cols=list(id_cols))
-        # label index = number of cut points strictly below the 1-based position
-        idx = F.size(F.filter(cut_arr, lambda c: c < F.col("__pos")))
-        p = p.withColumn("__lab", F.element_at(lab_arr, (idx + 1).cast("int")))
-        sb = ss_between(p, ["__perm", "__lab"])
-        sb = with_scalars(sb, obs.select("ss_t", "f_obs"))
-        c = sb.agg(F.count(F.when(fstat(F.col("ss_b"), F.col("ss_t")) >= F.col("f_obs") - F.lit(1.4901161193847656e-08), 1))
-                   .alias("__ge"))
-        counts = c if counts is None else counts.unionByName(c)
-    ge = counts.agg(F.sum("__ge").alias("__ge"))
-    res = with_scalars(obs, ge)
+        p = p.withColumn("__h", hash_key(seed, "__perm", *id_cols)).select("__perm", key, *zc)
+        bounds = F.broadcast(_permutation_bounds(p, cuts[:-1]))
+        # label index = number of boundaries strictly below the row's key
+        idx = F.size(F.filter("__bounds", lambda c: c < F.col("__key")))
+        labelled = p.join(bounds, "__perm").withColumn("__lab", F.element_at(lab_arr, (idx + 1).cast("int")))
+        sb = with_scalars(ss_between(labelled, ["__perm", "__lab"]), obs.select("ss_t", "f_obs"))
+        ge += sb.agg(F.count(F.when(fstat(F.col("ss_b"), F.col("ss_t")) >= F.col("f_obs") - F.lit(1.4901161193847656e-08), 1))
+                     .alias("__ge")).first()["__ge"]  # one number per chunk
+    res = obs.withColumn("__ge", F.lit(ge))
     ssw = F.col("ss_t") - F.col("ss_b")
     pval = (F.col("__ge") + 1) / F.lit(float(permutations + 1))
     term = res.select(F.lit(group).alias("term"), F.lit(k - 1).alias("df"), F.col("ss_b").alias("SumOfSqs"),
@@ -268,14 +270,20 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     return term.unionByName(resid).unionByName(total)
 
 
-def _bucket_digits(n: int, target: int = 200_000) -> int:
-    """Hex digits of hash bucket so that one sort holds at most about ``target``
-    rows.  Every permutation has exactly n rows (no skew is possible), so up to
-    ``target`` rows a plain per-permutation window is used (0 digits)."""
-    import math
-    if n <= target:
-        return 0
-    return max(1, min(5, math.ceil(math.log(n / target, 16))))
+def _permutation_bounds(p: DataFrame, cuts: Sequence[int], digits: int = 2) -> DataFrame:
+    """(__perm, __bounds): the keys at the 1-based ranks ``cuts`` of each permutation, in order."""
+    from pyspark.sql import Window
+    prefix = F.substring(F.col("__key.__h"), 1, digits)
+    per = p.groupBy("__perm", prefix.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    # at most 16 ** digits rows per permutation
+    per = per.withColumn("__to", F.sum("__n").over(Window.partitionBy("__perm").orderBy("__b")))
+    ranks = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+    edge = per.select("__perm", "__b", F.explode(F.filter(ranks, lambda c: (c <= F.col("__to")) & (c > F.col("__to") - F.col("__n")))).alias("__cut"),
+                      (F.col("__to") - F.col("__n")).alias("__before"))
+    near = p.select("__perm", "__key", prefix.alias("__b")).join(F.broadcast(edge), ["__perm", "__b"])  # a row per permutation and cut
+    pos = F.row_number().over(Window.partitionBy("__perm", "__cut").orderBy("__key"))
+    hit = near.withColumn("__pos", pos + F.col("__before")).where(F.col("__pos") == F.col("__cut"))
+    return hit.groupBy("__perm").agg(F.array_sort(F.collect_list("__key")).alias("__bounds"))  # len(cuts) keys
 
 
 def permanova_report(results: dict[str, DataFrame], strip: str = "_perm",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from nutriyield.functions.semantics import catch_label, cols_between, level_rank, numeric_cols, r_ifelse
+from nutriyield.operators import explain as EX
 from nutriyield.operators import models as M
 from nutriyield.operators import supply as S
 from nutriyield.operators import trips as TR
@@ -126,6 +127,75 @@ def _labels(i: Inputs):
                     level_rank("o_orderstatus", ["P", "O"]).alias("pos"), r_ifelse(rest > 3, "high", "low").alias("side"))
 
 
+# ------------------------------------------------------------------ Shapley values of a known scorer
+
+SHAP_FEATURES = ["habitat", "propulsion_gear", "mesh_size"]
+
+
+class LookupScorer:
+    """A scorer that SQL can repeat: one product and one sum of the features."""
+
+    classes = ["1", "2"]
+
+    def transform(self, df):
+        p = (F.length("habitat") * F.col("mesh_size") + 10 * F.length("propulsion_gear")) / 1000.0
+        return df.withColumns({"pred_1": p, "pred_2": 1.0 - p})
+
+
+def _shap_sql(n_bg: int = 50) -> dict:
+    p = len(SHAP_FEATURES)
+    take = lambda m: [f"{'t' if m >> j & 1 else 'b'}.{f}" for j, f in enumerate(SHAP_FEATURES)]
+    value = lambda m: "avg((length({0}) * {2} + 10 * length({1})) / 1000.0)".format(*take(m))
+    d = {"bg": f"SELECT {', '.join(SHAP_FEATURES)} FROM trip_head ORDER BY md5('1|' || landing_id), landing_id LIMIT {n_bg}",
+         "tup": f"SELECT DISTINCT {', '.join(SHAP_FEATURES)} FROM trip_head",
+         "vals": f"SELECT {', '.join('t.' + f for f in SHAP_FEATURES)}, " + ", ".join(f"{value(m)} AS v{m}" for m in range(2 ** p))
+                 + f" FROM tup t, bg b GROUP BY {', '.join('t.' + f for f in SHAP_FEATURES)}"}
+    weight = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}
+    rows = []
+    for j, f in enumerate(SHAP_FEATURES):
+        phi = " + ".join(f"{weight[bin(m).count('1')]!r} * (v{m | 1 << j} - v{m})" for m in range(2 ** p) if not m >> j & 1)
+        rows += [f"SELECT {', '.join(SHAP_FEATURES)}, '{c}' AS class, '{f}' AS feature, {sign}({phi}) AS shap FROM vals" for c, sign in (("1", ""), ("2", "-"))]
+    d["phi"] = " UNION ALL ".join(rows)
+    return d
+
+
+@register("ml_kernel_shap_lookup", O.with_base(O.snap_select(
+    "SELECT h.landing_id, p.class, p.feature, round(p.shap, 9) AS shap FROM trip_head h JOIN phi p ON "
+    + " AND ".join(f"h.{f} = p.{f}" for f in SHAP_FEATURES), ["shap"], ["landing_id", "class", "feature"]), _shap_sql()))
+def _shap_lookup(i: Inputs):
+    """ML-21: exact Shapley values of a scorer that SQL can repeat (8 coalitions, 50 background rows)."""
+    s = EX.kernel_shap(LookupScorer(), D.trip_heads(i.t).select("landing_id", *SHAP_FEATURES), SHAP_FEATURES, ["landing_id"], n_bg=50, seed=1)
+    return s.select("landing_id", "class", "feature", F.round("shap", 9).alias("shap"))
+
+
+@register("ml_lump_near_zero_planted", O.snap_select(
+    "SELECT name, CAST(count(*) AS BIGINT) AS n, sum(x) AS x FROM (SELECT CASE WHEN r <= 10 THEN 'Others' ELSE p_brand END AS name, x FROM "
+    "(SELECT p_brand, p_retailprice * ((p_partkey % 7) - 3) AS x FROM part) a JOIN (SELECT p_brand AS b, rank() OVER (ORDER BY avg(-abs("
+    "p_retailprice * ((p_partkey % 7) - 3))) DESC) AS r FROM part GROUP BY 1) l ON a.p_brand = l.b) z GROUP BY 1", ["x"], ["name", "n"]))
+def _lump_planted(i: Inputs):
+    """ML-24: 10 of 25 levels, those nearest zero, pooled to "Others"."""
+    x = i.t.part.select("p_brand", (F.col("p_retailprice") * (F.col("p_partkey") % 7 - 3)).alias("shap"))
+    out = EX.lump_near_zero(x, "p_brand", "shap", 10).groupBy(F.col("p_brand").alias("name"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("shap").alias("x"))
+
+
+@register("ml_dummies_planted", "SELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN o_orderstatus = '{s}' THEN 1.0e0 ELSE 0.0e0 END AS o_orderstatus_{s}" for s in "OP") + " FROM orders")
+def _dummies_planted(i: Inputs):
+    """ML-9: treatment coding against the first level."""
+    return M.dummies(i.t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
+
+
+@register("ml_importance_planted", "SELECT category, CAST(sum(importance) AS DOUBLE) AS aggregated_importance, 'All' AS model FROM "
+          "(SELECT CASE WHEN contains(p_brand, '1') THEN 'One' WHEN contains(p_brand, '2') THEN 'Two' ELSE 'Other' END AS category, "
+          "CAST(p_size AS DOUBLE) AS importance FROM part) x GROUP BY 1")
+def _importance_planted(i: Inputs):
+    """ML-20: importance summed by the first rule that an encoded name meets."""
+    imp = i.t.part.select(F.col("p_brand").alias("variable"), F.col("p_size").cast("double").alias("importance"))
+    g = M.importance_by_feature(imp, [("1", "one"), ("2", "two")], "All")
+    return g.select(F.initcap("category").alias("category"), "aggregated_importance", "model")
+
+
 # ------------------------------------------------------------------ sources and sinks
 
 
