@@ -15,11 +15,13 @@ Shape of the job, chosen for large groups of copies:
    many pairs as members, never all pairs.  Pairs are confirmed by streaming
    the members past the hub's set, hubs with many members being dealt to many
    tasks.
-4. Confirmed links are contracted to components.  Only buckets that still hold
-   more than one component are looked at again: members of different components
-   are compared by sketch, block against block of bounded size, and the pairs
-   whose estimate is within reach of the threshold are confirmed as before.
-   Nothing is capped: a bucket of any size is cut into more blocks.
+4. Confirmed links are contracted to components.  Buckets that still hold more
+   than one component are looked at again by sketch, which joins components
+   that may be linked to clusters (as a forest, never as pairs).  Inside a
+   cluster the documents outside its largest component meet all its documents,
+   block against block of bounded size, each block holding whole sets; a block
+   gives the links that join components, no others.  Nothing is capped: a
+   bucket or cluster of any size is cut into more blocks.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares a band with probability
 1 - 3e-6, and the sketch bound lies more than 5 standard deviations below 0.8.
@@ -45,7 +47,7 @@ from nutriyield.llm.common import U64, mix, pair_hash, shared_table, slices, wor
 
 ROW_SCHEMA = "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary"
 TILE = 1 << 16
-BLOCK = 2048
+BLOCK = 512
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -154,7 +156,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, ru
     members = pairs.join(count, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("salt"), "doc")
     # a hub goes with each of its runs that has members
     tasks = members.unionByName(members.groupBy("hub", "salt").agg(F.first("hub").alias("doc")))
-    rows = tasks.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("hub", "salt", "doc", "text")
+    # pairs grow with the corpus, so neither side is ever broadcast
+    rows = texts.withColumnRenamed("doc_id", "doc").hint("merge").join(tasks, "doc").select("hub", "salt", "doc", "text")
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", (F.col("doc") != F.col("hub")), "doc")
     return dealt.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint")
 
@@ -186,39 +189,86 @@ def components(links: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("doc"), F.col("a").alias("comp"))
 
 
-def _block_pairs(coords: int, percent: int):
-    """Pairs of different components in one block (or two blocks) of a bucket that may reach the threshold."""
+class Groups:
+    """Union-find over the numbers 0 .. n-1, as an array of roots."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.root[a], self.root[b]
+        if x != y:
+            self.root[self.root == max(x, y)] = min(x, y)
+        return x != y
+
+
+def _bucket_forest(coords: int, percent: int):
+    """Components in one block (or two blocks) of a bucket that may be linked, as a forest."""
     reach = percent / 100 - 5.4 * np.sqrt(percent / 100 * (1 - percent / 100) / coords)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, i, j = key
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         pdf = pdf.sort_values("doc", ignore_index=True)
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        bands = np.vstack(pdf["bands"].to_numpy())
-        comp, size, doc, block = (pdf[c].to_numpy() for c in ("comp", "n_shingles", "doc", "block"))
-        uniq, inv, cnt = np.unique(comp, return_inverse=True, return_counts=True)
-        rest = np.nonzero(inv != cnt.argmax())[0]  # two members of the largest component are never a pair
-        done = np.zeros(len(pdf), bool)
-        a_out, b_out = [], []
-        for a in rest:
-            done[a] = True
-            to = np.nonzero(~done & (comp != comp[a]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))[0]
+        size, block = pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy()
+        comps, own, cnt = np.unique(pdf["comp"].to_numpy(), return_inverse=True, return_counts=True)
+        groups, out = Groups(len(comps)), []
+        for a in np.nonzero(own != cnt.argmax())[0]:  # two members of the largest component are never a pair
+            to = (groups.root[own] != groups.root[own[a]]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a]))
             if i != j:
-                to = to[block[to] != block[a]]
-            if not len(to):
-                continue
-            est = ((sk[to] == sk[a]).mean(1) - 1 / 256) / (1 - 1 / 256)
-            to = to[est >= reach]
-            if len(to):  # each pair is given by the first band that it shares
-                to = to[bands[a][(bands[to] == bands[a]).argmax(1)] == k]
-                a_out.append(np.full(len(to), doc[a]))
-                b_out.append(doc[to])
-        if not a_out:
-            return pd.DataFrame({"hub": np.zeros(0, np.int64), "doc": np.zeros(0, np.int64)})
-        return pd.DataFrame({"hub": np.concatenate(a_out), "doc": np.concatenate(b_out)})
+                to &= block != block[a]
+            to = np.nonzero(to)[0]
+            if len(to):
+                est = ((sk[to] == sk[a]).mean(1) - 1 / 256) / (1 - 1 / 256)
+                out += [(comps[own[a]], comps[c]) for c in np.unique(own[to[est >= reach]]) if groups.join(own[a], c)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
     return run
 
 
+def _block_links(shingle: int, percent: int):
+    """Links that join components, from the documents of role 0 to those of role 1, by their full sets."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["role", "doc"], ignore_index=True)
+        sets = shingle_sets(pa.array(pdf["text"], pa.string()), shingle)
+        doc = pdf["doc"].to_numpy()
+        _, own = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        groups, out = Groups(own.max() + 1), []
+        n = int((pdf["role"] == 0).sum())
+        to, size = np.arange(n, len(pdf)), np.array([len(x) for x in sets[n:]])
+        if len(to):
+            universe, at = np.unique(np.concatenate(sets[n:]), return_inverse=True)
+            begin, mark = np.cumsum(size) - size, np.zeros(len(universe), np.int32)
+            for a in range(n):
+                if (groups.root[own[to]] == groups.root[own[a]]).all():
+                    continue
+                place = np.searchsorted(universe, sets[a])
+                place = place[place < len(universe)]
+                place = place[np.isin(universe[place], sets[a])]
+                mark[place] = 1
+                both = np.add.reduceat(mark[at], begin)
+                mark[place] = 0
+                for b in to[100 * both >= percent * (len(sets[a]) + size - both)]:
+                    if groups.join(own[a], own[b]):
+                        out.append((doc[a], doc[b]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return run
+
+
+def crossing_links(clusters: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between the components of each cluster, given as (doc, comp, cluster)."""
+    per = clusters.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    size = per.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m")) \
+        .select("cluster", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("rest"))
+    rows = clusters.join(size, "cluster")
+    block = lambda seed, n: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rows.where("comp <> main").select("cluster", block(0, "rest").alias("i"), every("blocks").alias("j"), F.lit(0).alias("role"), "doc", "comp")
+    inside = rows.select("cluster", every("rest").alias("i"), block(1, "blocks").alias("j"), F.lit(1).alias("role"), "doc", "comp")
+    tasks = outside.unionByName(inside)
+    named = texts.withColumnRenamed("doc_id", "doc").hint("merge").join(tasks, "doc")
+    return named.groupBy("cluster", "i", "j").applyInPandas(_block_links(shingle, percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80,
                     bands: int = 32, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
@@ -242,15 +292,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = buckets.where("members > 2").join(first, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")) \
         .where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_rows = named.join(mixed, "key").join(classes.select("doc", "n_shingles", "bands", "sketch"), "doc") \
+    open_rows = named.join(mixed, "key").join(classes.select("doc", "n_shingles", "sketch"), "doc") \
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     placed = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = placed.groupBy("key", "i", "j").applyInPandas(_block_pairs(bands * rows, percent), "hub bigint, doc bigint")
-    again = shared_table(found.distinct().join(star.select("hub", "doc"), ["hub", "doc"], "left_anti")
-                         .join(star.select(F.col("doc").alias("hub"), F.col("hub").alias("doc")), ["hub", "doc"], "left_anti"), "pairs")
-    if not again.isEmpty():
-        links = links.unionByName(confirmed(again, texts, shingle, percent))
+    forest = placed.groupBy("key", "i", "j").applyInPandas(_bucket_forest(bands * rows, percent), "a bigint, b bigint")
+    cluster = components(forest).select(F.col("doc").alias("comp"), F.col("comp").alias("cluster"))
+    if not cluster.isEmpty():
+        every = classes.join(first, "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"))
+        links = links.unionByName(crossing_links(shared_table(every.join(cluster, "comp"), "clusters"), texts, shingle, percent))
     label = components(reduce(DataFrame.unionByName, [links, own]))
     out = base.join(label.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     comp = F.coalesce("comp", "doc_id")
