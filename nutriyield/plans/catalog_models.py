@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nutriyield.operators import boosting as BO
 from nutriyield.operators import explain as EX
 from nutriyield.operators import models as M
 from nutriyield.operators import profiles as PR
-from nutriyield.operators.verbs import exact_median_by, separate
+from nutriyield.operators.verbs import exact_median_by, separate, with_scalars
 from nutriyield.plans import oracle as O
 from nutriyield.plans.catalog import register
 from nutriyield.plans.catalog_domain import _clustered, _profile_sql
 from nutriyield.plans.inputs import Inputs
+from nutriyield.session import cut_lineage
 from nutriyield.sources import driver as D
 
 CL = D.SCORED_CLASSES
@@ -239,30 +241,32 @@ def _importance(i: Inputs):
     return out
 
 
-@register("ml_tune_gn")
-def _tune(i: Inputs):
-    """ML-12/13: Latin-hypercube grid, stratified folds, best mean Hand-Till AUC.
+def _tuned(i: Inputs, gn: bool):
+    """Training rows, test rows and the tuned grid: 20 points x 10 folds, every setting as drawn."""
+    s = cut_lineage(M.stratified_split(_frame(i, gn), "cluster", ["landing_id"], 0.8, 234))
+    tr = M.stratified_folds(s.where(F.col("split") == "train").drop("split"), "cluster", ["landing_id"], 10, 567)
+    feats = GN_CAT + GN_NUM if gn else AG_CAT
+    grid = M.lhs_grid(20, seed=891, n_features=len(feats))
+    return tr, s.where(F.col("split") == "test"), feats, cut_lineage(BO.tune_cells(tr, "fold", feats, grid))
 
-    Registered with a small grid (2 points, trees <= 20, 2 folds) so the check
-    stays quick; ``tune`` takes any grid and fold count."""
-    s = M.stratified_split(_frame(i, True), "cluster", ["landing_id"], 0.8, 234).where(F.col("split") == "train")
-    tr = M.stratified_folds(s.drop("split"), "cluster", ["landing_id"], 2, 567).persist()
-    grid = M.lhs_grid(2, seed=891, n_features=len(GN_CAT) + len(GN_NUM))
-    for g in grid:
-        g["trees"] = max(1, min(20, g["trees"]))
-        g["tree_depth"] = max(1, min(6, g["tree_depth"]))
-        g["mtry"] = "all"
 
-    def make(params):
-        return M.ProfileClassifier(GN_CAT, GN_NUM, "cluster", "gbt", params)
+def _register_tuned(gn: bool, tag: str):
+    @register(f"ml_tune_{tag}")
+    def _tune(i: Inputs):
+        """ML-12/13: Latin-hypercube grid, stratified folds, mean Hand-Till AUC, best point marked."""
+        *_, tuned = _tuned(i, gn)
+        top = F.struct(F.col("mean_roc_auc"), -F.col("grid_point"))
+        return with_scalars(tuned, tuned.agg(F.max(top).alias("__top"))).withColumn("best", top == F.col("__top")).drop("__top")
 
-    best, results = _tune_run(tr, make, grid)
-    rows = [(gi, float(a), gi == grid.index(best)) for gi, a in results]
-    return i.spark.createDataFrame(rows, "grid_point int, mean_roc_auc double, best boolean")
+    @register(f"ml_final_fit_{tag}")
+    def _final(i: Inputs):
+        """ML-13/14: the best point refitted on all training rows, class probabilities of the test rows."""
+        tr, te, feats, tuned = _tuned(i, gn)
+        return BO.fit_predict_cells(tr, te, feats, BO.best_point(tuned))
 
 
-def _tune_run(tr, make, grid):
-    return M.tune(tr, "fold", make, grid, "cluster")
+_register_tuned(True, "gn")
+_register_tuned(False, "ag")
 
 
 def _shap(i: Inputs, gn: bool):
