@@ -27,6 +27,7 @@ HEADLINE = [
     "ml_lloyd_kmeans_gn",
     "sta_permanova_gn",
     "dom_profile_ci_ag",
+    "ml_tune_gn",
 ]
 
 
