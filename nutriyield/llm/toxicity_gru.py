@@ -46,8 +46,8 @@ class Settings:
     attention: int = 8
     max_words: int = 8192
     char_buckets: int = 1 << 14
-    max_docs: int = 3000
-    max_windows: int = 24
+    max_docs: int = 2000
+    max_windows: int = 16
     steps: int = 300
     batch_docs: int = 16
     batch_windows: int = 8
@@ -328,14 +328,16 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Networ
                 for i, n in enumerate(counts):
                     pick = np.unique(np.linspace(0, n - 1, min(n, s.max_windows)).astype(int)) if n else []
                     lines.append([" ".join(names[windows[first[i] + k]]) for k in pick])
-                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array(lines, pa.list_(pa.string()))], ["toxic", "lines"])
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("toxic").cast(pa.int32()), pa.array(lines, pa.list_(pa.string()))],
+                                                 ["place", "toxic", "lines"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(cut, "toxic int, lines array<string>")
-    table = got.select("toxic", "lines").toArrow()  # 2 * max_docs * max_windows windows at most
-    lines = table["lines"].combine_chunks()
-    order = np.argsort([f"{t}{x}" for t, x in zip(table["toxic"].to_pylist(), lines.to_pylist())], kind="stable")  # the same in any partitioning
-    lines, toxic = lines.take(pa.array(order)), table["toxic"].to_numpy()[order]
+    # places by hash: the same order in any partitioning
+    got = rows.select(F.xxhash64("doc_id", "text").alias("place"), "text", (F.col("toxic") > 0).cast("int").alias("toxic")) \
+        .mapInArrow(cut, "place bigint, toxic int, lines array<string>")
+    table = got.toArrow()  # 2 * max_docs * max_windows windows at most
+    order = np.argsort(table["place"].to_numpy(), kind="stable")
+    lines, toxic = table["lines"].combine_chunks().take(pa.array(order)), table["toxic"].to_numpy()[order]
     codes, at, words = word_codes(lines.flatten())
     if not len(codes):
         return None
