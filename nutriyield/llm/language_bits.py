@@ -83,15 +83,16 @@ class LanguageFilters:
     false_rate: np.ndarray
 
     def slots(self, keys: np.ndarray):
-        bits = U64(int(len(self.table)).bit_length() - 1)
-        step = (keys >> U64(32)) | U64(1)
+        """The slots of each (mixed) key, one array per probe; the top bits of two independent hashes' sums."""
+        bits = len(self.table).bit_length() - 1
+        step = mix(keys + U64(1)) | U64(1)
         for k in range(self.probes):
-            yield (keys + step * U64(k)) >> U64(64 - int(bits)) if bits else np.zeros(len(keys), np.int64)
+            yield ((keys + step * U64(k)) >> U64(64 - bits)).astype(np.int64)
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
         out = None
         for at in self.slots(mix(keys)):
-            got = self.table[at.astype(np.int64)]
+            got = self.table[at]
             out = got if out is None else out & got
         return out
 
@@ -119,7 +120,7 @@ def build_filters(grams: pd.DataFrame, prior: str | None, n: int, probes: int =
     out = LanguageFilters(names, prior, table, probes, n, np.zeros(len(names)))
     for l, name in enumerate(names):
         for at in out.slots(mix(keys[grams["lang"].to_numpy() == name])):
-            table[at.astype(np.int64), l // width] |= kind(1 << (l % width))
+            table[at, l // width] |= kind(1 << (l % width))
         fill = ((table[:, l // width] >> kind(l % width)) & kind(1)).mean()
         out.false_rate[l] = fill ** probes
     return out
