@@ -1,9 +1,9 @@
 """Student-t quantile as a vectorised Arrow UDF (no Spark builtin exists).
 
 Used once per (group, variable) for confidence intervals, never per raw row.
-For integer degrees of freedom up to 1000 the t CDF has a finite closed form
-(a trigonometric series); the quantile is found by bisection on it.  Above
-that the Cornish-Fisher expansion is accurate to well below 1e-9.
+The CDF is the regularised incomplete beta function (one continued fraction for
+all degrees of freedom); the quantile is found by Newton steps from the normal
+quantile, which lies to its left, where the steps rise without overshooting.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EXACT_MAX_DF = 1000
-
-
 def _norm_ppf(p: float) -> float:
     """Inverse standard normal CDF by bisection on erf (scalar, done once)."""
     lo, hi = -40.0, 40.0
@@ -31,31 +28,42 @@ def _norm_ppf(p: float) -> float:
     return (lo + hi) / 2
 
 
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, to machine precision."""
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    f, m = d.copy(), 0
+    while True:
+        m += 1
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        step = np.ones_like(x)
+        for n in (even, odd):
+            d, c = 1 + n * d, 1 + n / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            step = step * d * c
+        f = f * step
+        if np.all(np.abs(step - 1) < 3e-16) or m > 1_000_000:
+            return f
+
+
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(u) + math.lgamma(v) - math.lgamma(u + v) for u, v in zip(a, b)])
+
+
 def t_cdf_abs(t: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """P(|T| <= t) for integer ``nu`` >= 1 (vectorised finite series)."""
-    theta = np.arctan(t / np.sqrt(nu))
-    s, c = np.sin(theta), np.cos(theta)
-    c2 = c * c
-    odd = (nu % 2) == 1
+    """P(|T| <= t) for ``nu`` > 0 and t > 0."""
+    y = t * t / (nu + t * t)  # I_y(1/2, nu/2)
+    half, a = np.full_like(nu, 0.5), nu / 2
+    front = np.exp(half * np.log(y) + a * np.log1p(-y) - _log_beta(half, a))
+    left = y < 1.5 / (a + 2.5)
     out = np.empty_like(t)
-    max_nu = int(nu.max()) if len(nu) else 1
-    # even nu: sin(th) * sum_{k=0}^{(nu-2)/2} a_k cos^{2k}, a_0 = 1, a_k = a_{k-1} (2k-1)/(2k)
-    term = np.ones_like(t)
-    acc = np.ones_like(t)
-    for k in range(1, max_nu // 2 + 1):
-        term = term * c2 * (2 * k - 1) / (2 * k)
-        use = (2 * k) <= (nu - 2)
-        acc = acc + np.where(use, term, 0.0)
-    even_val = s * acc
-    # odd nu: (2/pi)(th + sin cos sum_{k=0}^{(nu-3)/2} b_k cos^{2k}), b_0 = 1, b_k = b_{k-1} (2k)/(2k+1)
-    term = np.ones_like(t)
-    acc = np.ones_like(t)
-    for k in range(1, max_nu // 2 + 1):
-        term = term * c2 * (2 * k) / (2 * k + 1)
-        use = (2 * k) <= (nu - 3)
-        acc = acc + np.where(use, term, 0.0)
-    odd_val = (2 / np.pi) * (theta + np.where(nu > 1, s * c * acc, 0.0))
-    out = np.where(odd, odd_val, even_val)
+    if left.any():
+        out[left] = front[left] * _beta_fraction(half[left], a[left], y[left]) / 0.5
+    if (~left).any():
+        r = ~left
+        out[r] = 1 - front[r] * _beta_fraction(a[r], half[r], 1 - y[r]) / a[r]
     return out
 
 
@@ -64,25 +72,17 @@ def t_quantile_np(p: float, nu: np.ndarray) -> np.ndarray:
     nu = np.asarray(nu, dtype=float)
     res = np.full(nu.shape, np.nan)
     ok = np.isfinite(nu) & (nu >= 1)
-    z = _norm_ppf(p)
-    big = ok & (nu > _EXACT_MAX_DF)
-    if big.any():
-        v = nu[big]
-        res[big] = (z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2)
-                    + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3)
-                    + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * v ** 4))
-    small = ok & ~big
-    if small.any():
-        v = np.floor(nu[small])
-        target = 2 * p - 1  # P(|T| <= t)
-        lo = np.zeros_like(v)
-        hi = np.full_like(v, 1e4)
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            below = t_cdf_abs(mid, v) < target
-            lo = np.where(below, mid, lo)
-            hi = np.where(below, hi, mid)
-        res[small] = (lo + hi) / 2
+    if ok.any():
+        v = np.floor(nu[ok])
+        t = np.full_like(v, _norm_ppf(p))
+        log_scale = -_log_beta(np.full_like(v, 0.5), v / 2) - 0.5 * np.log(v)
+        for _ in range(500):
+            density = np.exp(log_scale - (v + 1) / 2 * np.log1p(t * t / v))
+            step = (2 * p - 1 - t_cdf_abs(t, v)) / (2 * density)
+            t = t + step
+            if np.all(np.abs(step) <= 1e-13 * t):
+                break
+        res[ok] = t
     return res
 
 

@@ -393,6 +393,7 @@ def _feat_cols(gill_net: bool):
     return dbl, [k for k in keys if k not in dbl]
 
 
+REPORT_SQL: dict[str, str] = {}
 for _gn, _tag in ((True, "gn"), (False, "ag")):
     _dbl, _oth = _feat_cols(_gn)
     _p = f"{_tag}_"
@@ -503,6 +504,9 @@ for _gn, _tag in ((True, "gn"), (False, "ag")):
                      "NULL, NULL FROM pm_f f, pm_k k UNION ALL "
                      "SELECT 'Total', CAST(k.n - 1 AS INTEGER), f.ss_t, 1.0, NULL, NULL FROM pm_f f, pm_k k",
     })
+    for _k, _v in pm.items():  # the same tables under names of their own, for the report
+        _own = lambda x, p=_p: x.replace("pm_", f"{p}pm_").replace("permanova", f"{p}permanova")
+        REPORT_SQL[_own(_k)] = _own(_v)
     register(f"sta_permanova_{_tag}", O.with_base(O.snap_select(
         "SELECT * FROM permanova", ["SumOfSqs", "R2", "statistic", "p_value"], ["term", "df"]), pm))(_mk_perm(_gn))
 
@@ -526,7 +530,10 @@ def _kscan(i: Inputs):
     return ST.k_scan(_features(i, True), NUT6, [2, 3, 4, 5])
 
 
-@register("sta_permanova_report")
+@register("sta_permanova_report", O.with_base(O.snap_select(" UNION ALL ".join(
+    f"SELECT '{t.upper()}' AS subset, term, df, round_even(SumOfSqs, 2) AS SumOfSqs, round_even(R2, 2) AS R2, round_even(statistic, 2) AS statistic, "
+    f"CASE WHEN p_value <= 0.001 THEN '< 0.001' ELSE CAST(p_value AS VARCHAR) END AS p_value FROM {t}_permanova" for t in ("gn", "ag")),
+    ["SumOfSqs", "R2", "statistic"], ["subset", "term", "df", "p_value"]), REPORT_SQL))
 def _perm_report(i: Inputs):
     """STA-2: both PERMANOVA tables, tagged, rounded, p <= 0.001 as text."""
     res = {}
