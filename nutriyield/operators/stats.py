@@ -121,12 +121,15 @@ def lloyd_kmeans(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], k:
     init = x.withColumn("__h", h).orderBy("__h").limit(k).collect()
     cents = [[i + 1] + [float(r[c]) if r[c] is not None else None for c in cols] for i, r in enumerate(init)]
     schema = "cid int, " + ", ".join(f"`{c}` double" for c in cols)
-    for _ in range(iters):
+    for _ in range(iters):  # at most; a step that moves nothing is the last
         cdf = _cents_frame(spark, cents, schema, cols)
         means = {r["__cid"]: r for r in _assign(x, cols, cdf).groupBy("__cid")
                  .agg(*[F.avg(c).alias(c) for c in cols]).collect()}
         # a cluster that lost all rows keeps its old centroid
-        cents = [[c[0]] + ([float(means[c[0]][col]) for col in cols] if c[0] in means else c[1:]) for c in cents]
+        moved = [[c[0]] + ([float(means[c[0]][col]) for col in cols] if c[0] in means else c[1:]) for c in cents]
+        if moved == cents:
+            break
+        cents = moved
     out = _assign(x, cols, _cents_frame(spark, cents, schema, cols))
     return out.withColumn(label_col, F.col("__cid").cast("string")).drop("__cid")
 
