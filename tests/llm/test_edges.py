@@ -14,7 +14,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 #: names that the operators use for their own columns
 CLASHES = ["words", "lines", "passed", "kept", "rank", "part", "copy", "hub", "doc", "key", "score", "good", "role", "block", "ids", "n", "seg", "bucket", "row"]
 
-PROSE = " ".join(f"word{i} and the other{i % 7} thing of it." for i in range(40))
+PROSE = " ".join(f"word{i} and{i} other{i} of it{i}." for i in range(40))
 
 
 def rows():
