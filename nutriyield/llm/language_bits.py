@@ -136,7 +136,7 @@ def _count(n: int, hold: int = 2_000_000):
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 2_000_000):
                 langs = np.array(part.column("lang").to_pylist(), dtype=object)
                 texts = np.array(part.column("text").to_pylist(), dtype=object)
                 for lang in sorted(set(langs)):
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
         m: LanguageFilters = shared(model)
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2_000_000):
                 keys, offsets, found = ngram_keys(part.column("text").to_pylist(), m.n)
                 if m.languages:
                     sc = m.scores(keys, offsets)
