@@ -9,9 +9,9 @@ documents set aside.
 
 Labels belong to documents, not windows: in training the worst window of a
 toxic document is taught as toxic, all windows of a clean one as clean.  The
-training sample is bounded: at most ``max_docs`` documents a class (those with
-the smallest hash of their id) and ``max_windows`` windows of each, evenly
-spread over the whole text.  Scoring covers every window of every row.
+training sample is bounded in labelled rows only: at most ``max_docs`` documents
+a class (those with the smallest hash of their id), each with every window of
+its text.  Scoring covers every window of every row, and so does calibration.
 Everything is numpy, without randomness beyond a fixed seed.
 
 Defined cases: a null, empty or blank text scores 0; a text shorter than a
@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +47,10 @@ class Settings:
     attention: int = 8
     max_words: int = 8192
     char_buckets: int = 1 << 14
-    max_docs: int = 2000
-    max_windows: int = 16
+    max_docs: int = 3000
     steps: int = 300
     batch_docs: int = 16
-    batch_windows: int = 8
+    chunk: int = 1024  # windows in one backward pass
     rate: float = 0.01
     min_docs: int = 3  # a word needs so many training documents to have its own embedding
     word_dropout: float = 0.3
@@ -196,9 +196,12 @@ class Network:
         used, first = np.unique(place[order], return_index=True)
         return g, used, np.add.reduceat(rows[order], first, axis=0)
 
-    def document_logits(self, windows: np.ndarray, counts: np.ndarray, table: np.ndarray, batch: int = 4096) -> np.ndarray:
+    def logits(self, windows: np.ndarray, table: np.ndarray, batch: int = 4096) -> np.ndarray:
+        return np.concatenate([self.forward(table, windows[i:i + batch]) for i in range(0, len(windows), batch)] or [np.zeros(0)])
+
+    def document_logits(self, windows: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Largest logit of each document's windows; -inf without windows."""
-        logit = np.concatenate([self.forward(table, windows[i:i + batch]) for i in range(0, len(windows), batch)] or [np.zeros(0)])
+        logit = self.logits(windows, table)
         out = np.full(len(counts), -np.inf)
         at = np.concatenate([[0], np.cumsum(counts)])[:-1]
         full = counts > 0
@@ -221,52 +224,59 @@ def windows_of(codes: np.ndarray, at: np.ndarray, s: Settings) -> tuple[np.ndarr
     return codes[np.repeat(at[:-1], counts)[:, None] + place % n[:, None]], counts
 
 
-def train(windows: np.ndarray, counts: np.ndarray, words: list[str], toxic: np.ndarray, s: Settings, prior: float) -> Network | None:
-    """Fit on documents given by their windows; ``prior`` is the share of toxic documents before sampling."""
+def windows_at(codes: np.ndarray, at: np.ndarray, docs: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts with the numbers ``docs``, and how many each has."""
+    parts = [windows_of(codes, at[d:d + 2], s) for d in docs]
+    return np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def train(codes: np.ndarray, at: np.ndarray, words: list[str], toxic: np.ndarray, s: Settings, prior: float) -> Network | None:
+    """Fit on documents given by all their words; ``prior`` is the share of toxic documents before sampling."""
     toxic = toxic.astype(bool)
-    has = counts > 0
+    text_at, has = at, np.diff(at) > 0
     if not (toxic & has).any() or not (~toxic & has).any():
         return None
-    seen = np.unique(np.repeat(np.arange(len(counts)), counts * s.window) * len(words) + windows.ravel())
+    seen = np.unique(np.repeat(np.arange(len(has)), np.diff(text_at)) * len(words) + codes)
     freq = np.bincount(seen % len(words), minlength=len(words))  # documents of each word
     frequent = np.argsort(-freq, kind="stable")[: s.max_words]
     net = Network(s, pd.Index([words[i] for i in frequent if freq[i] >= s.min_docs], dtype=object))
     g = np.random.default_rng(s.seed)
-    aside = (g.random(len(counts)) < s.set_aside) & has
+    aside = (g.random(len(has)) < s.set_aside) & has
     for side in (toxic, ~toxic):  # a class with few documents is set aside and learned from
         if (side & has & ~aside).sum() < 4 or (side & aside).sum() < 2:
             aside[side] = False
-    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     pos, neg = (np.nonzero(side & has & ~aside)[0] for side in (toxic, ~toxic))
     known, grams, at = net.describe(words)
     start_from_odds(net, seen, freq, toxic, known, grams, at)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, s.steps + 1):
         docs = np.concatenate([g.choice(pos, s.batch_docs, replace=len(pos) < s.batch_docs), g.choice(neg, s.batch_docs, replace=len(neg) < s.batch_docs)])
-        pick = [first[d] + g.choice(counts[d], min(counts[d], s.batch_windows), replace=False) for d in docs]
-        owner = np.repeat(np.arange(len(docs)), [len(x) for x in pick])
-        rows, local = np.unique(windows[np.concatenate(pick)], return_inverse=True)
+        windows, size = windows_at(codes, text_at, docs, s)
+        owner = np.repeat(np.arange(len(docs)), size)
+        rows, local = np.unique(windows, return_inverse=True)
         local = local.reshape(-1, s.window)
         gram_n = at[rows + 1] - at[rows]
         own = grams[np.repeat(at[rows] - (np.cumsum(gram_n) - gram_n), gram_n) + np.arange(gram_n.sum())]
         own_at = np.concatenate([[0], np.cumsum(gram_n)])
         seen_as = np.where(g.random(len(rows)) < s.word_dropout, 0, known[rows])
         e, table = net.inputs(seen_as, own, own_at)
-        logit = net.forward(table, local)
-        # the worst window of a toxic document, every window of a clean one
-        begin = np.searchsorted(owner, np.arange(len(docs)))
-        taught = owner >= s.batch_docs
-        for d in range(s.batch_docs):
-            end = begin[d + 1] if d + 1 < len(docs) else len(owner)
-            taught[begin[d] + int(np.argmax(logit[begin[d]:end]))] = True
-        size = np.bincount(owner, minlength=len(docs))
-        weight = np.where(owner < s.batch_docs, 1.0, 1.0 / size[owner])[taught] / (2 * s.batch_docs)
+        logit = net.logits(local, table)
+        # the worst window of a toxic document, every window of a clean one (half its weight is on the worst, which scores the text)
+        begin = np.cumsum(size) - size
+        worst = np.array([a + int(np.argmax(logit[a:a + n])) for a, n in zip(begin, size)])
+        weight = np.where(owner < s.batch_docs, 0.0, 0.5 / size[owner])
+        weight[worst] += np.where(owner[worst] < s.batch_docs, 1.0, 0.5)
+        taught = weight > 0
+        weight = weight[taught] / (2 * s.batch_docs)
         target = (owner < s.batch_docs)[taught].astype(np.float64)
-        logit, kept = net.forward(table, local[taught], keep=True)
-        d_logit = ((sigmoid(logit) - target) * weight).astype(np.float32)
-        grad, used, d_table = net.backward(table, local[taught], kept, d_logit)
-        d_all = np.zeros_like(table)
-        d_all[used] = d_table
+        d_all, grad, local = np.zeros_like(table), {}, local[taught]
+        for i in range(0, len(local), s.chunk):
+            part = slice(i, i + s.chunk)
+            logit, kept = net.forward(table, local[part], keep=True)
+            d_logit = ((sigmoid(logit) - target[part]) * weight[part]).astype(np.float32)
+            more, used, d_table = net.backward(table, local[part], kept, d_logit)
+            d_all[used] += d_table
+            grad = {k: grad[k] + v if grad else v for k, v in more.items()}
         grad["x"], grad["xb"] = e.T @ d_all, d_all.sum(0)
         d_e = d_all @ net.p["x"].T
         grad["word"] = np.zeros_like(net.p["word"])
@@ -288,7 +298,7 @@ def train(windows: np.ndarray, counts: np.ndarray, words: list[str], toxic: np.n
     table = net.gate_table(words)
     check = aside if (aside & toxic).any() and (aside & ~toxic).any() else has
     chosen = np.nonzero(check)[0]
-    score = net.document_logits(np.concatenate([windows[first[d]:first[d] + counts[d]] for d in chosen]), counts[chosen], table)
+    score = np.concatenate([net.document_logits(*windows_at(codes, text_at, chosen[i:i + 64], s), table) for i in range(0, len(chosen), 64)])
     calibrate(net, score, toxic[chosen], prior)
     return net
 
@@ -335,34 +345,34 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Networ
     side = lambda c: known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_docs)
     chosen = shared_table(side("toxic > 0").unionByName(side("toxic <= 0")), "chosen")  # 2 * max_docs rows
 
-    def cut(batches):
+    def packed(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 codes, at, words = word_codes(part.column("text"))
-                names = np.array(words.to_pylist(), dtype=object)
-                windows, counts = windows_of(codes, at, s)
-                first = np.concatenate([[0], np.cumsum(counts)])
-                lines = []
-                for i, n in enumerate(counts):
-                    pick = np.unique(np.linspace(0, n - 1, min(n, s.max_windows)).astype(int)) if n else []
-                    lines.append([" ".join(names[windows[first[i] + k]]) for k in pick])
-                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("toxic").cast(pa.int32()), pa.array(lines, pa.list_(pa.string()))],
-                                                 ["place", "toxic", "lines"])
+                plain = normal(words).dictionary_encode()
+                codes = plain.indices.to_numpy(zero_copy_only=False).astype(np.int32)[codes] if len(codes) else codes
+                texts = [np.unique(codes[a:b], return_inverse=True) for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("place"), part.column("toxic").cast(pa.int32()),
+                    pa.array([zstandard.compress(ids.astype("<u4").tobytes()) for _, ids in texts], pa.binary()),
+                    pa.array([plain.dictionary.take(pa.array(own, pa.int32())).to_pylist() for own, _ in texts], pa.list_(pa.string()))],
+                    ["place", "toxic", "ids", "words"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id")
     # places by hash: the same order in any partitioning
     got = rows.select(F.xxhash64("doc_id", "text").alias("place"), "text", (F.col("toxic") > 0).cast("int").alias("toxic")) \
-        .mapInArrow(cut, "place bigint, toxic int, lines array<string>")
-    table = got.toArrow()  # 2 * max_docs * max_windows windows at most
+        .mapInArrow(packed, "place bigint, toxic int, ids binary, words array<string>")
+    table = got.toArrow()  # the texts of 2 * max_docs labelled documents as word ids
     order = np.argsort(table["place"].to_numpy(), kind="stable")
-    lines, toxic = table["lines"].combine_chunks().take(pa.array(order)), table["toxic"].to_numpy()[order]
-    codes, at, words = word_codes(lines.flatten())
-    if not len(codes):
+    lists, ids, toxic = table["words"].combine_chunks().take(pa.array(order)), table["ids"].combine_chunks(), table["toxic"].to_numpy()[order]
+    if not len(lists.flatten()):
         return None
-    plain = normal(words).dictionary_encode()
-    codes = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-    counts = np.diff(lines.offsets.to_numpy().astype(np.int64))
-    return train(codes.reshape(-1, s.window), counts, plain.dictionary.to_pylist(), toxic, s, size[True] / (size[True] + size[False]))
+    plain = lists.flatten().dictionary_encode()
+    number, first = plain.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.diff(lists.offsets.to_numpy()).cumsum()
+    first = np.concatenate([[0], first])
+    texts = [number[first[i] + np.frombuffer(zstandard.decompress(ids[int(o)].as_buffer()), "<u4")] for i, o in enumerate(order)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    return train(np.concatenate(texts), at, plain.dictionary.to_pylist(), toxic, s, size[True] / (size[True] + size[False]))
 
 
 def score_toxicity(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -395,3 +395,20 @@ def test_toxic_words_are_learned(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity_gru.score_toxicity(docs, net).collect()}
     held = [i for i in range(160, 240)]
     assert np.mean([(got[i] >= 0.3) == (i % 3 == 0) for i in held]) > 0.9
+
+
+def test_passages_between_spread_windows_are_learned(spark):
+    g = random.Random(9)
+    word = lambda: "".join(g.choice(["th", "er", "in", "on", "at", "es"]) for _ in range(g.randint(1, 3)))
+    data = []
+    for i in range(160):
+        w = [word() for _ in range(32 + 24 * 39)]  # 40 windows; of 16 evenly spread ones none holds words 272 to 311
+        if i % 2 == 0:
+            for k in (280, 284, 299):
+                w[k] = "grumpf" + g.choice(["", "er", "ung"])
+        data.append((i, " ".join(w)))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as toxic")
+    net = toxicity_gru.fit(docs, labels.where("doc_id < 100"), toxicity_gru.Settings(steps=100))
+    got = {r["doc_id"]: r["score"] for r in toxicity_gru.score_toxicity(docs, net).collect()}
+    assert np.mean([(got[i] >= 0.3) == (i % 2 == 0) for i in range(100, 160)]) > 0.9
