@@ -328,6 +328,22 @@ def test_sketch_estimates_and_merges():
     assert (scaled_sketch.from_text(scaled_sketch.as_text(a)) == a).all()
 
 
+def test_short_texts_in_long_ones():
+    g = random.Random(12)
+    big = "".join(g.choice(string.ascii_letters) for _ in range(60_000))
+    long = scaled_sketch.sketches([big])[0]
+    for n, error in ((50, 0.2), (92, 0.15), (200, 0.1), (500, 0.065)):
+        starts = [g.randrange(len(big) - n) for _ in range(200)]
+        inside = [scaled_sketch.compare(long, s)[1] for s in scaled_sketch.sketches([big[a:a + n] for a in starts])]
+        assert {*inside} <= {1.0, None} and inside.count(None) <= 4  # contained, or unknown, never 0
+        half = [big[a:a + n // 2] + "".join(g.choice(string.digits) for _ in range(n - n // 2)) for a in starts]
+        true = (n // 2 - 8) / (n - 8)
+        found = np.array([scaled_sketch.compare(long, s)[1] for s in scaled_sketch.sketches(half)], dtype=float)
+        assert np.sqrt(np.nanmean((found - true) ** 2)) < 1.3 * error
+    none = scaled_sketch.sketches([big[i:i + 12] for i in range(400)])
+    assert None in [scaled_sketch.compare(long, s)[1] for s in none] and 0.0 not in [scaled_sketch.compare(long, s)[1] for s in none]
+
+
 # importance ---------------------------------------------------------------
 
 def test_kth_largest(spark):
