@@ -34,7 +34,7 @@ def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpolated_lm.score_documents(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2))
+    return interpolated_lm.score_documents(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2), order=3)
 
 
 def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

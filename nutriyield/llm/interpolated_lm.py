@@ -12,8 +12,8 @@ distinct n-grams once, with its own counts, in one message per hash range; the
 ranges add the counts of all blocks and answer every block in the order of its
 question.  So a hot n-gram is one entry per block wherever it occurs, messages
 follow the size of the corpus, and no task holds more than a block or a range.
-The driver gets N, V and the held-out histogram, whose cells are bounded (bucket
-and estimates relative to uniform, to an eighth of a power of two).
+The held-out histogram (bucket and estimates relative to uniform, to an eighth of
+a power of two) stays a table; the driver gets N, V and its sums of each step.
 
 Defined cases: a null or empty text is the end token alone; a row whose id is
 null is held out; rows that repeat an id are learned from and scored each;
@@ -36,6 +36,7 @@ from nutriyield.llm.common import U64, mix, pair_hash, runs, shared_table, slice
 START, END = U64(0x5354415254000001), U64(0x454E440000000001)
 BLOCK_BYTES = 12_000_000
 BUCKETS = 20
+TOKENS = 200_000  # tokens whose estimates are held at a time
 CELLS = 8  # histogram cells per power of two
 
 
@@ -97,7 +98,7 @@ class Block:
                 gram[is_start] = chain
             keys, inverse = np.unique(gram, return_inverse=True)
             self.keys.append(keys)
-            self.inverse.append(inverse)
+            self.inverse.append(inverse.astype(np.int32))
 
     def own_counts(self, k: int, role: int) -> np.ndarray:
         return np.bincount(self.inverse[k][self.role == role], minlength=len(self.keys[k]))
@@ -192,37 +193,66 @@ def _histogram(order: int, tokens: int, types: int):
     return run, f"bucket int, {', '.join(c + ' int' for c in cells)}, n bigint"
 
 
-def mixture_weights(hist: pd.DataFrame, order: int, steps: int = 50) -> np.ndarray:
-    """Weights (bucket, component) by expectation-maximisation; a bucket without tokens takes the weights of all."""
-    cells = [f"q{k}" for k in range(1, order + 1)]
-    q = hist[cells].to_numpy(np.float64)
+def _shares(hist: pd.DataFrame, w: np.ndarray) -> np.ndarray:
+    """Tokens that each component accounts for under weights ``w``, by bucket; the last row is all buckets as one."""
+    q = hist[[f"q{k}" for k in range(1, w.shape[1])]].to_numpy(np.float64)
     ratio = np.hstack([np.ones((len(q), 1)), np.where(q > -9999, np.exp2(q / CELLS), 0.0)])
-    n, bucket = hist["n"].to_numpy(np.float64), hist["bucket"].to_numpy(np.int64)
+    n, out = hist["n"].to_numpy(np.float64), np.zeros(w.shape)
+    for at in (hist["bucket"].to_numpy(np.int64), np.full(len(n), BUCKETS)):
+        share = ratio * w[at]
+        share *= (n / share.sum(1))[:, None]
+        out += np.array([np.bincount(at, s, BUCKETS + 1) for s in share.T]).T
+    return out
+
+
+def mixture_weights(hist: pd.DataFrame | DataFrame, order: int, steps: int = 50) -> np.ndarray:
+    """Weights (bucket, component) by expectation-maximisation; a bucket without tokens takes the weights of all.
+
+    The cells of a Spark frame stay there: a step brings one row per bucket and partition.
+    """
+    names = [f"s{k}" for k in range(order + 1)]
+
+    def partial(w: np.ndarray):
+        def run(parts):
+            total = np.zeros(w.shape)
+            for pdf in parts:
+                total += _shares(pdf, w)
+            yield pd.DataFrame(total, columns=names).assign(bucket=np.arange(BUCKETS + 1, dtype=np.int32))
+        return run
 
-    def learn(rows: np.ndarray) -> np.ndarray:
-        w = np.full(order + 1, 1 / (order + 1))
-        if n[rows].sum() > 0:
-            for _ in range(steps):
-                share = ratio[rows] * w
-                share *= (n[rows] / share.sum(1))[:, None]
-                w = share.sum(0) / n[rows].sum()
-        return np.maximum(w, 1e-9) / np.maximum(w, 1e-9).sum()
+    def step(w: np.ndarray) -> np.ndarray:
+        if isinstance(hist, pd.DataFrame):
+            return _shares(hist, w)
+        total = np.zeros(w.shape)
+        for r in hist.mapInPandas(partial(w), ", ".join(f"{s} double" for s in names) + ", bucket int").collect():
+            total[r["bucket"]] += [r[s] for s in names]
+        return total
 
-    everything = learn(np.ones(len(n), bool))
-    return np.array([learn(bucket == b) if (bucket == b).any() else everything for b in range(BUCKETS)])
+    w = np.full((BUCKETS + 1, order + 1), 1 / (order + 1))
+    for _ in range(steps):
+        share = step(w)
+        seen = share.sum(1) > 0
+        w[seen] = share[seen] / share[seen].sum(1, keepdims=True)
+    w = np.where(seen[:, None], w, w[BUCKETS])
+    w = np.maximum(w, 1e-9)
+    return (w / w.sum(1, keepdims=True))[:BUCKETS]
 
 
 def _scores(order: int, tokens: int, types: int, weights: np.ndarray):
     def run(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r, b in _blocks_of(blocks, order):
-            p, bucket, unigram = _estimates(b, _counts_of(answers, order, True), b.targets, tokens, types)
-            score = np.log10((p * weights[bucket]).sum(1))
-            base = np.log10((unigram + 1) / (tokens + types + 1))
+            counts = _counts_of(answers, order, True)
+            score, base, known = np.zeros(len(b.targets)), np.zeros(len(b.targets)), np.zeros(len(b.targets), np.int64)
+            for i in range(0, len(b.targets), TOKENS):
+                x = slice(i, i + TOKENS)
+                p, bucket, unigram = _estimates(b, counts, b.targets[x], tokens, types)
+                score[x] = np.log10((p * weights[bucket]).sum(1))
+                base[x], known[x] = np.log10((unigram + 1) / (tokens + types + 1)), unigram > 0
             at = np.concatenate([[0], np.cumsum(b.n_tokens)])
             ids = pd.arrays.IntegerArray(unpack(r.ids, np.int64), unpack(r.no_id, np.int8).astype(bool))
             out.append(pd.DataFrame({"doc_id": ids, "held_out": b.roles == 0, "n_tokens": b.n_tokens,
-                                     "n_known": sums((unigram > 0).astype(np.int64), at), "train_tokens": tokens,
+                                     "n_known": sums(known, at), "train_tokens": tokens,
                                      "base_score": np.add.reduceat(base, at[:-1]), "score": np.add.reduceat(score, at[:-1])}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
@@ -248,5 +278,5 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, id_col: s
 
     run, schema = _histogram(order, size["learned_tokens"], size["types"])
     cells = [c.split()[0] for c in schema.split(", ")][:-1]
-    weights = mixture_weights(joined(run, schema).groupBy(*cells).agg(F.sum("n").alias("n")).toPandas(), order)
+    weights = mixture_weights(shared_table(joined(run, schema).groupBy(*cells).agg(F.sum("n").alias("n")), "histogram"), order)
     return joined(_scores(order, size["tokens"], size["types"], weights), SCORE_SCHEMA)

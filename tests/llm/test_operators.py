@@ -286,6 +286,11 @@ def test_interpolation_brute_force(spark, texts, monkeypatch):
         assert r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_query_counts_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(interpolated_lm, "score_documents", lambda docs, held_out, order=2: order)
+    assert catalog.QUERIES["op5_deleted_interpolation"](spark, SF_SMALL) == 3
+
+
 def test_weights_maximise_the_likelihood():
     import pandas as pd
     h = pd.DataFrame({"bucket": [1, 1, 1], "q1": [8, 40, -9999], "q2": [80, -9999, 16], "n": [50, 30, 20]})
