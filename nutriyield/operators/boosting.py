@@ -41,8 +41,8 @@ def encode(frame: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, li
     return np.array(codes, np.int64).T.reshape(len(frame), len(features)), sizes, ordered
 
 
-def _grow(codes, sizes, ordered, g, h, params, rng) -> np.ndarray:
-    """Leaf value of every cell in one tree per class; ``g``, ``h`` are (classes, cells). Trees grow level by level."""
+def _grow(codes, sizes, ordered, g, h, params, rng, gains) -> np.ndarray:
+    """Leaf value of every cell in one tree per class; ``g``, ``h`` are (classes, cells). Trees grow level by level; ``gains`` adds up each predictor's splits."""
     k, n = g.shape
     node = np.repeat(np.arange(k), n)
     g, h, code = g.ravel(), h.ravel(), np.tile(codes, (k, 1))
@@ -63,6 +63,7 @@ def _grow(codes, sizes, ordered, g, h, params, rng) -> np.ndarray:
             top = gain.argmax(1)
             better = gain[np.arange(nodes), top] > best
             best[better], split[better, 0], split[better, 1] = gain[better, top[better]], j, top[better]
+        np.add.at(gains, split[split[:, 0] >= 0, 0], best[split[:, 0] >= 0])
         leaf = split[at, 0] < 0
         value[live[leaf]] = (-gs / (hs + 1))[at[leaf]]
         live, at = live[~leaf], at[~leaf]
@@ -79,20 +80,23 @@ def _grow(codes, sizes, ordered, g, h, params, rng) -> np.ndarray:
     return value.reshape(k, n)
 
 
-def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.ndarray, params: dict, seed: int) -> tuple[np.ndarray, int]:
+def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.ndarray, params: dict, seed: int,
+          gains: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """(class probabilities of every cell, rounds). Cells without counts are only scored.
 
     Softmax boosting with second-order leaf values; stops after ``stop_iter``
     rounds without a lower training loss (no rows are set aside for it).
+    ``gains`` (one place per predictor) receives the gain of all splits.
     """
     rng = np.random.default_rng(seed)
+    gains = np.zeros(len(sizes)) if gains is None else gains
     score, total = np.zeros(counts.shape), counts.sum()
     low, since, done = np.inf, 0, 0
     share = float(params["sample_size"])
     for done in range(1, int(params["trees"]) + 1):
         c = rng.binomial(counts.astype(np.int64), share) if share < 1 else counts
         p, n = softmax(score), c.sum(1, keepdims=True)
-        score += float(params["learn_rate"]) * _grow(codes, sizes, ordered, (n * p - c).T, np.maximum(n * p * (1 - p), 1e-16).T * (n.T > 0), params, rng).T
+        score += float(params["learn_rate"]) * _grow(codes, sizes, ordered, (n * p - c).T, np.maximum(n * p * (1 - p), 1e-16).T * (n.T > 0), params, rng, gains).T
         loss = -(counts * np.log(np.maximum(softmax(score), 1e-15))).sum() / max(total, 1)
         low, since = (loss, 0) if loss < low else (low, since + 1)
         if since >= int(params["stop_iter"]):
@@ -162,7 +166,7 @@ def fit_predict_cells(train: DataFrame, test: DataFrame, features: Sequence[str]
     features = list(features)
     classes = sorted(r[0] for r in train.select(label).distinct().collect())  # k labels
     key = F.md5(F.to_json(F.struct(*features)))
-    both = class_cells(train, features, label, classes).unionByName(class_cells(test, features, label, classes).withColumns({f"n_{c}": F.lit(0).cast("bigint") for c in classes}))
+    both = class_cells(train, features, label, classes).unionByName(test.select(*features).distinct().withColumns({f"n_{c}": F.lit(0).cast("bigint") for c in classes}))
     cells = both.groupBy(*features).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes]).withColumn("__cell", key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,3 +180,31 @@ def fit_predict_cells(train: DataFrame, test: DataFrame, features: Sequence[str]
     out = test.withColumn("__cell", key).join(scored, "__cell").drop("__cell")
     best = F.array_max(F.array(*[F.struct(F.col(f"pred_{c}").alias("p"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)]))
     return out.withColumn("pred_class", best["c"])
+
+
+class CellModel:
+    """The final fit as a model: scores any frame with the predictors, and tells their importance.
+
+    Cells that are only scored don't change the fit, so every use fits anew with the same result.
+    """
+
+    def __init__(self, train: DataFrame, features: Sequence[str], params: dict, label: str = "cluster", seed: int = 891):
+        self.train, self.features, self.params, self.label, self.seed = train, list(features), dict(params), label, seed
+        self.classes = sorted(r[0] for r in train.select(label).distinct().collect())  # k labels
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``pred_<class>`` probabilities and ``pred_class``."""
+        return fit_predict_cells(self.train, df, self.features, self.params, self.label, self.seed)
+
+    def feature_importance(self) -> list[tuple[str, float]]:
+        """(predictor, share of the gain of all splits)."""
+        features, classes, params, seed = self.features, self.classes, self.params, self.seed
+        cells = class_cells(self.train, features, self.label, classes).withColumn("__cell", F.md5(F.to_json(F.struct(*features))))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, gains = pdf.sort_values("__cell"), np.zeros(len(features))
+            boost(*encode(pdf, features), pdf[[f"n_{c}" for c in classes]].to_numpy(np.float64), params, seed, gains)
+            return pd.DataFrame({"feature": features, "share": gains / max(gains.sum(), 1e-300)})
+
+        got = cells.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "feature string, share double")
+        return [(r["feature"], r["share"]) for r in got.collect()]  # one row per predictor

@@ -193,20 +193,17 @@ def _dummies(i: Inputs):
 
 GN_CAT, GN_NUM = ["quarter", "habitat", "habitat_mesh", "vessel_type"], ["mesh_size"]
 AG_CAT, AG_NUM = ["quarter", "habitat_gear", "habitat", "gear_type", "vessel_type"], []
-DEFAULT_PARAMS = {"trees": 20, "tree_depth": 4, "min_n": 2, "learn_rate": 0.1, "sample_size": 1.0}
 
 
-def _fit(i: Inputs, gn: bool, kind: str = "gbt"):
-    s = M.stratified_split(_frame(i, gn), "cluster", ["landing_id"], 0.8, 234).persist()
-    tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    cat, num = (GN_CAT, GN_NUM) if gn else (AG_CAT, AG_NUM)
-    model = M.ProfileClassifier(cat, num, "cluster", kind, DEFAULT_PARAMS).fit(tr)
-    return model, tr, te
+def _fit(i: Inputs, gn: bool):
+    """The best point of the tuned grid on all training rows, and the training and test rows."""
+    tr, te, feats, tuned = _tuned(i, gn)
+    return BO.CellModel(tr, feats, BO.best_point(tuned)), tr, te
 
 
 @register("ml_fit_predict_gn")
 def _fit_predict(i: Inputs):
-    """ML-11/14: one-vs-rest boosted trees fit on train, class probabilities on test."""
+    """ML-11/14: boosted trees of the tuned point fit on train, class probabilities on test."""
     model, _, te = _fit(i, True)
     return model.transform(te)
 

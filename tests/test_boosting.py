@@ -64,3 +64,18 @@ def test_tuning_and_final_fit(spark):
     out = B.fit_predict_cells(df, df, ["a", "m"], best)
     assert out.count() == 600
     assert out.where("(pred_class = '1') = (cluster = '1')").count() > 590
+
+
+def test_reports_use_the_tuned_point(spark, monkeypatch):
+    from nutriyield.plans import catalog_models as C
+    df = spark.createDataFrame(_data().assign(cluster=lambda d: d["y"], fold=lambda d: d.index % 3, id=lambda d: d.index))
+    tuned = B.tune_cells(df, "fold", ["a", "m"], [SET | {"sample_size": 0.7}, SET | {"trees": 1, "learn_rate": 1e-6}])
+    monkeypatch.setattr(C, "_tuned", lambda i, gn: (df.where("id >= 100"), df.where("id < 100"), ["a", "m"], tuned))
+    model, tr, te = C._fit(None, True)
+    assert model.params == B.best_point(tuned) and model.params["trees"] == 40
+    final = {r["id"]: r for r in B.fit_predict_cells(tr, te, ["a", "m"], B.best_point(tuned)).collect()}
+    alone = {(r["a"], r["m"]): r["pred_1"] for r in model.transform(spark.createDataFrame([("a", 30.0), ("new", 15.0)], "a string, m double")).collect()}
+    for r in model.transform(te).collect():  # also without a label column and among unknown tuples
+        assert r == final[r["id"]] and ((r["a"], r["m"]) != ("a", 30.0) or abs(r["pred_1"] - alone["a", 30.0]) < 1e-12)
+    gain = dict(model.feature_importance())
+    assert {*gain} == {"a", "m"} and abs(sum(gain.values()) - 1) < 1e-9 and min(gain.values()) > 0.1
