@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutriyield.llm import language_bits, length_buckets, near_dups, quality_lines
-from nutriyield.llm.common import held_out, shared_table
+from nutriyield.llm.common import shared_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a document below this corrected share of known n-grams is in none of the learned languages
@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language go; lang becomes the prediction."""
-    filters = language_bits.learn(docs.where(~held_out(F.col("doc_id"), 3, 1)))
+    """Documents in no learned language go; lang becomes the prediction. All documents with a language are learned from."""
+    filters = language_bits.learn(docs)
     rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
     found = language_bits.identify(rows, filters, id_col="row")
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))

@@ -81,6 +81,14 @@ def test_no_rows(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_pipeline_learns_from_every_labelled_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(corpus_pipeline.language_bits, "learn", lambda d: seen.append(d.count()))
+    monkeypatch.setattr(corpus_pipeline.language_bits, "identify", lambda rows, filters, id_col: rows.select(F.col("row").alias("doc_id"), F.lit("xx").alias("lang_pred"), F.lit(1.0).alias("score")))
+    docs = spark.createDataFrame([(i, "some text", "xx", "s", 9) for i in range(30)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.language_stage(spark, docs, "").count() == 30 and seen == [30]
+
+
 def test_pipeline_stages_on_odd_rows(spark, edge):
     for table in (edge, edge.limit(0)):
         docs = table
