@@ -37,8 +37,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id, once."""
-    classes = near_dups.near_duplicates(docs)
+    """One document of each near-duplicate class of op9 (two-word shingles) stays: the one with the smallest id, once."""
+    classes = near_dups.near_duplicates(docs, shingle=2)
     gone = classes.where("not kept").select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti")
     # rows that repeat an id are copies of one node: keep one of them; rows without an id can't be told apart and stay
