@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nutriyield.llm import (bestfit_rows, byte_bpe, importance, interpolated_lm, language_bits, length_buckets, near_dups,
-                            quality_lines, scaled_sketch, toxicity_gru)
+from nutriyield.llm import (bestfit_rows, byte_bpe, importance, interpolated_lm, language_bits, length_buckets, near_dups, part_codes,
+                            pivot_topk, quality_lines, scaled_sketch, toxicity_gru, whitening)
 from nutriyield.llm.common import documents, held_out
+from nutriyield.llm.vectors import embeddings
 
 
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +62,26 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), labels.where("quality = 1").select("doc_id"))
 
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(embeddings(spark, sf_dir))
+
+
+def op12_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_products(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op13_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_length_buckets, op2_line_rules, op3_bestfit_rows, op4_toxicity_gru, op5_deleted_interpolation, op6_scaled_sketch,
-    op7_language_bits, op8_byte_bpe, op9_circulant_minhash, op10_importance)}
+    op7_language_bits, op8_byte_bpe, op9_circulant_minhash, op10_importance,
+    op11_jacobi_whitening, op12_voronoi_topk, op13_limb_codes)}
 
 ORACLE: dict[str, str] = {
     "op1_length_buckets": length_buckets.oracle(),
     "op2_line_rules": quality_lines.oracle(),
+    "op12_voronoi_topk": pivot_topk.oracle(),
+    "op13_limb_codes": part_codes.oracle(),
 }
