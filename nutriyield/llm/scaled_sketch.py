@@ -22,6 +22,8 @@ Other columns are never read.
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 
 import numpy as np
@@ -38,10 +40,31 @@ FRACTION = 8
 FLOOR = 256
 BASE = 0x9E3779B97F4A7C15
 TOP = 1 << 64
+PIECE = 500_000  # code points held as vectors at a time
+SLICE_BYTES = 1_000_000
 
 
 def sketches(texts: list[str], k: int = K, fraction: int = FRACTION, floor: int = FLOOR) -> list[np.ndarray]:
-    """Sorted retained hashes of each text, all texts in one pass of vectors."""
+    """Sorted retained hashes of each text; a long text is the merger of its overlapping pieces."""
+    out, at = [], 0
+    while at < len(texts):
+        t = texts[at]
+        if len(t) > PIECE:
+            pieces = (t[i:i + PIECE + k - 1] for i in range(0, len(t) - k + 1, PIECE))
+            out.append(functools.reduce(lambda a, b: merge(a, b, fraction, floor), (_sketches([x], k, fraction, floor)[0] for x in pieces)))
+            at += 1
+            continue
+        size, end = 0, at
+        while end < len(texts) and len(texts[end]) <= PIECE and (size + len(texts[end]) <= PIECE or end == at):
+            size += len(texts[end])
+            end += 1
+        out += _sketches(texts[at:end], k, fraction, floor)
+        at = end
+    return out
+
+
+def _sketches(texts: list[str], k: int, fraction: int, floor: int) -> list[np.ndarray]:
+    """All texts in one pass of vectors."""
     size = np.array([len(t) for t in texts], np.int64)
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
     ends = np.cumsum(size)
@@ -95,25 +118,46 @@ def compare(a: np.ndarray, b: np.ndarray) -> tuple[float | None, float | None]:
     return both / (len(a) + len(b) - both), both / min(len(a), len(b))
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch of two texts together: all retained hashes below the smaller bound."""
-    s, t = np.union1d(a, b), min(bound(a), bound(b))
-    return s if t == TOP else s[: np.searchsorted(s, U64(t))]
+def merge(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION, floor: int = FLOOR) -> np.ndarray:
+    """Sketch of the shingles of two texts together, as if made from them at once.
+
+    Both sides are complete below the smaller bound, and hold ``floor`` hashes
+    there unless they are complete everywhere, so what a sketch retains is known.
+    """
+    s, t = np.union1d(a, b), min(bound(a, fraction, floor), bound(b, fraction, floor))
+    s = s if t == TOP else s[: np.searchsorted(s, U64(t))]
+    return s[: max(int(np.searchsorted(s, U64(TOP // fraction))), floor)]
 
 
 def as_text(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+    """Differences of the sorted hashes, seven bits a byte (the last byte of each has its top bit clear), in base 64."""
+    d = np.diff(s, prepend=U64(0))
+    size = np.ones(len(d), np.int64)
+    for b in range(1, 10):
+        size += d >= U64(1 << 7 * b)
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(d) else 0, np.uint8)
+    for b in range(10):
+        has = size > b
+        out[(end - size)[has] + b] = (d[has] >> U64(7 * b) & U64(127)).astype(np.uint8) | np.where(size[has] > b + 1, 128, 0).astype(np.uint8)
+    return base64.b64encode(out.tobytes()).decode()
 
 
 def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u8").astype(U64)
+    raw = np.frombuffer(base64.b64decode(s), np.uint8)
+    last = raw < 128
+    number = np.cumsum(last) - last  # which difference a byte belongs to
+    first = np.concatenate([[0], np.nonzero(last)[0] + 1])[: int(last.sum())]
+    d = np.zeros(len(first), U64)
+    np.add.at(d, number, (raw & 127).astype(U64) << ((np.arange(len(raw)) - first[number]) * 7).astype(U64))
+    return np.cumsum(d, dtype=U64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, fingerprint) for every row."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(s) for s in sketches(texts)])],
                                                  ["doc_id", "n_chars", "fingerprint"])
@@ -132,7 +176,7 @@ def _edits(batches):
     """Rows in runs of one range, each row's next one right behind it; copies only serve as next."""
     held = None
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             ids, texts, copies = (part.column(c).to_pylist() for c in ("doc_id", "text", "copy"))
             if held is not None:
                 ids, texts, copies = [held[0], *ids], [held[1], *texts], [False, *copies]

@@ -8,6 +8,7 @@ import string
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -433,3 +434,38 @@ def test_passages_between_spread_windows_are_learned(spark):
     net = toxicity_gru.fit(docs, labels.where("doc_id < 100"), toxicity_gru.Settings(steps=100))
     got = {r["doc_id"]: r["score"] for r in toxicity_gru.score_toxicity(docs, net).collect()}
     assert np.mean([(got[i] >= 0.3) == (i % 2 == 0) for i in range(100, 160)]) > 0.9
+
+
+def test_merged_sketches_are_those_of_the_joined_text(monkeypatch):
+    g = random.Random(13)
+    word = lambda n: "".join(g.choice(string.ascii_letters) for _ in range(n))
+    for n, m in ((1, 40), (5, 30), (100, 120), (250, 300), (4000, 90), (2500, 3000)):
+        joined = word(n + m + 8)
+        a, b = scaled_sketch.sketches([joined[:n + 8], joined[n:]])
+        assert (scaled_sketch.merge(a, b) == scaled_sketch.sketches([joined])[0]).all()
+    # long texts are worked through in pieces
+    texts = [word(n) for n in (0, 3, 700, 12, 5000, 1300)] + ["ab" * 4000, word(20_001)]
+    whole = scaled_sketch.sketches(texts)
+    monkeypatch.setattr(scaled_sketch, "PIECE", 600)
+    assert all((a == b).all() for a, b in zip(whole, scaled_sketch.sketches(texts), strict=True))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=20))
+def test_fingerprint_round_trip(values):
+    s = np.array(sorted(values), np.uint64)
+    assert (scaled_sketch.from_text(scaled_sketch.as_text(s)) == s).all()
+
+
+def test_window_logits_do_not_depend_on_the_batch():
+    s = toxicity_gru.Settings()
+    net = toxicity_gru.Network(s, pd.Index([f"w{i}" for i in range(50)]))
+    words = [f"w{i}x" if i % 3 else f"w{i}" for i in range(300)]
+    table, g = net.gate_table(words), np.random.default_rng(2)
+    windows = g.integers(0, 300, (2500, s.window))
+    whole = net.logits(windows, table)
+    for at in ([7], [2499, 3], range(11, 1400), range(1900, 2500)):
+        assert (net.logits(windows[list(at)], table) == whole[list(at)]).all()
+    some = [17, 250, 3, 299]
+    assert (net.gate_table([words[i] for i in some]) == table[some]).all()
+    assert np.allclose(whole, net.forward(table, windows), atol=1e-5)
