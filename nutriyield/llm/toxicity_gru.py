@@ -57,6 +57,7 @@ class Settings:
     decay: float = 0.002
     char_scale: float = 0.1
     set_aside: float = 0.2
+    warm_up: float = 0.3  # share of the steps that pick worst windows by the words' log odds
     seed: int = 11
 
 
@@ -123,17 +124,25 @@ class Network:
     def inputs(self, known: np.ndarray, grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(known):
             return np.zeros((0, self.s.word_dim + self.s.char_dim), np.float32), np.zeros((0, 6 * self.s.hidden), np.float32)
-        mean = np.add.reduceat(self.p["char"][grams], at[:-1], axis=0) / np.diff(at)[:, None].astype(np.float32)
-        e = np.hstack([self.p["word"][known], mean])
+        e = self.embed(known, grams, at)
         return e, e @ self.p["x"] + self.p["xb"]
 
-    def gate_table(self, words: list[str], chunk: int = 40_000) -> np.ndarray:
-        parts = [self.inputs(*self.describe(words[i:i + chunk]))[1] for i in range(0, len(words), chunk)]
+    def embed(self, known: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        mean = np.add.reduceat(self.p["char"][grams], at[:-1], axis=0) / np.diff(at)[:, None].astype(np.float32)
+        return np.hstack([self.p["word"][known], mean])
+
+    def gate_table(self, words: list[str], chunk: int = 9_600) -> np.ndarray:
+        """Gate inputs of each word, summed in a fixed order: a word's row does not depend on the others."""
+        parts = []
+        for i in range(0, len(words), chunk):
+            some = words[i:i + chunk]
+            e = self.embed(*self.describe(some + some[:1] * (chunk - len(some))))
+            parts.append((np.einsum("nk,kj->nj", e, self.p["x"]) + self.p["xb"])[: len(some)])
         return np.concatenate(parts) if parts else np.zeros((0, 6 * self.s.hidden), np.float32)
 
     # windows -> logits
     def forward(self, table: np.ndarray, windows: np.ndarray, keep: bool = False):
-        """Logit of each window; ``windows`` (n, T) are rows of ``table``."""
+        """Logit of each window (``keep``: and what the way back needs); ``windows`` (n, T) are rows of ``table``."""
         h, (n, steps) = self.s.hidden, windows.shape
         gates = table.reshape(-1, 2, 3 * h)
         u = self.p["u"]
@@ -150,8 +159,7 @@ class Network:
             np.reciprocal(zr, out=zr)
             z, r = zr[:, :, :h], zr[:, :, h:]
             c = np.tanh(x[:, :, 2 * h:] + r * hu[:, :, 2 * h:])
-            if keep:
-                cache.append((state, z, r, c, hu[:, :, 2 * h:]))
+            cache.append((state, z, r, c, hu[:, :, 2 * h:]))
             state = c + z * (state - c)
             states[t] = state
         # both directions of a place side by side
@@ -164,6 +172,30 @@ class Network:
         logit = pooled @ self.p["o"] + self.p["ob"][0]
         return (logit, (cache, both, e, alpha, pooled)) if keep else logit
 
+    def steady(self, table: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """The same logits with every sum in a fixed order (BLAS rounds by the place in a batch); windows run along the last axis."""
+        h, (n, steps) = self.s.hidden, windows.shape
+        gates = table.reshape(-1, 2, 3 * h)
+        state, states = np.zeros((2, h, n), np.float32), np.empty((steps, 2, h, n), np.float32)
+        for t in range(steps):
+            x = np.stack([gates[windows[:, t], 0].T, gates[windows[:, steps - 1 - t], 1].T])
+            hu = np.einsum("dkj,dkn->djn", self.p["u"], state)
+            zr = x[:, :2 * h] + hu[:, :2 * h]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = np.tanh(x[:, 2 * h:] + zr[:, h:] * hu[:, 2 * h:])
+            state = c + zr[:, :h] * (state - c)
+            states[t] = state
+        both = np.concatenate([states[:, 0], states[::-1, 1]], axis=1)
+        e = np.tanh(np.einsum("ka,tkn->tan", self.p["a"], both) + self.p["ab"][:, None])
+        score = (e * self.p["v"][:, None]).sum(1)
+        score = np.exp(score - score.max(0))
+        alpha = score / score.sum(0)
+        pooled = (alpha[:, None, :] * both).sum(0)
+        return (pooled * self.p["o"][:, None]).sum(0) + self.p["ob"][0]
+
     def backward(self, table: np.ndarray, windows: np.ndarray, kept, d_logit: np.ndarray):
         """Gradients of the parameters after the gate table, and of the table's rows as (rows, gradients)."""
         h, (n, steps) = self.s.hidden, windows.shape
@@ -196,8 +228,14 @@ class Network:
         used, first = np.unique(place[order], return_index=True)
         return g, used, np.add.reduceat(rows[order], first, axis=0)
 
-    def logits(self, windows: np.ndarray, table: np.ndarray, batch: int = 4096) -> np.ndarray:
-        return np.concatenate([self.forward(table, windows[i:i + batch]) for i in range(0, len(windows), batch)] or [np.zeros(0)])
+    def logits(self, windows: np.ndarray, table: np.ndarray, batch: int = 1920) -> np.ndarray:
+        """Logits of windows in batches of one shape (the last is filled up), so that a window's does not depend on the others."""
+        out = [np.zeros(0)]
+        for i in range(0, len(windows), batch):
+            some = windows[i:i + batch]
+            full = some if len(some) == batch else some[np.arange(batch) % len(some)]
+            out.append(self.steady(table, full)[: len(some)])
+        return np.concatenate(out)
 
     def document_logits(self, windows: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Largest logit of each document's windows; -inf without windows."""
@@ -236,18 +274,23 @@ def train(codes: np.ndarray, at: np.ndarray, words: list[str], toxic: np.ndarray
     text_at, has = at, np.diff(at) > 0
     if not (toxic & has).any() or not (~toxic & has).any():
         return None
-    seen = np.unique(np.repeat(np.arange(len(has)), np.diff(text_at)) * len(words) + codes)
-    freq = np.bincount(seen % len(words), minlength=len(words))  # documents of each word
-    frequent = np.argsort(-freq, kind="stable")[: s.max_words]
-    net = Network(s, pd.Index([words[i] for i in frequent if freq[i] >= s.min_docs], dtype=object))
     g = np.random.default_rng(s.seed)
     aside = (g.random(len(has)) < s.set_aside) & has
     for side in (toxic, ~toxic):  # a class with few documents is set aside and learned from
         if (side & has & ~aside).sum() < 4 or (side & aside).sum() < 2:
             aside[side] = False
+    # what is set aside for calibration shapes neither the vocabulary nor the first embeddings
+    seen = np.unique(np.repeat(np.arange(len(has)), np.diff(text_at)) * len(words) + codes)
+    seen = seen[~aside[seen // len(words)]]
+    freq = np.bincount(seen % len(words), minlength=len(words))  # documents of each word
+    frequent = np.argsort(-freq, kind="stable")[: s.max_words]
+    net = Network(s, pd.Index([words[i] for i in frequent if freq[i] >= s.min_docs], dtype=object))
     pos, neg = (np.nonzero(side & has & ~aside)[0] for side in (toxic, ~toxic))
     known, grams, at = net.describe(words)
-    start_from_odds(net, seen, freq, toxic, known, grams, at)
+    start_from_odds(net, seen, freq, toxic, aside, known, grams, at)
+    # until the network knows anything, the worst window is the one with the most telling words
+    evidence = np.concatenate([np.exp(2 * net.embed(known[i:i + 40_000], grams[at[i]:at[min(i + 40_000, len(known))]], at[i:i + 40_001] - at[i])[:, [0, s.word_dim]].sum(1))
+                               for i in range(0, len(known), 40_000)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, s.steps + 1):
         docs = np.concatenate([g.choice(pos, s.batch_docs, replace=len(pos) < s.batch_docs), g.choice(neg, s.batch_docs, replace=len(neg) < s.batch_docs)])
@@ -263,7 +306,8 @@ def train(codes: np.ndarray, at: np.ndarray, words: list[str], toxic: np.ndarray
         logit = net.logits(local, table)
         # the worst window of a toxic document, every window of a clean one (half its weight is on the worst, which scores the text)
         begin = np.cumsum(size) - size
-        worst = np.array([a + int(np.argmax(logit[a:a + n])) for a, n in zip(begin, size)])
+        bad = evidence[windows].sum(1) if step <= s.steps * s.warm_up else logit
+        worst = np.array([a + int(np.argmax(bad[a:a + n])) for a, n in zip(begin, size)])
         weight = np.where(owner < s.batch_docs, 0.0, 0.5 / size[owner])
         weight[worst] += np.where(owner[worst] < s.batch_docs, 1.0, 0.5)
         taught = weight > 0
@@ -303,15 +347,15 @@ def train(codes: np.ndarray, at: np.ndarray, words: list[str], toxic: np.ndarray
     return net
 
 
-def start_from_odds(net: Network, seen: np.ndarray, freq: np.ndarray, toxic: np.ndarray, known: np.ndarray, grams: np.ndarray, at: np.ndarray) -> None:
-    """First dimension of each embedding: log odds of the training documents that hold the word or n-gram.
+def start_from_odds(net: Network, seen: np.ndarray, freq: np.ndarray, toxic: np.ndarray, aside: np.ndarray, known: np.ndarray, grams: np.ndarray, at: np.ndarray) -> None:
+    """First dimension of each embedding: log odds of the training documents (none set ``aside``) that hold the word or n-gram.
 
     A start that the training steps go on from; with few labels it spares the search for the telling words.
     """
     n = len(freq)
     hot = np.bincount(seen[toxic[seen // n]] % n, minlength=n)
     cold = freq - hot
-    docs = np.array([toxic.sum(), (~toxic).sum()])
+    docs = np.array([(toxic & ~aside).sum(), (~toxic & ~aside).sum()])
     odds = lambda a, b, x, y: np.clip(np.log((a + 0.5) / (x + 1)) - np.log((b + 0.5) / (y + 1)), -3, 3)
     net.p["word"][known, 0] = odds(hot, cold, *docs) / 2
     net.p["word"][0] = 0
