@@ -10,7 +10,7 @@ set-aside tokens decide the weights.  Scores then use the counts of all training
 Counts are gathered by blocks.  A block of documents asks for each of its
 distinct n-grams once, with its own counts, in one message per hash range; the
 ranges add the counts of all blocks and answer every block in the order of its
-question.  So a hot n-gram is one entry per block wherever it occurs, messages
+question with what the other blocks counted (for most n-grams nothing, which packs well).  So a hot n-gram is one entry per block wherever it occurs, messages
 follow the size of the corpus, and no task holds more than a block or a range.
 The held-out histogram (bucket and estimates relative to uniform, to an eighth of
 a power of two) stays a table; the driver gets N, V and its sums of each step.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from nutriyield.llm.common import U64, mix, pair_hash, runs, shared_table, slices, sums, word_codes, word_hashes
 
 START, END = U64(0x5354415254000001), U64(0x454E440000000001)
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 BUCKETS = 20
 TOKENS = 200_000  # tokens whose estimates are held at a time
 CELLS = 8  # histogram cells per power of two
@@ -76,6 +76,13 @@ class Block:
     """The n-grams of a block: one place per START, word and END of each document."""
 
     def __init__(self, roles: bytes, lengths: bytes, codes: bytes, words: bytes, order: int):
+        self.order, self.keys, self.inverse = order, [], []
+        for keys, inverse in self.grams(roles, lengths, codes, words, order):
+            self.keys.append(len(keys))
+            self.inverse.append(inverse)
+
+    def grams(self, roles: bytes, lengths: bytes, codes: bytes, words: bytes, order: int):
+        """(distinct keys in order, number of each place's key) of each order, one at a time."""
         n = unpack(lengths, np.int64)
         self.roles, self.n_tokens = unpack(roles, np.int8), n + 1
         width = n + 2
@@ -87,7 +94,6 @@ class Block:
         is_start[first] = True
         self.targets = np.nonzero(~is_start)[0]
         self.role = np.repeat(self.roles, width)
-        self.order, self.inverse, self.keys = order, [], []
         gram, chain = t, START
         for k in range(1, order + 1):
             if k > 1:
@@ -97,21 +103,21 @@ class Block:
                 chain = pair_hash(np.array([chain], U64), np.array([START], U64))[0]
                 gram[is_start] = chain
             keys, inverse = np.unique(gram, return_inverse=True)
-            self.keys.append(keys)
-            self.inverse.append(inverse.astype(np.int32))
+            yield keys, inverse.astype(np.int32)
 
     def own_counts(self, k: int, role: int) -> np.ndarray:
-        return np.bincount(self.inverse[k][self.role == role], minlength=len(self.keys[k]))
+        return np.bincount(self.inverse[k][self.role == role], minlength=self.keys[k])
 
 
 def _questions(order: int, bits: int):
     """One message per order and hash range: the block's keys in order, with its learned and set-aside counts."""
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row["roles"], row["lengths"], row["codes"], row["words"], order)
-                for k in range(order):
-                    keys, learned, aside = b.keys[k], b.own_counts(k, 1), b.own_counts(k, 2)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                b = Block.__new__(Block)
+                for k, (keys, inverse) in enumerate(b.grams(row["roles"], row["lengths"], row["codes"], row["words"], order)):
+                    learned, aside = (np.bincount(inverse[b.role == r], minlength=len(keys)) for r in (1, 2))
                     part = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     cut = np.searchsorted(part, np.arange((1 << bits) + 1))
                     full = [p for p in range(1 << bits) if cut[p] < cut[p + 1]]
@@ -129,16 +135,19 @@ ANSWER_SCHEMA = "part bigint, block bigint, k int, learned binary, aside binary,
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all blocks for one range of one order, to each block in the order of its keys."""
+    """Counts of the other blocks for one range of one order, to each block in the order of its keys."""
     k = int(pdf["k"].iloc[0])
     asked = [np.cumsum(unpack(b, U64), dtype=U64) for b in pdf["keys"]]
     keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    learned, aside = (np.bincount(inverse, np.concatenate([unpack(b, np.uint32) for b in pdf[c]]).astype(np.float64), len(keys)).astype(np.int64)
-                      for c in ("learned", "aside"))
     cut = np.cumsum([0, *map(len, asked)])
+    del asked
     out = pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "k": k, "tokens": 0, "types": 0, "learned_tokens": 0})
-    for name, c in (("learned", learned), ("aside", aside)):
-        out[name] = [pack(c[inverse[a:b]]) for a, b in zip(cut, cut[1:])]
+    total = {}
+    for name in ("learned", "aside"):
+        own = np.concatenate([unpack(b, np.uint32) for b in pdf[name]])
+        total[name] = np.bincount(inverse, own.astype(np.float64), len(keys)).astype(np.int64)
+        out[name] = [pack(total[name][inverse[a:b]] - own[a:b]) for a, b in zip(cut, cut[1:])]
+    learned, aside = total["learned"], total["aside"]
     if k == 0:
         word = keys != START
         out.iloc[0, out.columns.get_indexer(["tokens", "types", "learned_tokens"])] = [
@@ -146,14 +155,16 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[["part", "block", "k", "learned", "aside", "tokens", "types", "learned_tokens"]]
 
 
-def _counts_of(answers: pd.DataFrame, order: int, full: bool) -> list[np.ndarray]:
+def _counts_of(b: Block, answers: pd.DataFrame, full: bool) -> list[np.ndarray]:
+    """Counts over all blocks of each order's keys: the block's own and what the others answered."""
     out = []
-    for k in range(order):
+    for k in range(b.order):
         rows = answers[answers["k"] == k].sort_values("part")
-        c = [unpack(b, np.int64) for b in rows["learned"]]
-        if full:
-            c = [x + unpack(b, np.int64) for x, b in zip(c, rows["aside"])]
-        out.append(np.concatenate(c) if c else np.zeros(0, np.int64))
+        total = np.zeros(b.keys[k], np.int64)
+        for name, role in (("learned", 1), ("aside", 2))[: 2 if full else 1]:
+            total += b.own_counts(k, role)
+            total += np.concatenate([unpack(x, np.int64) for x in rows[name]] or [np.zeros(0, np.int64)])
+        out.append(total)
     return out
 
 
@@ -184,7 +195,7 @@ def _histogram(order: int, tokens: int, types: int):
         out = []
         for _, b in _blocks_of(blocks, order):
             at = b.targets[b.role[b.targets] == 2]
-            p, bucket, _ = _estimates(b, _counts_of(answers, order, False), at, tokens, types)
+            p, bucket, _ = _estimates(b, _counts_of(b, answers, False), at, tokens, types)
             with np.errstate(divide="ignore"):
                 q = np.where(p[:, 1:] > 0, np.round(CELLS * np.log2(p[:, 1:] * (types + 1))), -9999)
             out.append(pd.DataFrame(q.astype(np.int32), columns=cells).assign(bucket=bucket.astype(np.int32)))
@@ -242,7 +253,7 @@ def _scores(order: int, tokens: int, types: int, weights: np.ndarray):
     def run(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r, b in _blocks_of(blocks, order):
-            counts = _counts_of(answers, order, True)
+            counts = _counts_of(b, answers, True)
             score, base, known = np.zeros(len(b.targets)), np.zeros(len(b.targets)), np.zeros(len(b.targets), np.int64)
             for i in range(0, len(b.targets), TOKENS):
                 x = slice(i, i + TOKENS)
