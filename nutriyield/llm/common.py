@@ -29,12 +29,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under spark.checkpoint.dir and read it back.
 
     Cuts lineage in a folder that every executor and the driver can read, so a
-    lost executor costs a re-read, not a recomputation.  The folder goes when
-    the application ends.
+    lost executor costs a re-read, not a recomputation.  The shuffle files behind
+    it go when it is written, the folder when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
