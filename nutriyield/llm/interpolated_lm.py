@@ -81,8 +81,8 @@ class Block:
             self.keys.append(len(keys))
             self.inverse.append(inverse)
 
-    def grams(self, roles: bytes, lengths: bytes, codes: bytes, words: bytes, order: int):
-        """(distinct keys in order, number of each place's key) of each order, one at a time."""
+    def grams(self, roles: bytes, lengths: bytes, codes: bytes, words: bytes, order: int, least: int = 1):
+        """(distinct keys in order, number of each place's key) of each order from ``least``, one at a time."""
         n = unpack(lengths, np.int64)
         self.roles, self.n_tokens = unpack(roles, np.int8), n + 1
         width = n + 2
@@ -102,31 +102,32 @@ class Block:
                 gram = pair_hash(before, t)
                 chain = pair_hash(np.array([chain], U64), np.array([START], U64))[0]
                 gram[is_start] = chain
-            keys, inverse = np.unique(gram, return_inverse=True)
-            yield keys, inverse.astype(np.int32)
+            if k >= least:
+                keys, inverse = np.unique(gram, return_inverse=True)
+                yield keys, inverse.astype(np.int32)
 
     def own_counts(self, k: int, role: int) -> np.ndarray:
         return np.bincount(self.inverse[k][self.role == role], minlength=self.keys[k])
 
 
-def _questions(order: int, bits: int):
-    """One message per order and hash range: the block's keys in order, with its learned and set-aside counts."""
+def _questions(k: int, bits: int):
+    """One message per hash range: the block's n-grams of order k + 1 in order, with its learned and set-aside counts."""
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = Block.__new__(Block)
-                for k, (keys, inverse) in enumerate(b.grams(row["roles"], row["lengths"], row["codes"], row["words"], order)):
-                    learned, aside = (np.bincount(inverse[b.role == r], minlength=len(keys)) for r in (1, 2))
-                    part = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    cut = np.searchsorted(part, np.arange((1 << bits) + 1))
-                    full = [p for p in range(1 << bits) if cut[p] < cut[p + 1]]
-                    s = [slice(cut[p], cut[p + 1]) for p in full]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(full, pa.int64()), pa.array([row["block"]] * len(full), pa.int64()), pa.array([k] * len(full), pa.int32()),
-                        pa.array([pack(np.diff(keys[x], prepend=U64(0))) for x in s], pa.binary()),
-                        pa.array([pack(learned[x].astype(np.uint32)) for x in s], pa.binary()),
-                        pa.array([pack(aside[x].astype(np.uint32)) for x in s], pa.binary())], ["part", "block", "k", "keys", "learned", "aside"])
+                keys, inverse = next(b.grams(row["roles"], row["lengths"], row["codes"], row["words"], k + 1, k + 1))
+                learned, aside = (np.bincount(inverse[b.role == r], minlength=len(keys)) for r in (1, 2))
+                part = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                cut = np.searchsorted(part, np.arange((1 << bits) + 1))
+                full = [p for p in range(1 << bits) if cut[p] < cut[p + 1]]
+                s = [slice(cut[p], cut[p + 1]) for p in full]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(full, pa.int64()), pa.array([row["block"]] * len(full), pa.int64()), pa.array([k] * len(full), pa.int32()),
+                    pa.array([pack(np.diff(keys[x], prepend=U64(0))) for x in s], pa.binary()),
+                    pa.array([pack(learned[x].astype(np.uint32)) for x in s], pa.binary()),
+                    pa.array([pack(aside[x].astype(np.uint32)) for x in s], pa.binary())], ["part", "block", "k", "keys", "learned", "aside"])
     return run
 
 
@@ -279,8 +280,11 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, id_col: s
                        F.when(held_out, 0).when(aside, 2).otherwise(1).alias("role"))
     blocks = shared_table(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks")
     bits = max(0, blocks.count() - 1).bit_length()  # about as many ranges as blocks
-    asked = blocks.mapInArrow(_questions(order, bits), QUESTION_SCHEMA)
-    answers = shared_table(asked.groupBy("part", "k").applyInPandas(_answers, ANSWER_SCHEMA), "answers")
+    answers = None
+    for k in range(order):  # one order after the other: the questions of one are gone before the next
+        asked = blocks.mapInArrow(_questions(k, bits), QUESTION_SCHEMA)
+        told = shared_table(asked.groupBy("part").applyInPandas(_answers, ANSWER_SCHEMA), f"answers-{k + 1}")
+        answers = told if answers is None else answers.unionByName(told)
     size = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "learned_tokens"))).first()
 
     def joined(run, schema: str) -> DataFrame:
