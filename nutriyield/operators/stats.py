@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nutriyield.operators.verbs import hash_key, with_scalars
+from nutriyield.operators.verbs import hash_key, rank_cuts, with_scalars
 from nutriyield.session import cut_lineage
 
 # --------------------------------------------------------------------------- k-means (Spark ML)
@@ -251,7 +251,7 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
         stop = min(permutations, start + perm_chunk - 1)
         p = z.select(*id_cols, *zc, F.explode(F.sequence(F.lit(start), F.lit(stop))).alias("__perm"))
         p = p.withColumn("__h", hash_key(seed, "__perm", *id_cols)).select("__perm", key, *zc)
-        bounds = F.broadcast(_permutation_bounds(p, cuts[:-1]))
+        bounds = F.broadcast(_permutation_bounds(p, range(start, stop + 1), cuts[:-1]))
         # label index = number of boundaries strictly below the row's key
         idx = F.size(F.filter("__bounds", lambda c: c < F.col("__key")))
         labelled = p.join(bounds, "__perm").withColumn("__lab", F.element_at(lab_arr, (idx + 1).cast("int")))
@@ -273,20 +273,13 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     return term.unionByName(resid).unionByName(total)
 
 
-def _permutation_bounds(p: DataFrame, cuts: Sequence[int], digits: int = 2) -> DataFrame:
+def _permutation_bounds(p: DataFrame, perms: Sequence[int], cuts: Sequence[int]) -> DataFrame:
     """(__perm, __bounds): the keys at the 1-based ranks ``cuts`` of each permutation, in order."""
-    from pyspark.sql import Window
-    prefix = F.substring(F.col("__key.__h"), 1, digits)
-    per = p.groupBy("__perm", prefix.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    # at most 16 ** digits rows per permutation
-    per = per.withColumn("__to", F.sum("__n").over(Window.partitionBy("__perm").orderBy("__b")))
-    ranks = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    edge = per.select("__perm", "__b", F.explode(F.filter(ranks, lambda c: (c <= F.col("__to")) & (c > F.col("__to") - F.col("__n")))).alias("__cut"),
-                      (F.col("__to") - F.col("__n")).alias("__before"))
-    near = p.select("__perm", "__key", prefix.alias("__b")).join(F.broadcast(edge), ["__perm", "__b"])  # a row per permutation and cut
-    pos = F.row_number().over(Window.partitionBy("__perm", "__cut").orderBy("__key"))
-    hit = near.withColumn("__pos", pos + F.col("__before")).where(F.col("__pos") == F.col("__cut"))
-    return hit.groupBy("__perm").agg(F.array_sort(F.collect_list("__key")).alias("__bounds"))  # len(cuts) keys
+    ranks = p.sparkSession.createDataFrame([(i, c) for i in perms for c in cuts], "__perm int, __rank long")
+    rows = p.select("__perm", "__key.*")
+    ties = [c for c in rows.columns if c not in ("__perm", "__h")]
+    hit = rank_cuts(rows, ["__perm"], ranks, "__h", ties)  # len(cuts) keys per permutation
+    return hit.groupBy("__perm").agg(F.array_sort(F.collect_list("__cut")).alias("__bounds"))
 
 
 def permanova_report(results: dict[str, DataFrame], strip: str = "_perm",

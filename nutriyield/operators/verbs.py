@@ -177,30 +177,62 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order_key: str, bucket_dig
             .drop("__b", "__off"))
 
 
-def hash_cuts(df: DataFrame, strata: Sequence[str], prop: float, order_key: str, tie_cols: Sequence[str],
-              digits: int = 3) -> DataFrame:
-    """Per stratum the (hash, ties) of its floor(prop * n)-th row in hash order, as ``__cut`` (NULL: none).
-
-    Rows stay where they are: hash prefixes are counted map-side, and only the
-    rows of the one prefix that holds the cut are ranked.
+def rank_cuts(df: DataFrame, strata: Sequence[str], ranks: DataFrame, order_key: str, tie_cols: Sequence[str],
+              digits: int = 3, limit: int = 50_000) -> DataFrame:
+    """Per (stratum, rank) the (hash, ties) of the row at that 1-based rank in hash order: (strata.., __rank, __cut).
+
+    Radix selection over all pairs at once: rows stay where they are, and the
+    hashes' next ``digits`` hex digits are counted map-side below the one prefix
+    that holds the rank, until it holds at most ``limit`` rows or the hash is used
+    up (rows of equal hash then are equal in their ids).  Only the rows of that
+    prefix are ordered, so no window holds more than ``limit`` of them.  Ranks
+    outside 1..n have no row.  ``ranks``: strata.., __rank (a bounded number of
+    pairs, which go to the driver).
     """
-    strata = list(strata)
-    b = F.substring(F.col(order_key), 1, digits)
-    per = df.groupBy(*strata, b.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    # at most 16 ** digits count rows per stratum
-    w = Window.partitionBy(*strata).orderBy("__b")
-    whole = Window.partitionBy(*strata)
-    per = per.withColumns({"__to": F.sum("__n").over(w), "__want": F.floor(F.sum("__n").over(whole) * F.lit(prop))})
-    edge = per.where((F.col("__to") >= F.col("__want")) & (F.col("__to") - F.col("__n") < F.col("__want"))) \
-        .select(*strata, "__b", (F.col("__want") - F.col("__to") + F.col("__n")).alias("__rank"))
-    on = None
-    rows = df.select(*strata, b.alias("__b"), F.struct(F.col(order_key), *[F.col(c) for c in tie_cols]).alias("__key"))
-    for k in [*strata, "__b"]:
-        e = F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
-        on = e if on is None else on & e
-    near = rows.alias("r").join(edge.alias("e"), on).select(*[F.col(f"r.{k}") for k in strata], "__key", "__rank")
-    pos = F.row_number().over(Window.partitionBy(*strata).orderBy("__key"))
-    return near.withColumn("__pos", pos).where(F.col("__pos") == F.col("__rank")).select(*strata, F.col("__key").alias("__cut"))
+    strata, spark = list(strata), df.sparkSession
+    kinds = [f"`{k}` {t}" for k, t in df.select(*strata).dtypes]
+    schema = ", ".join([*kinds, "__rank long", "__prefix string", "__skip long"])
+    key = F.struct(F.col(order_key), *[F.col(c) for c in tie_cols])
+    rows = df.select(*strata, F.col(order_key).alias("__h"), key.alias("__key"))
+    live = [(*[r[k] for k in strata], r["__rank"], "", 0) for r in ranks.where("__rank > 0").collect()]
+    done, depth = [], 0
+    while live:
+        at = F.broadcast(spark.createDataFrame(live, schema))  # a row per stratum and rank
+        under = _below(rows, at, strata, depth)
+        counts = under.groupBy(*strata, "__rank", "__skip", F.substring("__h", 1, depth + digits).alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
+        # at most 16 ** digits rows per pair
+        upto = F.col("__skip") + F.sum("__n").over(Window.partitionBy(*strata, "__rank").orderBy("__prefix"))
+        found = counts.withColumn("__to", upto).where((F.col("__rank") <= F.col("__to")) & (F.col("__rank") > F.col("__to") - F.col("__n"))).collect()
+        depth += digits
+        live = []
+        for r in found:
+            pair = (*[r[k] for k in strata], r["__rank"], r["__prefix"], r["__to"] - r["__n"])
+            (live if r["__n"] > limit and depth < 32 else done).append((depth, pair))
+        live = [pair for _, pair in live]
+    out = None
+    for d in sorted({d for d, _ in done}):
+        at = F.broadcast(spark.createDataFrame([pair for e, pair in done if e == d], schema))
+        pos = F.row_number().over(Window.partitionBy(*strata, "__rank").orderBy("__key"))
+        hit = _below(rows, at, strata, d).withColumn("__pos", pos + F.col("__skip")).where(F.col("__pos") == F.col("__rank"))
+        hit = hit.select(*strata, "__rank", F.col("__key").alias("__cut"))
+        out = hit if out is None else out.unionByName(hit)
+    if out is None:
+        out = rows.select(*strata, F.lit(0).cast("long").alias("__rank"), F.col("__key").alias("__cut")).limit(0)
+    return out
+
+
+def _below(rows: DataFrame, at: DataFrame, strata: Sequence[str], depth: int) -> DataFrame:
+    """``rows`` whose hash starts with the prefix of a pair of their stratum, once per pair."""
+    on = F.substring("r.__h", 1, depth) == F.col("a.__prefix")
+    for k in strata:
+        on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}"))
+    return rows.alias("r").join(at.alias("a"), on).select(*[F.col(f"r.{k}") for k in strata], "a.__rank", "a.__skip", "r.__h", "r.__key")
+
+
+def hash_cuts(df: DataFrame, strata: Sequence[str], prop: float, order_key: str, tie_cols: Sequence[str]) -> DataFrame:
+    """Per stratum the (hash, ties) of its floor(prop * n)-th row in hash order, as ``__cut`` (no row: none)."""
+    ranks = df.groupBy(*strata).agg(F.floor(F.count(F.lit(1)) * F.lit(prop)).cast("long").alias("__rank"))
+    return rank_cuts(df, strata, ranks, order_key, tie_cols).drop("__rank")
 
 
 def with_hash_cut(df: DataFrame, strata: Sequence[str], prop: float, order_key: str, tie_cols: Sequence[str]) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from nutriyield.operators import boosting as BO
 from nutriyield.operators import explain as EX
 from nutriyield.operators import models as M
+from nutriyield.operators import oversample as OS
 from nutriyield.operators import profiles as PR
 from nutriyield.operators.verbs import exact_median_by, separate, with_scalars
 from nutriyield.plans import oracle as O
-from nutriyield.plans.catalog import register
+from nutriyield.plans.catalog import NUT6, register
 from nutriyield.plans.catalog_domain import _clustered, _profile_sql
 from nutriyield.plans.inputs import Inputs
 from nutriyield.session import cut_lineage
@@ -189,6 +190,39 @@ def _dummies(i: Inputs):
     return M.dummies(_frame(i, True), ["quarter", "habitat", "habitat_mesh", "vessel_type"])
 
 
+def _smote_sql(gn: bool, k: int = 5, seed: int = 1) -> dict:
+    p = "gn_" if gn else "ag_"
+    d = _profile_sql(gn)
+    unit = lambda tag: (f"CAST(('0x' || substr(md5('{seed}{tag}|' || id || '|' || CAST(number AS VARCHAR)), 1, 8)) AS BIGINT) "
+                        f"/ 4294967296.0")
+    far = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NUT6)
+    d["sm_rows"] = f"SELECT clusters AS label, landing_id AS id, {', '.join(NUT6)} FROM {p}clustered WHERE " + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in NUT6)
+    d["sm_n"] = "SELECT label, count(*) AS n FROM sm_rows GROUP BY label"
+    d["sm_seeds"] = (f"SELECT r.*, n, (SELECT max(n) FROM sm_n) - n AS m, row_number() OVER (PARTITION BY r.label ORDER BY md5('{seed}|' || id), id) AS pos "
+                     "FROM sm_rows r JOIN sm_n USING (label) WHERE n > 1")
+    d["sm_made"] = "SELECT *, unnest(range(1, CAST(m // n + CASE WHEN pos <= m % n THEN 1 ELSE 0 END AS BIGINT) + 1)) AS number FROM sm_seeds WHERE m > 0"
+    d["sm_near"] = (f"SELECT * FROM (SELECT a.id AS seed_id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY {far}, b.id) AS nth, "
+                    + ", ".join(f"b.{c} AS o_{c}" for c in NUT6) + " FROM sm_rows a JOIN sm_rows b ON a.label = b.label AND a.id <> b.id "
+                    "JOIN sm_n ON sm_n.label = a.label WHERE n < (SELECT max(n) FROM sm_n)) t WHERE nth <= " + str(k))
+    d["sm_pick"] = f"SELECT *, CAST(floor({unit('n')} * least({k}, n - 1)) AS BIGINT) + 1 AS nth, {unit('u')} AS u FROM sm_made"
+    d["smote"] = ("SELECT id AS landing_id, CAST(number AS INTEGER) AS number, neighbour, label AS clusters, "
+                  + ", ".join(f"{c} + u * (o_{c} - {c}) AS {c}" for c in NUT6)
+                  + " FROM sm_pick p JOIN sm_near q ON p.id = q.seed_id AND p.nth = q.nth")
+    return d
+
+
+def _register_smote(gn: bool, tag: str):
+    @register(f"ml_smote_{tag}", O.with_base(O.snap_select(
+        "SELECT * FROM smote", NUT6, ["landing_id", "number", "neighbour", "clusters"]), _smote_sql(gn)))
+    def _smote(i: Inputs):
+        """ML-10: synthetic rows that fill every profile up to the largest one (k = 5)."""
+        return OS.smote(_clustered(i, gn), "clusters", NUT6, "landing_id")
+
+
+_register_smote(True, "gn")
+_register_smote(False, "ag")
+
+
 # ------------------------------------------------------------------ classifier, evaluation, SHAP
 
 GN_CAT, GN_NUM = ["quarter", "habitat", "habitat_mesh", "vessel_type"], ["mesh_size"]
