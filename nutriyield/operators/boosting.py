@@ -127,11 +127,24 @@ def class_cells(rows: DataFrame, features: Sequence[str], label: str, classes: S
     return rows.groupBy(*keys, *features).agg(*[F.count(F.when(F.col(label) == c, 1)).alias(f"n_{c}") for c in classes])
 
 
+#: cells that one fit may hold: some 50 MB a task
+MAX_CELLS = 500_000
+
+
+def bounded(cells: DataFrame) -> DataFrame:
+    """``cells``, checkpointed, if one fit can hold them; a continuous predictor must be binned first."""
+    cells = cut_lineage(cells)
+    n = cells.count()
+    if n > MAX_CELLS:
+        raise ValueError(f"{n} distinct predictor tuples, more than {MAX_CELLS}: bin the continuous predictors")
+    return cells
+
+
 def tune_cells(train: DataFrame, fold: str, features: Sequence[str], grid: Sequence[dict], label: str = "cluster", seed: int = 891) -> DataFrame:
     """(grid_point, settings, mean_roc_auc, folds, best): every grid point on every fold."""
     features, spark = list(features), train.sparkSession
     classes = sorted(r[0] for r in train.select(label).distinct().collect())  # k labels
-    cells = cut_lineage(class_cells(train, features, label, classes, [fold]))
+    cells = bounded(class_cells(train, features, label, classes, [fold]))
     folds = sorted(r[0] for r in cells.select(fold).distinct().collect())
     names = [f"n_{c}" for c in classes]
 
@@ -167,7 +180,7 @@ def fit_predict_cells(train: DataFrame, test: DataFrame, features: Sequence[str]
     classes = sorted(r[0] for r in train.select(label).distinct().collect())  # k labels
     key = F.md5(F.to_json(F.struct(*features)))
     both = class_cells(train, features, label, classes).unionByName(test.select(*features).distinct().withColumns({f"n_{c}": F.lit(0).cast("bigint") for c in classes}))
-    cells = both.groupBy(*features).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes]).withColumn("__cell", key)
+    cells = bounded(both.groupBy(*features).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes]).withColumn("__cell", key))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__cell")
@@ -199,7 +212,7 @@ class CellModel:
     def feature_importance(self) -> list[tuple[str, float]]:
         """(predictor, share of the gain of all splits)."""
         features, classes, params, seed = self.features, self.classes, self.params, self.seed
-        cells = class_cells(self.train, features, self.label, classes).withColumn("__cell", F.md5(F.to_json(F.struct(*features))))
+        cells = bounded(class_cells(self.train, features, self.label, classes).withColumn("__cell", F.md5(F.to_json(F.struct(*features)))))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf, gains = pdf.sort_values("__cell"), np.zeros(len(features))

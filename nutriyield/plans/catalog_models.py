@@ -248,7 +248,7 @@ def _report(i: Inputs):
     per = {}
     for gn, name in ((True, "Gill nets"), (False, "Other gears")):
         model, _, te = _fit(i, gn)
-        pred = model.transform(te).persist()  # read by every metric
+        pred = cut_lineage(model.transform(te))  # fitted and scored once, read by every metric
         auc = M.roc_auc_hand_till(pred, "cluster", model.classes)
         mets = M.classification_metrics(M.confusion(pred, "cluster", model.classes))
         per[name] = auc.unionByName(mets)
@@ -272,13 +272,23 @@ def _importance(i: Inputs):
     return out
 
 
+_TUNED: dict[tuple, tuple] = {}
+
+
 def _tuned(i: Inputs, gn: bool):
-    """Training rows, test rows and the tuned grid: 20 points x 10 folds, every setting as drawn."""
-    s = cut_lineage(M.stratified_split(_frame(i, gn), "cluster", ["landing_id"], 0.8, 234))
-    tr = M.stratified_folds(s.where(F.col("split") == "train").drop("split"), "cluster", ["landing_id"], 10, 567)
-    feats = GN_CAT + GN_NUM if gn else AG_CAT
-    grid = M.lhs_grid(20, seed=891, n_features=len(feats))
-    return tr, s.where(F.col("split") == "test"), feats, cut_lineage(BO.tune_cells(tr, "fold", feats, grid))
+    """Training rows, test rows and the tuned grid: 20 points x 10 folds, every setting as drawn.
+
+    Tuned once per application, folder and data set: the rows with their folds and
+    the grid's results are checkpointed, and every report starts from those.
+    """
+    key = (i.spark.sparkContext.applicationId, i.sf_dir, gn)
+    if key not in _TUNED:
+        s = cut_lineage(M.stratified_split(_frame(i, gn), "cluster", ["landing_id"], 0.8, 234))
+        tr = cut_lineage(M.stratified_folds(s.where(F.col("split") == "train").drop("split"), "cluster", ["landing_id"], 10, 567))
+        feats = GN_CAT + GN_NUM if gn else AG_CAT
+        grid = M.lhs_grid(20, seed=891, n_features=len(feats))
+        _TUNED[key] = tr, s.where(F.col("split") == "test"), feats, cut_lineage(BO.tune_cells(tr, "fold", feats, grid))
+    return _TUNED[key]
 
 
 def _register_tuned(gn: bool, tag: str):
