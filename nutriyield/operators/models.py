@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nutriyield.operators.verbs import bucketed_rank, hash_key, with_hash_cut, with_scalars
+from nutriyield.session import cut_lineage
 
 # --------------------------------------------------------------------------- splits (ML-4, ML-5)
 
@@ -73,28 +74,69 @@ def dummies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.7, method: str = "spearman") -> DataFrame:
-    """Remove numeric columns so no pair exceeds |correlation| > threshold.
+def average_ranks(long: DataFrame, keys: Sequence[str], value: str, ranges: int = 1000) -> DataFrame:
+    """(keys, value, rank): the average rank of each distinct value of a group, ties sharing theirs.
 
-    The correlation matrix is a distributed Spark ML job; the filter works on the
-    d x d matrix: for each pair above the cut-off, the column with the larger
-    mean absolute correlation goes."""
+    Equal values are counted before they move, so a hot value is one row.  Distinct
+    values are dealt into value ranges (approximate quantiles, any bounds give the
+    same ranks); range totals become offsets, and only one range is ordered together.
+    """
+    keys = list(keys)
+    counts = long.groupBy(*keys, F.col(value).alias("v")).agg(F.sum("n").alias("n"))
+    q = [i / ranges for i in range(1, ranges)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", q, 10 * ranges).alias("cuts"))  # ranges numbers a group
+    placed = counts.join(F.broadcast(cuts), keys).withColumn("at", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    totals = placed.groupBy(*keys, "at").agg(F.sum("n").alias("t"))
+    # at most ``ranges`` rows a group
+    before = totals.withColumn("before", F.sum("t").over(Window.partitionBy(*keys).orderBy("at")) - F.col("t")).drop("t")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "at").orderBy("v"))
+    ranked = placed.join(before, [*keys, "at"]).withColumn("upto", upto)
+    return ranked.select(*keys, F.col("v").alias(value), (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def spearman_matrix(df: DataFrame, cols: Sequence[str], salts: int = 16) -> DataFrame:
+    """(a, b, rho) for every two of ``cols``, a before b; NULL where a column is constant.
+
+    Rows with a NULL or NaN in one of them are left out.  Rows that agree in all
+    columns count as one tuple with a weight; tuples meet the ranks of their values
+    in a join whose hot values are spread by a salt, and centred products are summed.
+    """
+    cols = list(cols)
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{j}") for j, c in enumerate(cols)])
+    x = x.where(" AND ".join(f"c{j} IS NOT NULL AND NOT isnan(c{j})" for j in range(len(cols))))
+    x = x.select(*[(F.col(f"c{j}") + 0.0).alias(f"c{j}") for j in range(len(cols))])  # -0 is 0
+    tuples = x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.md5(F.to_json(F.struct(*x.columns))))
+    tuples = cut_lineage(tuples)
+    long = tuples.unpivot(["cell", "n"], x.columns, "var", "v")
+    ranks = average_ranks(long, ["var"], "v").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    long = long.withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(salts)).cast("int"))
+    per = long.join(ranks, ["var", "v", "salt"]).groupBy("cell", "n").agg(*[F.max(F.when(F.col("var") == c, F.col("rank"))).alias(c) for c in x.columns])
+    per = with_scalars(per, tuples.agg(((F.sum("n") + 1) / 2).alias("mid")))
+    pairs = [(a, b) for a in range(len(cols)) for b in range(a, len(cols))]
+    s = per.agg(*[F.sum(F.col("n") * (F.col(f"c{a}") - F.col("mid")) * (F.col(f"c{b}") - F.col("mid"))).alias(f"s{a}_{b}") for a, b in pairs])
+    rows = [F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), F.try_divide(F.col(f"s{a}_{b}"), F.sqrt(F.col(f"s{a}_{a}") * F.col(f"s{b}_{b}"))).alias("rho"))
+            for a, b in pairs if a < b]
+    return s.select(F.inline(F.array(*rows))) if rows else df.sparkSession.createDataFrame([], "a string, b string, rho double")
+
+
+def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
+    """Remove numeric columns so no pair exceeds |rank correlation| > threshold.
+
+    The filter works on the d x d matrix: for each pair above the cut-off, the
+    column with the larger mean absolute correlation goes.  A constant column has
+    no correlation with another."""
     cols = list(cols)
-    if len(cols) < 2:
-        return df
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    v = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip").transform(df.select(*cols))
-    m = Correlation.corr(v, "__v", method).first()[0].toArray()
-    d = len(cols)
-    avg = [sum(abs(m[i][j]) for j in range(d)) / d for i in range(d)]
-    drop = []
-    for j in range(d):
-        for i in range(j):
-            if abs(m[i][j]) > threshold:
-                k = j if avg[j] > avg[i] else i
-                if cols[k] not in drop:
-                    drop.append(cols[k])
+    m = {c: {c: 1.0} for c in cols}
+    for r in spearman_matrix(df, cols).collect():  # d (d - 1) / 2 rows
+        m[r["a"]][r["b"]] = m[r["b"]][r["a"]] = r["rho"] or 0.0
+    avg = {c: sum(abs(v) for v in m[c].values()) / len(cols) for c in cols}
+    drop: list[str] = []
+    for j, b in enumerate(cols):
+        for a in cols[:j]:
+            if abs(m[a][b]) > threshold:
+                worse = b if avg[b] > avg[a] else a
+                if worse not in drop:
+                    drop.append(worse)
     return df.drop(*drop)
 
 

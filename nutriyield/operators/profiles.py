@@ -74,8 +74,8 @@ def profile_medians(clustered: DataFrame) -> DataFrame:
 def profile_mean_ci(clustered: DataFrame, level: float = 0.98) -> DataFrame:
     """Mean, sd, n, standard error and two-sided t interval per cluster and feature.
 
-    One partial/final aggregate per (cluster, feature); the t quantile is then
-    computed once per group in an Arrow batch.
+    One partial/final aggregate per (cluster, feature); the t quantile is then a
+    column of the few groups.
     """
     long = _long_titles(clustered)
     g = long.groupBy("clusters", "name").agg(

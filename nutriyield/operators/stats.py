@@ -165,18 +165,38 @@ def project_clusters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return y.withColumn("pc1", F.col("__a")[0]).withColumn("pc2", F.col("__a")[1]).drop("__raw", "__std", "__pc", "__a")
 
 
-def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 555) -> DataFrame:
-    """Within-cluster sum of squares and silhouette for each k (choosing k)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    x = _assemble(df, cols).cache()
-    rows = []
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "clusters") -> DataFrame:
+    """(k, wss, silhouette) of a clustering: within-cluster sum of squares and mean silhouette (squared distances).
+
+    A row's mean squared distance to a cluster follows from the cluster's size, sums
+    and sum of squares, so one aggregate gives k small rows and no pair of rows is
+    formed.  Rows are centred first.  A row alone in its cluster has silhouette 0.
+    """
+    cols = list(cols)
+    z = _centered(df.where(F.col(cluster).isNotNull()), cols)
+    sq = _sq(cols, "__z_")
+    per = z.groupBy(F.col(cluster).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"), F.array(*[F.sum(f"__z_{c}") for c in cols]).alias("s"))
+    table = per.agg(F.array_sort(F.collect_list(F.struct("c", "n", "q", "s"))).alias("__k"))  # k rows
+    point = F.array(*[F.col(f"__z_{c}") for c in cols])
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda acc, e: acc + e)
+    x = with_scalars(z.withColumns({"__x": point, "__q": sq}), table)
+    far = F.transform("__k", lambda k: F.struct(k["c"].alias("c"), k["n"].alias("n"), (k["n"] * F.col("__q") - 2 * dot(F.col("__x"), k["s"]) + k["q"]).alias("t")))
+    x = x.withColumn("__t", far)
+    own = F.filter("__t", lambda t: t["c"] == F.col(cluster))[0]
+    other = F.array_min(F.transform(F.filter("__t", lambda t: t["c"] != F.col(cluster)), lambda t: F.greatest(t["t"], F.lit(0.0)) / t["n"]))
+    x = x.withColumns({"__a": F.try_divide(F.greatest(own["t"], F.lit(0.0)), own["n"] - 1), "__b": other})
+    score = F.coalesce(F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b"))), F.lit(0.0))
+    within = per.select((F.col("q") - dot(F.col("s"), F.col("s")) / F.col("n")).alias("w")).agg(F.sum("w").alias("wss"), F.count(F.lit(1)).cast("int").alias("k"))
+    return with_scalars(x.agg(F.avg(score).alias("silhouette")), within).select("k", "wss", "silhouette")
+
+
+def k_scan(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], ks: Sequence[int], iters: int = 10, seed: int = 555) -> DataFrame:
+    """Within-cluster sum of squares and silhouette for each k (choosing k), on the deterministic Lloyd form."""
+    out = None
     for k in ks:
-        m = KMeans(k=k, seed=seed).fit(x)
-        rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(x)))))
-    x.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, wss double, silhouette double")
+        row = silhouette(lloyd_kmeans(df, cols, id_cols, k, iters, seed), cols).withColumn("k", F.lit(int(k)))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --------------------------------------------------------------------------- PERMANOVA

@@ -393,6 +393,18 @@ def _feat_cols(gill_net: bool):
     return dbl, [k for k in keys if k not in dbl]
 
 
+def _ci_sql(stats_long: str, p: float = 0.99, steps: int = 16, panels: int = 1024) -> dict:
+    """Mean interval; the t quantile by Newton steps on Simpson's rule for the density's integral."""
+    d = {"ci_s": f"SELECT clusters, name, mean, sd, n, sd / sqrt(CAST(n AS DOUBLE)) AS se FROM ({stats_long}) m",
+         "ci_q0": "SELECT DISTINCT CAST(n - 1 AS DOUBLE) AS nu, 2.3263478740408408 AS t, exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) AS d0 FROM ci_s WHERE n > 1"}
+    for j in range(steps):
+        area = (f"list_sum(list_transform(range({panels} + 1), lambda i: (CASE WHEN i = 0 OR i = {panels} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) "
+                f"* pow(1 + pow(t * i / {panels}, 2) / nu, -(nu + 1) / 2))) * t / {3 * panels}")
+        d[f"ci_q{j + 1}"] = f"SELECT nu, t + ({p} - 0.5 - d0 * {area}) / (d0 * pow(1 + t * t / nu, -(nu + 1) / 2)) AS t, d0 FROM ci_q{j}"
+    d["ci"] = f"SELECT s.*, mean - t * se AS ci_lower, mean + t * se AS ci_upper FROM ci_s s LEFT JOIN ci_q{steps} q ON q.nu = s.n - 1"
+    return d
+
+
 REPORT_SQL: dict[str, str] = {}
 for _gn, _tag in ((True, "gn"), (False, "ag")):
     _dbl, _oth = _feat_cols(_gn)
@@ -470,7 +482,8 @@ for _gn, _tag in ((True, "gn"), (False, "ag")):
     register(f"dom_profile_stats_{_tag}", O.with_base(O.snap_select(
         f"SELECT clusters, name, mean, sd, n, sd / sqrt(CAST(n AS DOUBLE)) AS se FROM ({stats_long}) m",
         ["mean", "sd", "se"], ["clusters", "name", "n"]), sqls))(_mk_stats(_gn))
-    register(f"dom_profile_ci_{_tag}")(_mk_ci(_gn))
+    register(f"dom_profile_ci_{_tag}", O.with_base(O.snap_select("SELECT * FROM ci", ["mean", "sd", "se", "ci_lower", "ci_upper"], ["clusters", "name", "n"]),
+                                                   {**sqls, **_ci_sql(stats_long)}))(_mk_ci(_gn))
     pm = dict(sqls)
     pm.update({
         "pm_samp": f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('555|' || landing_id), landing_id) AS rn, "
@@ -524,10 +537,32 @@ def _proj(i: Inputs):
     return ST.project_clusters(_clustered(i, True), NUT6)
 
 
-@register("ml_k_scan_gn")
+K_SCAN = (2, 3, 4, 5)
+
+
+def _k_scan_sql() -> dict:
+    d = _features_sql(True, "gn_")
+    for k in K_SCAN:
+        p = f"k{k}_"
+        d[f"{p}feat"] = "SELECT landing_id, " + ", ".join(NUT6) + " FROM gn_feat"
+        d.update(_lloyd_sql(p, k))
+        far = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NUT6)
+        d[f"{p}pairs"] = (f"SELECT a.landing_id, a.clusters AS own, b.clusters AS other, sum({far}) AS t, count(*) AS n FROM {p}clustered a "
+                          f"CROSS JOIN {p}clustered b GROUP BY 1, 2, 3")
+        d[f"{p}sides"] = (f"SELECT landing_id, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a, "
+                          f"min(CASE WHEN own <> other THEN t / n END) AS b FROM {p}pairs GROUP BY 1")
+        d[f"{p}wss"] = (f"SELECT sum(" + " + ".join(f"(x.{c} - m.{c}) * (x.{c} - m.{c})" for c in NUT6) + f") AS wss FROM {p}clustered x JOIN "
+                        f"(SELECT clusters, " + ", ".join(f"avg({c}) AS {c}" for c in NUT6) + f" FROM {p}clustered GROUP BY 1) m USING (clusters)")
+        d[f"{p}row"] = (f"SELECT CAST({k} AS INTEGER) AS k, (SELECT wss FROM {p}wss) AS wss, "
+                        f"avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM {p}sides")
+    return d
+
+
+@register("ml_k_scan_gn", O.with_base(O.snap_select("SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM k{k}_row" for k in K_SCAN) + ") u",
+                                                    ["wss", "silhouette"], ["k"]), _k_scan_sql()))
 def _kscan(i: Inputs):
     """ML-3: within-SS and silhouette for k = 2..5."""
-    return ST.k_scan(_features(i, True), NUT6, [2, 3, 4, 5])
+    return ST.k_scan(_features(i, True), NUT6, ["landing_id"], K_SCAN)
 
 
 @register("sta_permanova_report", O.with_base(O.snap_select(" UNION ALL ".join(

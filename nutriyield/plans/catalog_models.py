@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nutriyield.functions import snap_doubles
 from nutriyield.operators import boosting as BO
 from nutriyield.operators import explain as EX
 from nutriyield.operators import models as M
@@ -180,8 +181,26 @@ def _zv(i: Inputs):
 @register("ml_correlation_filter_gn")
 def _corr(i: Inputs):
     """ML-6: Spearman correlation filter (|r| > 0.7) over numeric features."""
-    return M.drop_correlated(_clustered(i, True), ["mesh_size", "zinc", "protein", "omega3", "calcium", "iron",
-                                                   "vitaminA"], 0.7, "spearman")
+    return M.drop_correlated(_clustered(i, True), CORR_COLS, 0.7)
+
+
+CORR_COLS = ["mesh_size", "zinc", "protein", "omega3", "calcium", "iron", "vitaminA"]
+
+
+def _spearman_sql() -> dict:
+    d = _profile_sql(True)
+    fine = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in CORR_COLS)
+    d["sp_ranks"] = "SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in CORR_COLS) + f" FROM ({O.snap_select('SELECT * FROM gn_clustered', CORR_COLS, ['landing_id'])}) x WHERE {fine}"
+    return d
+
+
+@register("ml_spearman_matrix_gn", O.with_base(O.snap_select("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN min({a}) = max({a}) OR min({b}) = max({b}) THEN NULL ELSE corr({a}, {b}) END AS rho FROM sp_ranks"
+    for j, a in enumerate(CORR_COLS) for b in CORR_COLS[j + 1:]) + ") u", ["rho"], ["a", "b"]), _spearman_sql()))
+def _spearman(i: Inputs):
+    """ML-6: rank correlations (ties share their average rank) behind the filter."""
+    # ties must not hang on the last bits of sums made in another order
+    return M.spearman_matrix(snap_doubles(_clustered(i, True).select(*CORR_COLS)), CORR_COLS)
 
 
 @register("ml_dummies_gn")
