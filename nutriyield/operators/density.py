@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nutriyield.functions import str_to_title
 from nutriyield.operators.composition import rename_nutrients
-from nutriyield.operators.verbs import exact_median_by, top_n_with_ties, with_scalars
+from nutriyield.operators.verbs import arrange, exact_median_by, top_n_with_ties, with_scalars
 from nutriyield.sources import literals as L
 
 
@@ -86,7 +86,7 @@ def yield_by_group(yields: DataFrame, variant: str = "yield", merge_label: str =
     if with_labels:
         lab = F.broadcast(L.pairs_df(yields.sparkSession, L.FISH_LABELS, "fish_group", "fish_label"))
         out = out.join(lab, "fish_group", "left")
-    return out
+    return arrange(out, [F.desc_nulls_last("value"), F.asc("fish_group")], within=["nutrient"])
 
 
 def top_taxon_per_group(yields: DataFrame, catch_groups: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> Data
 
 
 def cluster_profiles(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], k: int = 3,
-                     restarts: int = 500, seed: int = 555, max_iter: int = 10, label_col: str = "clusters"):
+                     restarts: int = 500, seed: int = 555, max_iter: int = 10, label_col: str = "clusters", transfers: bool = True):
     """Multi-start k-means on unscaled ``cols``; returns (frame, model).
 
     All ``restarts`` runs advance together.  Each step explodes the rows once
@@ -41,7 +41,7 @@ def cluster_profiles(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str],
     per-partition group limit, so only restarts x k rows per partition move.
 
     The run with the lowest total within-cluster sum of squares is kept (ties:
-    lowest restart).  Cluster ids are renumbered 1..k by ascending centroid
+    lowest restart) and improved by Hartigan-Wong transfers (``transfer_rows``).  Cluster ids are renumbered 1..k by ascending centroid
     (lexicographic over ``cols``) and returned as strings.  The model is the
     bounded dict {centers, tot_withinss, restart, iterations}.
     """
@@ -98,11 +98,75 @@ def cluster_profiles(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str],
     centers = sorted(tuple(c) for c in cents[best])
     out = _assign(x, cols, _cents_frame(spark, [[i + 1, *c] for i, c in enumerate(centers)],
                                          "cid int, " + ", ".join(f"`{c}` double" for c in cols), cols))
+    if transfers:
+        out, centers, wss[best] = transfer_rows(out, cols, id_cols, "__cid")
     out = out.withColumn(label_col, F.col("__cid").cast("string")).drop("__cid")
     model = {"centers": centers, "tot_withinss": wss[best], "restart": best, "iterations": it}
     return out, model
 
 
+def transfer_rows(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], label: str, batch: int = 1000, max_passes: int = 100):
+    """Hartigan-Wong transfers after Lloyd; returns (frame, sorted centroids, within-cluster sum of squares).
+
+    Moving a row from its cluster l to m changes the within-cluster sum by
+    n_m / (n_m + 1) d_m^2 - n_l / (n_l - 1) d_l^2.  A pass finds this gain in the
+    row from the k cluster sizes and sums; the ``batch`` largest gains (a bounded
+    table; ties by id) are applied on the driver one after another, each checked
+    against the sums as the moves before it left them, so every move lowers the
+    sum.  Passes go on until no row gains.  A row alone in its cluster stays, and rows
+    with a NULL in a column keep their label.  Ids must be distinct.  Labels
+    become 1..k by ascending centroid.
+    """
+    cols, id_cols = list(cols), list(id_cols)
+    spark, point = df.sparkSession, F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
+    x = df.withColumns({label: F.col(label).cast("int"), "__x": point})
+    x = cut_lineage(x.withColumn("__x", F.when(~F.exists("__x", lambda v: v.isNull() | F.isnan(v)), F.col("__x"))))
+
+    def sizes():
+        got = x.where(F.col("__x").isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("__x")[j]) for j in range(len(cols))]).alias("s")).collect()
+        return {r[label]: (r["n"], list(r["s"])) for r in got}  # k rows
+
+    def far(v, n, s):
+        return sum((a - b / n) ** 2 for a, b in zip(v, s))
+
+    for _ in range(max_passes):
+        k = sizes()
+        table = spark.createDataFrame([(c, n, [v / n for v in s]) for c, (n, s) in sorted(k.items())], "c int, n long, m array<double>")
+        table = table.agg(F.array_sort(F.collect_list(F.struct("c", "n", "m"))).alias("__k"))
+        d2 = lambda m: F.aggregate(F.zip_with("__x", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, e: acc + e)
+        y = with_scalars(x.where(F.col("__x").isNotNull()), table)
+        own = F.filter("__k", lambda t: t["c"] == F.col(label))[0]
+        leave = F.when(own["n"] > 1, own["n"] / (own["n"] - 1) * d2(own["m"]))
+        join = F.array_min(F.transform(F.filter("__k", lambda t: t["c"] != F.col(label)), lambda t: F.struct((t["n"] / (t["n"] + 1) * d2(t["m"])).alias("d"), t["c"].alias("c"))))
+        y = y.select(*id_cols, label, "__x", (leave - join["d"]).alias("__gain"), leave.alias("__cost"))
+        top = y.where(F.col("__gain") > 1e-12 * (F.col("__cost") + 1)).orderBy(F.desc("__gain"), *id_cols).limit(batch).collect()
+        moves = []
+        for r in top:
+            v, at = r["__x"], r[label]
+            n, s = k[at]
+            if n < 2:
+                continue
+            cost = n / (n - 1) * far(v, n, s)
+            better, to = min((m / (m + 1) * far(v, m, t), c) for c, (m, t) in k.items() if c != at)
+            if cost - better > 1e-12 * (cost + 1):
+                k[at] = n - 1, [b - a for a, b in zip(v, s)]
+                k[to] = k[to][0] + 1, [b + a for a, b in zip(v, k[to][1])]
+                moves.append((*[r[c] for c in id_cols], to))
+        if not moves:
+            break
+        kinds = ", ".join(f"`{c}` {t}" for c, t in x.select(*id_cols).dtypes)
+        moved = spark.createDataFrame(moves, f"{kinds}, __to int")  # at most ``batch`` rows
+        x = cut_lineage(x.join(F.broadcast(moved), id_cols, "left").withColumn(label, F.coalesce("__to", label)).drop("__to"))
+    k = sizes()
+    order = sorted(k, key=lambda c: [v / k[c][0] for v in k[c][1]])
+    centers = [tuple(v / k[c][0] for v in k[c][1]) for c in order]
+    number = F.create_map(*[F.lit(v) for i, c in enumerate(order) for v in (c, i + 1)])
+    x = x.withColumn(label, number[F.col(label)])
+    near = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
+    wss = x.agg(F.sum(F.aggregate(F.zip_with("__x", F.element_at(near, F.col(label)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, e: acc + e)).alias("w")).first()["w"]
+    return x.drop("__x"), centers, float(wss or 0.0)
+
+
 def lloyd_kmeans(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], k: int = 3, iters: int = 5,
                  seed: int = 555, label_col: str = "clusters") -> DataFrame:
     """Deterministic k-means: seeds are the k rows with the smallest md5(seed, id);

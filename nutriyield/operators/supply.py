@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nutriyield.functions import comma_format, str_remove_first, strict_sum
 from nutriyield.operators.composition import rename_nutrients
-from nutriyield.operators.verbs import add_total_row, with_scalars
+from nutriyield.operators.verbs import arrange, add_total_row, with_scalars
 from nutriyield.sources import literals as L
 
 YIELD_COLS = ["catch"] + L.NUTRIENTS
@@ -101,8 +101,9 @@ def population_supplied(supply: DataFrame, rdi: DataFrame, population: DataFrame
     df = with_scalars(df, pop_sum).withColumn(
         "population", F.when(F.col("region") == total_label, F.col("__pop_sum")).otherwise(F.col("population")))
     df = df.withColumn("perc", F.try_divide(F.col("total"), F.col("population")) * 100.0)
-    return df.select("region", F.col("population").cast("long").alias("population"), "total",
-                     (F.col("population") * (F.col("perc") / 100.0)).alias("number_of_people"), "perc")
+    out = df.select("region", F.col("population").cast("long").alias("population"), "total",
+                    (F.col("population") * (F.col("perc") / 100.0)).alias("number_of_people"), "perc")
+    return arrange(out, [F.desc_nulls_last("perc"), F.asc("region")])
 
 
 def map_data(supply: DataFrame, supplied: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """Join on every shared column name (dplyr's default ``by``)."""
+    """Join on every shared column name (dplyr's default ``by``); NULL keys match each other, as in R."""
     on = [c for c in left.columns if c in right.columns]
     if not on:
         raise ValueError("natural_join: no shared columns")
-    return left.join(right, on, how)
+    return nullsafe_join(left, right, on, how)
 
 
 def nullsafe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -120,17 +120,20 @@ def arrange(df: DataFrame, by: Sequence[Column], within: Sequence[str] = (), ran
 
 
 def top_n_with_ties(df: DataFrame, part: Sequence[str], order: Column, n: int = 1) -> DataFrame:
-    """``slice_max(order, n)`` per group, ties kept.
+    """``slice_max(order, n)`` per group, ties kept; a NULL group is a group, NULL values are never kept.
 
-    Two stages so a hot group never sorts in one task: the n-th largest value per
-    group is found by a partial/final aggregate (max for n = 1), then rows at or
-    above it are kept.
+    Two stages so a hot group never sorts in one task: every task keeps the n
+    largest values of a group before the shuffle (a group limit), their n-th is the
+    group's threshold, and rows at or above it are kept.
     """
+    part = list(part)
+    x = df.withColumn("__order", order).where(F.col("__order").isNotNull())
     if n == 1:
-        best = df.groupBy(*part).agg(F.max(order).alias("__best"))
-        return (df.join(best, list(part)).where(order >= F.col("__best")).drop("__best"))
-    w = Window.partitionBy(*part).orderBy(order.desc())
-    return df.withColumn("__rk", F.rank().over(w)).where(F.col("__rk") <= n).drop("__rk")
+        best = x.groupBy(*part).agg(F.max("__order").alias("__best"))
+    else:
+        pos = F.row_number().over(Window.partitionBy(*part).orderBy(F.col("__order").desc()))
+        best = x.select(*part, "__order").withColumn("__pos", pos).where(F.col("__pos") <= n).groupBy(*part).agg(F.min("__order").alias("__best"))
+    return nullsafe_join(x, best, part, "inner").where(F.col("__order") >= F.col("__best")).drop("__order", "__best")
 
 
 def global_top_n_with_ties(df: DataFrame, order_col: str, n: int) -> DataFrame:

@@ -526,11 +526,18 @@ for _gn, _tag in ((True, "gn"), (False, "ag")):
 
 @register("ml_kmeans_profiles_gn")
 def _kmeans_ml(i: Inputs):
-    """ML-1: multi-start k-means (k=3, 500 restarts, lowest cost), relabelled clusters."""
+    """ML-1: multi-start k-means (k=3, 500 restarts, lowest cost, then transfers), relabelled clusters."""
     out, _ = ST.cluster_profiles(_features(i, True), NUT6, ["landing_id"], k=3, restarts=500, seed=555)
     return out
 
 
+@register("ml_kmeans_profiles_ag")
+def _kmeans_ml_ag(i: Inputs):
+    """ML-1, other gears: multi-start k-means with transfers."""
+    out, _ = ST.cluster_profiles(_features(i, False), NUT6, ["landing_id"], k=3, restarts=500, seed=555)
+    return out
+
+
 @register("ml_cluster_projection_gn")
 def _proj(i: Inputs):
     """ML-2: standardise + PCA(2) coordinates of the clustered trips."""

@@ -46,12 +46,22 @@ def _sorted_group(i: Inputs):
 # ------------------------------------------------------------------ joins and selection
 
 
-@register("vrb_natural_join", "SELECT c.c_custkey, c.c_name, o.n_orders FROM customer c LEFT JOIN "
-          "(SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON c.c_custkey = o.c_custkey")
+@register("vrb_natural_join", "SELECT c.c_custkey, c.c_name, o.n_orders FROM (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS c_custkey, c_name FROM customer) c LEFT JOIN "
+          "(SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS c_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o "
+          "ON c.c_custkey IS NOT DISTINCT FROM o.c_custkey")
 def _natural(i: Inputs):
-    """JON-2: left join on every shared name."""
-    n = i.t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return V.natural_join(i.t.customer.select("c_custkey", "c_name"), n)
+    """JON-2: left join on every shared name; the keys that stand for "unknown" (NULL) match each other."""
+    known = lambda c: F.when(F.col(c) % 7 != 0, F.col(c)).alias("c_custkey")
+    n = i.t.orders.groupBy(known("o_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return V.natural_join(i.t.customer.select(known("c_custkey"), "c_name"), n)
+
+
+@register("vrb_top3_per_group", "SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity, l_suppkey FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag "
+          "ORDER BY l_quantity * 100000 + l_suppkey DESC) AS r FROM lineitem) x WHERE r <= 3")
+def _top3(i: Inputs):
+    """WIN-5: the three largest rows per group with their ties (few groups, so every group is hot)."""
+    top = V.top_n_with_ties(i.t.lineitem, ["l_returnflag"], F.col("l_quantity") * 100000 + F.col("l_suppkey"), 3)
+    return top.select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
 
 
 @register("vrb_full_join_fill", O.with_base(
