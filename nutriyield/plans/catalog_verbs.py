@@ -240,6 +240,15 @@ def _read_latest(i: Inputs):
     return IO.read_latest(i.spark, folders, root, "orders", version="v2", extension="parquet", exact_match=True)
 
 
+@register("src_put_latest", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def _put_latest(i: Inputs):
+    """SRC-6, SRC-7: two versions are put, and the later one is found by the manifest and read."""
+    root, orders = _folder(i), i.t.orders
+    IO.put_version(orders.select("o_orderkey", "o_orderstatus"), root, "orders", "v1")
+    IO.put_version(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), root, "orders", "v2")
+    return IO.read_published(i.spark, root, "orders", extension="parquet", exact_match=True)
+
+
 @register("src_partitioned_sink", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
 def _partitioned(i: Inputs):
     """SRC-4: a partitioned sink, read with the partition pruned."""
