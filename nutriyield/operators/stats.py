@@ -218,7 +218,9 @@ def _assign(df: DataFrame, cols: Sequence[str], cents: DataFrame) -> DataFrame:
 
 
 def project_clusters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Standardise ``cols`` and project to the first two principal components."""
+    """Standardise ``cols`` and project to the first two principal components.
+
+    A component's sign is fixed: its largest loading (the first of equal ones) is positive."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
@@ -226,7 +228,9 @@ def project_clusters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pipe = Pipeline(stages=[StandardScaler(inputCol="__raw", outputCol="__std", withMean=True, withStd=True),
                             PCA(k=2, inputCol="__std", outputCol="__pc")]).fit(x)
     y = pipe.transform(x).withColumn("__a", vector_to_array("__pc"))
-    return y.withColumn("pc1", F.col("__a")[0]).withColumn("pc2", F.col("__a")[1]).drop("__raw", "__std", "__pc", "__a")
+    loadings = pipe.stages[1].pc.toArray()  # d x 2
+    sign = [1.0 if max(c, key=abs) >= 0 else -1.0 for c in loadings.T.tolist()]
+    return y.withColumns({f"pc{j + 1}": F.col("__a")[j] * sign[j] for j in range(2)}).drop("__raw", "__std", "__pc", "__a")
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "clusters") -> DataFrame:

@@ -73,3 +73,16 @@ def test_natural_join_matches_null_keys(spark):
     assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "x", 10, 1.0), (None, "x", 20, 2.0), (None, None, 30, 3.0), (2, "y", 40, None)], key=str)
     full = V.natural_join(a, b, "full").collect()
     assert (3, "z", None, 4.0) in [tuple(r) for r in full] and len(full) == 5
+
+
+def test_projection_signs(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(60, 3)) @ np.array([[2, 0.3, 0], [0, 1, 0.2], [0, 0, 0.5]])
+    for flip in (1.0, -1.0):
+        df = spark.createDataFrame([(i, *map(float, r * flip)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+        got = np.array([(r["pc1"], r["pc2"]) for r in ST.project_clusters(df, ["a", "b", "c"]).orderBy("id").collect()])
+        z = (x * flip - (x * flip).mean(0)) / x.std(0, ddof=1)
+        basis = np.linalg.eigh(np.cov(z.T))[1][:, ::-1][:, :2]
+        basis *= np.sign(basis[np.abs(basis).argmax(0), [0, 1]])
+        offset = got - z @ basis
+        assert np.allclose(offset, offset[0], atol=1e-9)
