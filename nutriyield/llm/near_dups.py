@@ -151,9 +151,13 @@ def _confirm(shingle: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, run: int = 512) -> DataFrame:
-    """The pairs (hub, doc) whose full sets reach the threshold, as (a, b)."""
-    count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / run).cast("int").alias("parts"))
-    members = pairs.join(count, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("salt"), "doc")
+    """The pairs (hub, doc) whose full sets reach the threshold, as (a, b).
+
+    ``members`` is the size of the bucket that made the pair: a hub's pairs are
+    dealt to as many runs as its buckets fill, known from the row alone.
+    """
+    parts = F.ceil(F.col("members") / run).cast("bigint")
+    members = pairs.select("hub", (F.shiftleft(parts, 32) + F.pmod(F.xxhash64("doc"), parts)).alias("salt"), "doc")
     # a hub goes with each of its runs that has members
     tasks = members.unionByName(members.groupBy("hub", "salt").agg(F.first("hub").alias("doc")))
     # pairs grow with the corpus, so neither side is ever broadcast
@@ -282,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = classes.select("doc", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1")
     buckets = shared_table(keyed.join(hubs, "key"), "buckets")
-    star = shared_table(buckets.where("doc <> hub").select("hub", "doc").distinct(), "pairs")
+    star = shared_table(buckets.where("doc <> hub").groupBy("hub", "doc").agg(F.max("members").alias("members")), "pairs")
     links = shared_table(confirmed(star, texts, shingle, percent), "confirmed")
     # equal sets: link each id to its class; covers ids that stand in several rows
     own = filled.select("doc_id", "set_hash").distinct().join(classes.select("set_hash", "doc"), "set_hash") \
