@@ -7,14 +7,18 @@ vectors; the set bits are counted for each language, corrected for the false
 positives that the filter's fill predicts, and the largest share decides.
 
 Learning counts the n-grams of all training rows (aggregated in the task, then
-by shuffle) and keeps those that make up at least ``min_share`` of a language's
-n-grams, so a language has at most 1/min_share of them: the bound on what the
-driver gathers and broadcasts, whatever the corpus.
+by shuffle).  No n-gram is too rare to be learned; one belongs to every language
+in which its share is at least ``min_ratio`` of its largest share, so that the
+foreign passages of a growing corpus don't put every n-gram into every filter.
+The bits are set in the tasks and or-ed slot by slot in Spark; the driver gets
+the finished table, of at most ``max_bytes``.  Beyond the n-grams for which
+that leaves room the filters fill up, and the false positives are corrected.
 
 Defined cases: a null or letterless text is ``und`` with score 0; a text none of
 whose n-grams is known gets the most frequent learned language and score 0;
-without any learned row everything is ``und``.  Repeated rows are judged alone
-and alike.  Other columns are never read.
+equal shares go to the language with more learned n-grams (by count of
+occurrences, then by name); without any learned row everything is ``und``.
+Repeated rows are judged alone and alike.  Other columns are never read.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nutriyield.llm.common import U64, mix, process_cache, share, shared, slices, sums
+from nutriyield.llm.common import U64, mix, process_cache, share, shared, shared_table, slices, sums
+
 
 def letters() -> np.ndarray:
     """Which code points are letters; built once per process."""
@@ -71,6 +77,14 @@ def ngram_keys(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray,
     return key, np.searchsorted(owner, np.arange(len(low) + 1)), found
 
 
+def probe_slots(keys: np.ndarray, slots: int, probes: int):
+    """The slots of each (mixed) key, one array per probe; the top bits of two independent hashes' sums."""
+    shift = U64(64 - (slots.bit_length() - 1))
+    step = mix(keys + U64(1)) | U64(1)
+    for k in range(probes):
+        yield ((keys + step * U64(k)) >> shift).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class LanguageFilters:
     """Bit-sliced Bloom filters of several languages and their false-positive rates."""
@@ -83,11 +97,7 @@ class LanguageFilters:
     false_rate: np.ndarray
 
     def slots(self, keys: np.ndarray):
-        """The slots of each (mixed) key, one array per probe; the top bits of two independent hashes' sums."""
-        bits = len(self.table).bit_length() - 1
-        step = mix(keys + U64(1)) | U64(1)
-        for k in range(self.probes):
-            yield ((keys + step * U64(k)) >> U64(64 - bits)).astype(np.int64)
+        return probe_slots(keys, len(self.table), self.probes)
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
         out = None
@@ -109,21 +119,78 @@ class LanguageFilters:
         return out
 
 
+def empty_filters(names: list[str], prior: str | None, n: int, distinct: int, probes: int = 3, slots_per_key: int = 12,
+                  max_bytes: int = 1 << 25) -> LanguageFilters:
+    """Filters of ``names`` without a bit set, sized for ``distinct`` n-grams and at most ``max_bytes``."""
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(names) <= np.dtype(t).itemsize * 8), np.uint64)
+    words = -(-max(len(names), 1) // (np.dtype(kind).itemsize * 8))
+    most = max(1 << 10, 1 << (max_bytes // (words * np.dtype(kind).itemsize)).bit_length() - 1)
+    slots = min(most, 1 << max(10, int(slots_per_key * max(distinct, 1) - 1).bit_length()))
+    return LanguageFilters(names, prior, np.zeros((slots, words), kind), probes, n, np.zeros(len(names)))
+
+
+def measure_fill(f: LanguageFilters) -> LanguageFilters:
+    """The false-positive rate of each language, from the filled share of its bits."""
+    kind, width = f.table.dtype.type, f.table.dtype.itemsize * 8
+    for l in range(len(f.languages)):
+        f.false_rate[l] = ((f.table[:, l // width] >> kind(l % width)) & kind(1)).mean() ** f.probes
+    return f
+
+
 def build_filters(grams: pd.DataFrame, prior: str | None, n: int, probes: int = 3, slots_per_key: int = 12) -> LanguageFilters:
-    """``grams`` (lang, key): the n-grams that each language keeps."""
-    names = sorted(grams["lang"].unique())
+    """Filters of n-grams at hand, ``grams`` (lang, key)."""
     keys = np.ascontiguousarray(grams["key"].to_numpy(np.int64)).view(U64)
-    slots = 1 << max(10, int(slots_per_key * max(grams["key"].nunique(), 1) - 1).bit_length())
-    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(names) <= np.dtype(t).itemsize * 8), np.uint64)
-    width = np.dtype(kind).itemsize * 8
-    table = np.zeros((slots, -(-max(len(names), 1) // width)), kind)
-    out = LanguageFilters(names, prior, table, probes, n, np.zeros(len(names)))
-    for l, name in enumerate(names):
+    out = empty_filters(sorted(grams["lang"].unique()), prior, n, grams["key"].nunique(), probes, slots_per_key)
+    kind, width = out.table.dtype.type, out.table.dtype.itemsize * 8
+    for l, name in enumerate(out.languages):
         for at in out.slots(mix(keys[grams["lang"].to_numpy() == name])):
-            table[at, l // width] |= kind(1 << (l % width))
-        fill = ((table[:, l // width] >> kind(l % width)) & kind(1)).mean()
-        out.false_rate[l] = fill ** probes
-    return out
+            out.table[at, l // width] |= kind(1 << (l % width))
+    return measure_fill(out)
+
+
+CHUNK = 1 << 16
+
+
+def _set_bits(blank: LanguageFilters):
+    """(chunk, slot, word, mask) for every probe of an n-gram and every word of its mask that has a bit."""
+    width, (slots, words), probes = blank.table.dtype.itemsize * 8, blank.table.shape, blank.probes
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1 << 18):
+                part = batch.slice(start, 1 << 18)
+                keys = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+                lists = part.column("langs")
+                owner = np.repeat(np.arange(len(keys)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                lang = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                mask = np.zeros((len(keys), words), U64)
+                np.bitwise_or.at(mask, (owner, lang // width), U64(1) << (lang % width).astype(U64))
+                row, word = np.nonzero(mask)
+                for at in probe_slots(mix(keys), slots, probes):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array((at[row] // CHUNK).astype(np.int32)), pa.array((at[row] % CHUNK).astype(np.int32)),
+                        pa.array(word.astype(np.int32)), pa.array(mask[row, word].view(np.int64))], ["chunk", "slot", "word", "mask"])
+    return run
+
+
+def _chunk_bytes(words: int, kind: str):
+    """The slots of a chunk as bytes; at most CHUNK x words rows."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((CHUNK, words), kind)
+        out[pdf["slot"].to_numpy(), pdf["word"].to_numpy()] = pdf["mask"].to_numpy(np.int64).view(U64).astype(kind)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [out.tobytes()]})
+    return run
+
+
+def fill_filters(blank: LanguageFilters, grams: DataFrame) -> LanguageFilters:
+    """``blank`` with the bits of ``grams`` (key, langs: numbers of the languages), or-ed in Spark."""
+    words, kind = blank.table.shape[1], blank.table.dtype.name
+    bits = grams.mapInArrow(_set_bits(blank), "chunk int, slot int, word int, mask bigint") \
+        .groupBy("chunk", "slot", "word").agg(F.bit_or("mask").alias("mask"))
+    for r in bits.groupBy("chunk").applyInPandas(_chunk_bytes(words, kind), "chunk int, bits binary").collect():  # the table itself
+        part = np.frombuffer(r["bits"], kind).reshape(CHUNK, words)
+        blank.table[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = part[:len(blank.table)]
+    return measure_fill(blank)
 
 
 def _count(n: int, hold: int = 2_000_000):
@@ -152,29 +219,33 @@ def _count(n: int, hold: int = 2_000_000):
     return run
 
 
-def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 4, min_share: float = 2e-6,
-          min_ratio: float = 0.1, probes: int = 3) -> LanguageFilters:
+def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 4, min_ratio: float = 0.1,
+          probes: int = 3, max_bytes: int = 1 << 25) -> LanguageFilters:
     """Filters from all rows with a text and a language.
 
-    An n-gram joins a language's filter if it is ``min_share`` of the
-    language's n-grams and not under ``min_ratio`` of its share in any other.
+    Every n-gram joins the filter of each language in which its share is not
+    under ``min_ratio`` of its largest share, so it is in one filter at least.
     """
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()) \
         .select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.mapInArrow(_count(n), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(total, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= min_share)
-    # one row for each n-gram, at most as long as there are languages
-    kept = share.groupBy("key").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share", "total")).alias("of")) \
-        .select("key", "top", F.explode("of").alias("x")).where(F.col("x.share") >= min_ratio * F.col("top")) \
-        .select(F.col("x.lang").alias("lang"), "key", F.col("x.total").alias("total")).toPandas()
-    prior = kept.sort_values(["total", "lang"], ascending=[False, True])["lang"].iloc[0] if len(kept) else None
-    return build_filters(kept[["lang", "key"]], prior, n, probes)
+    counts = shared_table(rows.mapInArrow(_count(n), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")), "ngrams")
+    per = counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()  # one row a language
+    per = sorted(((r["lang"], r["total"]) for r in per), key=lambda x: (-x[1], x[0]))
+    distinct = counts.agg(F.approx_count_distinct("key")).first()[0]
+    blank = empty_filters([x for x, _ in per], per[0][0] if per else None, n, distinct, probes, max_bytes=max_bytes)
+    if not per:
+        return blank
+    table = counts.sparkSession.createDataFrame([(l, i, float(t)) for i, (l, t) in enumerate(per)], "lang string, l int, total double")
+    share = counts.join(F.broadcast(table), "lang").select("key", "l", (F.col("n") / F.col("total")).alias("share"))
+    # one list for each n-gram, at most as long as there are languages
+    of = share.groupBy("key").agg(F.max("share").alias("top"), F.collect_list(F.struct("l", "share")).alias("of"))
+    near = F.filter("of", lambda x: x["share"] >= min_ratio * F.col("top"))
+    return fill_filters(blank, of.select("key", F.transform(near, lambda x: x["l"]).alias("langs")))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, margin) for every row; score is the corrected share of the winning language."""
-    model = share(docs.sparkSession, filters)  # bounded: see learn()
+    model = share(docs.sparkSession, filters)  # at most max_bytes: see learn()
 
     def run(batches):
         m: LanguageFilters = shared(model)
