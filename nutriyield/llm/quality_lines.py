@@ -71,11 +71,13 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " ", -1), "")
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, least_bits: int = 0) -> Column:
     """Words inside a 3-word window that occurs twice or more in the text.
 
     Windows of one row are sorted as longs (hash prefix, place), so equal ones
     stand side by side; neighbours with equal prefixes are compared as words.
+    Should different windows share a prefix (``least_bits`` of a long are the
+    place's, the rest the prefix's), the row's windows are sorted as words.
     The union of the repeated windows is then measured along the text.  Every
     array is bound before a loop over it, so that no rewriting of the plan can
     put its evaluation inside the loop.
@@ -93,11 +95,22 @@ def repeated_words(words: Column) -> Column:
         def key(i):
             return at_zero(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))) + i
 
-        def places(s: Column) -> Column:
-            hit = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: same(F.get(s, j), F.get(s, j - 1)))
-            both = F.flatten(F.transform(hit, lambda j: F.array(place(F.get(s, j)), place(F.get(s, j - 1)))))
+        def of_neighbours(s: Column, equal, at) -> Column:
+            hit = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: equal(F.get(s, j), F.get(s, j - 1)))
+            both = F.flatten(F.transform(hit, lambda j: F.array(at(F.get(s, j)), at(F.get(s, j - 1)))))
             return F.sort_array(F.array_distinct(both))
 
+        def exact() -> Column:
+            """Windows as words, for the rare row whose prefixes clash."""
+            window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
+            alike = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+            ordered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
+            return let(ordered, lambda s: of_neighbours(s, alike, lambda x: x["i"]))
+
+        def places(s: Column) -> Column:
+            clash = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda j: (prefix(F.get(s, j)) == prefix(F.get(s, j - 1))) & ~same(F.get(s, j), F.get(s, j - 1)))
+            return F.when(clash, exact()).otherwise(of_neighbours(s, same, place))
+
         def covered(p: Column) -> Column:
             steps = F.transform(p, lambda i, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - i, F.lit(3))))
             return F.aggregate(steps, F.lit(0).cast("bigint"), lambda n, x: n + x)
@@ -106,7 +119,7 @@ def repeated_words(words: Column) -> Column:
         return let(windows, lambda s: let(places(s), covered))
 
     def bound(w: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(w) + 2)).cast("int")
+        bits = F.greatest(F.ceil(F.log2(F.size(w) + 2)).cast("int"), F.lit(least_bits))
         return F.when(F.size(w) >= 4, let(bits, lambda b: of(w, b))).otherwise(F.lit(0).cast("bigint"))
 
     return let(words, bound)

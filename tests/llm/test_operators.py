@@ -182,6 +182,48 @@ def test_filters_hold_every_ngram():
     assert abs((other & 1).mean() - f.false_rate[0]) < 0.01
 
 
+def test_scores_equal_plain_sets(spark):
+    """Filters learned in Spark against sets of n-grams: none is lost, rare ones and those of all languages included."""
+    rows = [(l, t) for l, ts in {"aa": ["the shared word", "alone once zzyzx"] + ["der hund " * 30], "bb": ["the shared word", "hund"] + ["le chien " * 30],
+                                 "cc": ["the shared word"] + ["el perro " * 40]}.items() for t in ts]
+    f = language_bits.learn(spark.createDataFrame(rows, "lang string, text string"))
+    count = collections.defaultdict(collections.Counter)
+    for l, t in rows:
+        count[l].update(language_bits.ngram_keys([t], 4)[0].tolist())
+    share = {l: {k: n / sum(c.values()) for k, n in c.items()} for l, c in count.items()}
+    top = {k: max(s.get(k, 0) for s in share.values()) for s in share.values() for k in s}
+    sets = {l: {k for k, v in s.items() if v >= 0.1 * top[k]} for l, s in share.items()}
+    assert set().union(*sets.values()) == set(top)
+    for k in language_bits.ngram_keys(["the shared word"], 4)[0].tolist():
+        assert all(k in s for s in sets.values())
+    assert f.languages == sorted(sets, key=lambda l: (-sum(count[l].values()), l))
+    keys, offsets, _ = language_bits.ngram_keys(["the hund perro", "alone zzyzx", "chien", "qqqq wwww"], 4)
+    got = f.scores(keys, offsets)
+    for i in range(4):
+        own = keys[offsets[i]:offsets[i + 1]].tolist()
+        for l, name in enumerate(f.languages):
+            want = sum(k in sets[name] for k in own) / len(own)
+            rate = f.false_rate[l]
+            assert abs(got[i, l] - max(0, (want - rate) / (1 - rate))) < 1e-9
+    full = language_bits.learn(spark.createDataFrame(rows, "lang string, text string"), max_bytes=1)
+    assert len(full.table) == 1 << 10 and (full.false_rate >= 0).all()
+    # equal shares: the language with more learned n-grams
+    named = language_bits.identify(spark.createDataFrame([(1, "the shared word")], "doc_id int, text string"), f).first()
+    assert named["lang_pred"] == f.languages[0]
+
+
+def test_windows_that_share_a_prefix(spark):
+    from nutriyield.llm.quality_lines import repeated_words, split_words
+    texts = ["a b c d a b c e a b c", " ".join(f"w{i % 7} x{i % 5} y{i % 3}" for i in range(60)), " ".join(f"w{i * i % 11}" for i in range(80)), "a b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain, clashing = (repeated_words(split_words(F.col("t")), b) for b in (0, 61))
+    for r in df.select("t", plain.alias("p"), clashing.alias("c")).collect():
+        w = r["t"].split()
+        seen = collections.Counter(zip(w, w[1:], w[2:]))
+        want = len({i + k for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for k in range(3)})
+        assert r["p"] == r["c"] == want
+
+
 def test_language_of_held_out_documents(spark):
     got = catalog.QUERIES["op7_language_bits"](spark, SF_SMALL).toPandas()
     want = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang").toPandas()
