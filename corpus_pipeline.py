@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on every row that its
 predecessor kept, and is written as Parquet and read again before the next.
 All but the last return the columns of ``documents``.
+
+Defined cases: a null, empty or letterless text does not pass the quality rules
+(too few words), so no later stage sees one; a very long text is judged whole in
+each stage.  Rows that repeat an id go through the first two stages one by one;
+of those that are left the near-duplicate stage keeps one, the one with the
+smallest text (then language, source and length).  Rows without an id are never
+taken for each other's copies.  Extra columns of the input are dropped, whatever
+their names.  An empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -41,12 +49,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = near_dups.near_duplicates(docs, shingle=2)
     gone = classes.where("not kept").select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti")
-    # rows that repeat an id are copies of one node: keep one of them; rows without an id can't be told apart and stay
+    # rows that repeat an id are copies of one node: keep the smallest of them; rows without an id can't be told apart and stay
     again = shared_table(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     if again.isEmpty():
         return stay.select(*COLUMNS)
     once = stay.join(again, "doc_id", "left_anti")
-    first = stay.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*COLUMNS[1:])
+    first = stay.join(again.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
     return once.unionByName(first).select(*COLUMNS)
 
 
