@@ -193,28 +193,41 @@ def fill_filters(blank: LanguageFilters, grams: DataFrame) -> LanguageFilters:
     return measure_fill(blank)
 
 
-def _count(n: int, hold: int = 2_000_000):
+#: characters whose n-grams are taken at a time: some 60 MB of arrays
+SLICE = 500_000
+
+
+def _count(n: int, hold: int = 400_000):
+    """(lang, key, n): counts of a task, merged as they come and handed on when ``hold`` are held."""
     def run(batches):
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def size() -> int:
+            return sum(len(k) for parts in held.values() for k, _ in parts)
+
+        def merge():
+            for lang, parts in held.items():
+                if len(parts) > 1:
+                    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                    held[lang] = [(keys, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64))]
 
         def out():
-            for lang, (k, c) in held.items():
+            for lang, ((k, c),) in held.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c)], ["lang", "key", "n"])
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", SLICE):
                 langs = np.array(part.column("lang").to_pylist(), dtype=object)
                 texts = np.array(part.column("text").to_pylist(), dtype=object)
                 for lang in sorted(set(langs)):
                     k, c = np.unique(ngram_keys(list(texts[langs == lang]), n)[0], return_counts=True)
-                    if lang in held:
-                        k0, c0 = held[lang]
-                        both, inv = np.unique(np.concatenate([k0, k]), return_inverse=True)
-                        k, c = both, np.bincount(inv, np.concatenate([c0, c])).astype(np.int64)
-                    held[lang] = (k, c.astype(np.int64))
-                if sum(len(k) for k, _ in held.values()) > hold:
-                    yield from out()
+                    held.setdefault(lang, []).append((k, c.astype(np.int64)))
+                if size() > 2 * hold:
+                    merge()
+                    if size() > hold:
+                        yield from out()
+        merge()
         yield from out()
     return run
 
@@ -251,7 +264,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
         m: LanguageFilters = shared(model)
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", SLICE):
                 keys, offsets, found = ngram_keys(part.column("text").to_pylist(), m.n)
                 if m.languages:
                     sc = m.scores(keys, offsets)
