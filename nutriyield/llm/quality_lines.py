@@ -95,21 +95,27 @@ def repeated_words(words: Column, least_bits: int = 0) -> Column:
         def key(i):
             return at_zero(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))) + i
 
-        def of_neighbours(s: Column, equal, at) -> Column:
-            hit = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: equal(F.get(s, j), F.get(s, j - 1)))
-            both = F.flatten(F.transform(hit, lambda j: F.array(at(F.get(s, j)), at(F.get(s, j - 1)))))
-            return F.sort_array(F.array_distinct(both))
-
         def exact() -> Column:
             """Windows as words, for the rare row whose prefixes clash."""
             window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
             alike = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
             ordered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
-            return let(ordered, lambda s: of_neighbours(s, alike, lambda x: x["i"]))
+
+            def found(s: Column) -> Column:
+                hit = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: alike(F.get(s, j), F.get(s, j - 1)))
+                return F.sort_array(F.array_distinct(F.flatten(F.transform(hit, lambda j: F.array(F.get(s, j)["i"], F.get(s, j - 1)["i"])))))
+
+            return let(ordered, found)
 
         def places(s: Column) -> Column:
-            clash = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda j: (prefix(F.get(s, j)) == prefix(F.get(s, j - 1))) & ~same(F.get(s, j), F.get(s, j - 1)))
-            return F.when(clash, exact()).otherwise(of_neighbours(s, same, place))
+            near = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: prefix(F.get(s, j)) == prefix(F.get(s, j - 1)))
+
+            def of_near(js: Column) -> Column:
+                both = F.flatten(F.transform(js, lambda j: F.array(place(F.get(s, j)), place(F.get(s, j - 1)))))
+                clash = F.exists(js, lambda j: ~same(F.get(s, j), F.get(s, j - 1)))
+                return F.when(clash, exact()).otherwise(F.sort_array(F.array_distinct(both)))
+
+            return let(near, of_near)
 
         def covered(p: Column) -> Column:
             steps = F.transform(p, lambda i, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - i, F.lit(3))))
