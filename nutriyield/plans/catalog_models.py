@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nutriyield.functions import snap_doubles
 from nutriyield.operators import boosting as BO
+from nutriyield.operators import boosting_levels as BL
 from nutriyield.operators import explain as EX
 from nutriyield.operators import models as M
 from nutriyield.operators import oversample as OS
@@ -329,6 +330,70 @@ _register_tuned(True, "gn")
 _register_tuned(False, "ag")
 
 
+#: two points, one fitted on all training rows, one once for each fold held out
+LEVEL_FITS = [{"trees": 2, "tree_depth": 2, "min_n": 1, "loss_reduction": 0.0, "sample_size": 1.0, "learn_rate": 0.3, "stop_iter": 5, "mtry": 5, "fold": None}] + [
+    {"trees": 1, "tree_depth": 1, "min_n": 5, "loss_reduction": 0.01, "sample_size": 1.0, "learn_rate": 0.5, "stop_iter": 5, "mtry": 5, "fold": f} for f in range(10)]
+LEVEL_CLASSES = ["1", "2", "3"]
+
+
+def _levels_sql() -> dict:
+    d, feats = _split_sql(True), GN_CAT + GN_NUM
+    same = " || '|' || ".join(f"coalesce(CAST({f} AS VARCHAR), '?')" for f in feats)
+    d["bl_fits"] = "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {'NULL' if f['fold'] is None else f['fold']}, {f['trees']}, {f['tree_depth']}, {float(f['min_n'])}, {max(f['loss_reduction'], 1e-12)!r}, {f['learn_rate']!r})"
+        for i, f in enumerate(LEVEL_FITS)) + ") t(fit, away, trees, depth, least, gamma, rate)"
+    d["bl_rows"] = f"SELECT *, {same} AS id FROM folds"
+    d["bl_feat"] = f"SELECT DISTINCT id, {', '.join(feats)} FROM bl_rows"
+    d["bl_value"] = " UNION ALL ".join(
+        f"SELECT id, {j} AS pred, " + (f"CAST(NULL AS VARCHAR) AS text, CAST({f} AS DOUBLE) AS num" if f in GN_NUM else f"coalesce({f}, 'NA') AS text, CAST(NULL AS DOUBLE) AS num")
+        + " FROM bl_feat" for j, f in enumerate(feats))
+    d["bl_n"] = ("SELECT fit, id, c, CAST(count(*) FILTER (WHERE (away IS NULL OR fold <> away) AND CAST(cluster AS VARCHAR) = c) AS DOUBLE) AS n, "
+                 "CAST(count(*) FILTER (WHERE (away IS NULL OR fold <> away)) AS DOUBLE) AS m FROM bl_rows, bl_fits, "
+                 "(SELECT unnest(['1', '2', '3']) AS c) k GROUP BY ALL")
+    d["bl_s0"] = "SELECT *, CAST(0 AS DOUBLE) AS score FROM bl_n"
+    rounds = max(f["trees"] for f in LEVEL_FITS)
+    for r in range(1, rounds + 1):
+        d[f"bl_p{r}"] = (f"SELECT s.*, exp(score) / sum(exp(score)) OVER (PARTITION BY fit, id) AS p FROM bl_s{r - 1} s JOIN bl_fits USING (fit) WHERE trees >= {r}")
+        d[f"bl_{r}_0"] = (f"SELECT fit, id, c, n, m, score, m * p - n AS g, CASE WHEN m > 0 THEN greatest(m * p * (1 - p), 1e-16) ELSE 0 END AS h, "
+                          f"0 AS node, CAST(NULL AS DOUBLE) AS leaf FROM bl_p{r}")
+        deep = max(f["tree_depth"] for f in LEVEL_FITS if f["trees"] >= r)
+        for l in range(deep + 1):
+            at, t = f"bl_{r}_{l}", f"{r}_{l}"
+            d[f"bl_v{t}"] = f"SELECT fit, c, node, pred, text, num, sum(g) AS g, sum(h) AS h FROM {at} JOIN bl_value USING (id) WHERE leaf IS NULL AND m > 0 GROUP BY ALL"
+            d[f"bl_c{t}"] = ("SELECT *, sum(g) OVER w AS gs, sum(h) OVER w AS hs, CASE WHEN text IS NULL THEN sum(g) OVER o ELSE g END AS gl, CASE WHEN text IS NULL THEN sum(h) OVER o ELSE h END AS hl "
+                             f"FROM bl_v{t} WINDOW w AS (PARTITION BY fit, c, node, pred), "
+                             "o AS (PARTITION BY fit, c, node, pred ORDER BY num NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+            d[f"bl_g{t}"] = f"SELECT *, round(0.5 * (gl * gl / (hl + 1) + (gs - gl) * (gs - gl) / (hs - hl + 1) - gs * gs / (hs + 1)), 9) AS gain FROM bl_c{t}"
+            d[f"bl_b{t}"] = (f"SELECT fit, c, node, pred, text, num FROM bl_g{t} JOIN bl_fits USING (fit) WHERE depth > {l} AND hl >= least AND hs - hl >= least AND gain > gamma "
+                             "QUALIFY row_number() OVER (PARTITION BY fit, c, node ORDER BY gain DESC, pred, num NULLS LAST, text) = 1")
+            d[f"bl_w{t}"] = f"SELECT fit, c, node, -sum(g) / (sum(h) + 1) AS own FROM {at} WHERE leaf IS NULL GROUP BY ALL"
+            d[f"bl_{r}_{l + 1}"] = (
+                "SELECT a.fit, a.id, a.c, a.n, a.m, a.score, a.g, a.h, CASE WHEN a.leaf IS NULL AND b.pred IS NOT NULL THEN 2 * a.node + "
+                "CASE WHEN b.text IS NULL THEN (CASE WHEN v.num <= b.num THEN 0 ELSE 1 END) ELSE (CASE WHEN v.text = b.text THEN 0 ELSE 1 END) END ELSE a.node END AS node, "
+                f"CASE WHEN a.leaf IS NOT NULL THEN a.leaf WHEN b.pred IS NULL THEN w.own END AS leaf FROM {at} a "
+                f"LEFT JOIN bl_b{t} b ON a.fit = b.fit AND a.c = b.c AND a.node = b.node AND a.leaf IS NULL "
+                f"LEFT JOIN bl_w{t} w ON a.fit = w.fit AND a.c = w.c AND a.node = w.node AND a.leaf IS NULL LEFT JOIN bl_value v ON v.id = a.id AND v.pred = b.pred")
+        d[f"bl_s{r}"] = (f"SELECT s.fit, s.id, s.c, s.n, s.m, s.score + coalesce(rate * t.leaf, 0) AS score FROM bl_s{r - 1} s JOIN bl_fits USING (fit) "
+                         f"LEFT JOIN bl_{r}_{deep + 1} t ON s.fit = t.fit AND s.id = t.id AND s.c = t.c")
+    d["bl_out"] = (f"SELECT fit, {', '.join(feats)}, CAST(min(m) AS BIGINT) AS n_rows, " + ", ".join(
+        f"sum(exp(score)) FILTER (WHERE c = '{c}') / sum(exp(score)) AS pred_{c}" for c in LEVEL_CLASSES)
+        + f" FROM bl_s{rounds} JOIN bl_feat USING (id) GROUP BY fit, {', '.join(feats)}")
+    return d
+
+
+@register("ml_boost_levels_gn", O.with_base(O.snap_select(
+    "SELECT * FROM bl_out", ["mesh_size"] + [f"pred_{c}" for c in LEVEL_CLASSES], ["fit", *GN_CAT, "n_rows"]), _levels_sql()))
+def _levels(i: Inputs):
+    """ML-11/13/14: boosted trees level by level on Spark, a final fit and one per fold together."""
+    tr = M.stratified_split(_frame(i, True), "cluster", ["landing_id"], 0.8, 234).where(F.col("split") == "train")
+    tr = M.stratified_folds(tr.drop("split"), "cluster", ["landing_id"], 10, 567)
+    feats = GN_CAT + GN_NUM
+    cells = BO.class_cells(BL.binned(cut_lineage(tr), feats), feats, "cluster", LEVEL_CLASSES, ["fold"])
+    got = BL.boost_levels(cells, feats, LEVEL_CLASSES, LEVEL_FITS, fold="fold")
+    total = F.aggregate("n", F.lit(0.0), lambda a, b: a + b).cast("bigint")
+    return got.select("fit", *feats, total.alias("n_rows"), *[F.get("p", F.lit(j)).alias(f"pred_{c}") for j, c in enumerate(LEVEL_CLASSES)])
+
+
 def _shap(i: Inputs, gn: bool):
     model, tr, _ = _fit(i, gn)
     feats = GN_CAT + GN_NUM if gn else AG_CAT
