@@ -14,7 +14,9 @@ Shape of the job, chosen for large groups of copies:
 3. In each band bucket every representative is paired with the smallest one: as
    many pairs as members, never all pairs.  Pairs are confirmed by streaming
    the members past the hub's set, hubs with many members being dealt to many
-   tasks.
+   tasks.  A key with over a thousandth of the rows of its join is split by a
+   hash of the document; at most 2 x SHARES keys can be that large, so their
+   list may be broadcast.
 4. Confirmed links are contracted to components.  Buckets that still hold more
    than one component are looked at again by sketch, which joins components
    that may be linked to clusters (as a forest, never as pairs).  Inside a
@@ -40,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nutriyield.llm.common import U64, mix, pair_hash, shared_table, slices, word_codes, word_hashes
@@ -48,6 +50,8 @@ from nutriyield.llm.common import U64, mix, pair_hash, shared_table, slices, wor
 ROW_SCHEMA = "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary"
 TILE = 1 << 16
 BLOCK = 512
+#: a join's key is split when it has over one part in so many of the join's rows; at most twice as many keys can
+SHARES = 1000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -273,6 +277,30 @@ def crossing_links(clusters: DataFrame, texts: DataFrame, shingle: int, percent:
     return named.groupBy("cluster", "i", "j").applyInPandas(_block_links(shingle, percent), "a bigint, b bigint")
 
 
+def _parts(limit: int) -> Column:
+    """Into how many parts a key with ``members`` rows is split."""
+    return F.greatest(F.ceil(F.col("members") / limit), F.lit(1)).cast("int")
+
+
+def _part_of(row: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(row), parts).cast("int")
+
+
+def _every_part(limit: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), _parts(limit) - 1)).alias("part")
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: str, row: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups`` (a row a key; members: the key's rows), heavy keys split by a hash of ``row``.
+
+    ``total`` is the number of ``rows``; the columns of ``groups`` and part come on top.
+    """
+    limit = max(1, total // SHARES)
+    heavy = groups.where(F.col("members") > limit).select(key, _parts(limit).alias("parts"))  # fewer than 2 x SHARES keys
+    dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("part", _part_of(row, F.coalesce("parts", F.lit(1)))).drop("parts")
+    return dealt.join(groups.select("*", _every_part(limit)), [key, "part"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80,
                     bands: int = 32, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
@@ -281,22 +309,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = base.where("n_shingles > 0 and doc_id is not null")
     classes = shared_table(filled.groupBy("set_hash").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch")), "classes")
+        F.first("sketch").alias("sketch"), F.count("*").alias("members")), "classes")
 
     keyed = classes.select("doc", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    buckets = shared_table(keyed.join(hubs, "key"), "buckets")
+    hubs = shared_table(keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1"), "hubs")
+    n_keyed = classes.count() * bands
+    buckets = shared_table(split_join(keyed, hubs, "key", "doc", n_keyed).drop("part"), "buckets")
     star = shared_table(buckets.where("doc <> hub").groupBy("hub", "doc").agg(F.max("members").alias("members")), "pairs")
     links = shared_table(confirmed(star, texts, shingle, percent), "confirmed")
     # equal sets: link each id to its class; covers ids that stand in several rows
-    own = filled.select("doc_id", "set_hash").distinct().join(classes.select("set_hash", "doc"), "set_hash") \
+    ids = filled.select("doc_id", "set_hash").distinct()
+    own = split_join(ids, classes.where("members > 1").select("set_hash", "doc", "members"), "set_hash", "doc_id", filled.count()) \
         .where("doc_id <> doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     first = components(links)
 
-    named = buckets.where("members > 2").join(first, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")) \
-        .where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_rows = named.join(mixed, "key").join(classes.select("doc", "n_shingles", "sketch"), "doc") \
+    limit = max(1, n_keyed // SHARES)
+    named = buckets.where("members > 2").join(first, "doc", "left") \
+        .select("key", _part_of("doc", _parts(limit)).alias("part"), "doc", F.coalesce("comp", "doc").alias("comp"), "members")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("members").alias("members")) \
+        .where("low <> high").select("key", _every_part(limit), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_rows = named.drop("members").join(mixed, ["key", "part"]).join(classes.select("doc", "n_shingles", "sketch"), "doc") \
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     placed = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

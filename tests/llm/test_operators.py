@@ -289,6 +289,17 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     test_classes_of_chains_and_stars(spark)
 
 
+def test_split_join_of_a_heavy_key(spark):
+    """A key with a third of the rows is split, none is lost or doubled, and the list of heavy keys is short."""
+    rows = spark.range(3000).selectExpr("id AS doc", "if(id % 3 = 0, -1, id div 2) AS key")
+    groups = rows.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    got = near_dups.split_join(rows, groups, "key", "doc", 3000)
+    want = rows.join(groups, "key")
+    assert got.select(*want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(*want.columns)).isEmpty()
+    assert got.where("key = -1").select("part").distinct().count() > 200
+    assert got.groupBy("key", "part").count().agg(F.max("count")).first()[0] < 20
+
+
 # language model ---------------------------------------------------------------
 
 def test_base_score_and_gain(spark, texts):
