@@ -16,8 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nutriyield.operators.verbs import hash_key, rank_cuts, with_scalars
-from nutriyield.session import cut_lineage
+from nutriyield.operators.verbs import hash_key, with_scalars
+from nutriyield.session import cut_lineage, spread
 
 # --------------------------------------------------------------------------- k-means (Spark ML)
 
@@ -294,11 +294,9 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     label at its hash rank (rank of md5(seed, perm, id) inside the permutation);
     one aggregate per (perm, label) yields S_g.
 
-    No row is ranked or moved for that: hash prefixes are counted map-side, the
-    rows of the one prefix that holds a group boundary give the boundary's exact
-    hash, and rows compare their hash with the k - 1 boundaries of the
-    permutation (perm_chunk x (k - 1) values, a size fixed by the parameters, so
-    broadcast).  Chunks of ``perm_chunk`` permutations run one after another.
+    One pass over rows x permutations does it: the rows around a boundary's expected
+    hash keep their own key, all others are summed before they move
+    (``_labelled_sums``).  Chunks of ``perm_chunk`` permutations run one after another.
     p = (1 + #{F_perm >= F_obs - sqrt(eps)}) / (permutations + 1).
     """
     cols = list(cols)
@@ -333,19 +331,20 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     obs = obs.select("ss_t", "ss_b", fstat(F.col("ss_b"), F.col("ss_t")).alias("f_obs"))
 
     lab_arr = F.array(*[F.lit(str(g)) for g in labels])
-    key = F.struct(F.col("__h"), *[F.col(c) for c in id_cols]).alias("__key")
-    ge = 0
-    for start in range(1, permutations + 1, perm_chunk):
-        stop = min(permutations, start + perm_chunk - 1)
-        p = z.select(*id_cols, *zc, F.explode(F.sequence(F.lit(start), F.lit(stop))).alias("__perm"))
-        p = p.withColumn("__h", hash_key(seed, "__perm", *id_cols)).select("__perm", key, *zc)
-        bounds = F.broadcast(_permutation_bounds(p, range(start, stop + 1), cuts[:-1]))
-        # label index = number of boundaries strictly below the row's key
-        idx = F.size(F.filter("__bounds", lambda c: c < F.col("__key")))
-        labelled = p.join(bounds, "__perm").withColumn("__lab", F.element_at(lab_arr, (idx + 1).cast("int")))
-        sb = with_scalars(ss_between(labelled, ["__perm", "__lab"]), obs.select("ss_t", "f_obs"))
-        ge += sb.agg(F.count(F.when(fstat(F.col("ss_b"), F.col("ss_t")) >= F.col("f_obs") - F.lit(1.4901161193847656e-08), 1))
-                     .alias("__ge")).first()["__ge"]  # one number per chunk
+    z, f_row = spread(z), obs.first()
+    ge, todo, sigmas = 0, list(range(1, permutations + 1)), 4.0
+    while todo:
+        again = []
+        for start in range(0, len(todo), perm_chunk):
+            parts = _labelled_sums(z, todo[start:start + perm_chunk], id_cols, zc, seed, cuts[:-1], n, sigmas)
+            parts = cut_lineage(parts)  # a few rows per permutation
+            again += [r["__perm"] for r in parts.where("__split").select("__perm").distinct().collect()]
+            whole = parts.where(~F.col("__perm").isin(again)).withColumn("__lab", F.element_at(lab_arr, F.col("__idx") + 1))
+            g = whole.groupBy("__perm", "__lab").agg(F.sum("__n").alias("__n"), *[F.sum(c).alias(c) for c in zc])
+            sb = g.groupBy("__perm").agg(F.sum(_sq(cols, "__z_") / F.col("__n")).alias("ss_b"))
+            f = fstat(F.col("ss_b"), F.lit(f_row["ss_t"]))
+            ge += sb.agg(F.count(F.when(f >= F.lit(f_row["f_obs"]) - F.lit(1.4901161193847656e-08), 1)).alias("__ge")).first()["__ge"]  # one number per chunk
+        todo, sigmas = again, sigmas * 4
     res = obs.withColumn("__ge", F.lit(ge))
     ssw = F.col("ss_t") - F.col("ss_b")
     pval = (F.col("__ge") + 1) / F.lit(float(permutations + 1))
@@ -361,13 +360,55 @@ def permanova(df: DataFrame, group: str, cols: Sequence[str], id_cols: Sequence[
     return term.unionByName(resid).unionByName(total)
 
 
-def _permutation_bounds(p: DataFrame, perms: Sequence[int], cuts: Sequence[int]) -> DataFrame:
-    """(__perm, __bounds): the keys at the 1-based ranks ``cuts`` of each permutation, in order."""
-    ranks = p.sparkSession.createDataFrame([(i, c) for i in perms for c in cuts], "__perm int, __rank long")
-    rows = p.select("__perm", "__key.*")
-    ties = [c for c in rows.columns if c not in ("__perm", "__h")]
-    hit = rank_cuts(rows, ["__perm"], ranks, "__h", ties)  # len(cuts) keys per permutation
-    return hit.groupBy("__perm").agg(F.array_sort(F.collect_list("__cut")).alias("__bounds"))
+def _rank_windows(cuts: Sequence[int], n: int, sigmas: float) -> list[tuple[float, float]]:
+    """Disjoint parts of the hash range in which the keys at the ranks ``cuts`` of n uniform hashes lie, but for chance."""
+    out: list[tuple[float, float]] = []
+    for c in sorted(cuts):
+        p = c / n
+        reach = sigmas * ((p * (1 - p) / n) ** 0.5 + 1 / n)
+        lo, hi = max(0.0, p - reach), min(1.0, p + reach)
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _labelled_sums(z: DataFrame, perms: Sequence[int], id_cols: Sequence[str], cols: Sequence[str], seed: int, cuts: Sequence[int], n: int,
+                   sigmas: float) -> DataFrame:
+    """(__perm, __idx, __n, sums of ``cols``, __split): sums of the rows by the label index of their hash rank.
+
+    The hashes around each boundary's expected place keep their own key, all others
+    are summed map-side into the stretch between two such windows, in one pass over
+    rows x permutations; some sigmas * sqrt(n) keys a boundary are then ordered.  A
+    stretch or key gets the number of ranks in ``cuts`` at or before its first row less
+    one; ``__split`` marks a stretch with a boundary inside, whose permutation has to
+    be asked again with wider windows (the widest are the whole range).
+    """
+    from pyspark.sql import Window
+    edges = [e for w in _rank_windows(cuts, n, sigmas) for e in w]
+    inner = [e for e in edges if 0.0 < e < 1.0]
+    first_is_window = bool(edges) and edges[0] == 0.0
+    bounds = [f"{int(e * 16 ** 12):012x}" for e in inner]
+    p = z.select(*id_cols, *cols, F.explode(F.array(*[F.lit(i) for i in perms])).alias("__perm"))
+    p = p.withColumn("__h", hash_key(seed, "__perm", *id_cols))
+    at = F.lit(0)
+    for b in bounds:
+        at = at + (F.col("__h") >= b).cast("int")
+    p = p.withColumn("__at", at)
+    single = F.col("__at") % 2 == (0 if first_is_window else 1)
+    key = [F.when(single, F.col(c)).alias(f"__k{i}") for i, c in enumerate(["__h", *id_cols])]
+    p = p.select("__perm", "__at", single.alias("__single"), *key, *cols)
+    keys = ["__at", *[f"__k{i}" for i in range(len(key))]]
+    g = p.groupBy("__perm", "__single", *keys).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in cols])
+    before = F.sum("__n").over(Window.partitionBy("__perm").orderBy(*keys)) - F.col("__n")
+    g = g.withColumn("__before", before)
+    idx, split = F.lit(0), F.lit(False)
+    for c in cuts:
+        idx = idx + (F.col("__before") >= c).cast("int")
+        split = split | (~F.col("__single") & (F.col("__before") < c) & (F.col("__before") + F.col("__n") > c))
+    g = g.select("__perm", idx.alias("__idx"), "__n", *cols, split.alias("__split"))
+    return g.groupBy("__perm", "__idx", "__split").agg(F.sum("__n").alias("__n"), *[F.sum(c).alias(c) for c in cols])
 
 
 def permanova_report(results: dict[str, DataFrame], strip: str = "_perm",

@@ -63,3 +63,10 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """``df``, checkpointed over every core: a small table whose rows each stand for much work
+    (restarts, permutations) comes in as few partitions as its bytes fill."""
+    sc = df.sparkSession.sparkContext
+    return cut_lineage(df.repartition(2 * max(sc.defaultParallelism, 1)))
