@@ -37,24 +37,21 @@ def cluster_profiles(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str],
     it is broadcast).  The nearest centroid is picked with plain column
     expressions, and a partial ``groupBy(restart, cluster)`` aggregate reduces
     every partition to restarts x k rows before the shuffle.  Seeds of restart r
-    are the k rows with the smallest md5(seed, r, id); the rank filter becomes a
-    per-partition group limit, so only restarts x k rows per partition move.
+    are the k rows with the smallest md5(seed, r, id); only rows with small hashes
+    are ordered for that (``_restart_seeds``).
 
     The run with the lowest total within-cluster sum of squares is kept (ties:
     lowest restart) and improved by Hartigan-Wong transfers (``transfer_rows``).  Cluster ids are renumbered 1..k by ascending centroid
     (lexicographic over ``cols``) and returned as strings.  The model is the
     bounded dict {centers, tot_withinss, restart, iterations}.
     """
-    from pyspark.sql import Window
     cols, id_cols = list(cols), list(id_cols)
     spark = df.sparkSession
     x = cut_lineage(df)
+    x = spread(x)
     runs = F.explode(F.sequence(F.lit(1), F.lit(int(restarts)))).alias("__r")
     e = x.select(*id_cols, *[F.col(f"`{c}`") for c in cols], runs)
-    w = Window.partitionBy("__r").orderBy("__h", *id_cols)
-    seeds = (e.withColumn("__h", hash_key(seed, "__r", *id_cols))
-             .withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k)
-             .select("__r", "__i", *[F.col(f"`{c}`") for c in cols]).collect())  # restarts x k rows
+    seeds = _restart_seeds(x, id_cols, cols, k, restarts, seed).collect()  # restarts x k rows
     cents: dict[int, list[list[float]]] = {}
     for r in sorted(seeds, key=lambda r: (r["__r"], r["__i"])):
         cents.setdefault(r["__r"], []).append([float(r[c]) for c in cols])
@@ -105,6 +102,31 @@ def cluster_profiles(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str],
     return out, model
 
 
+def _restart_seeds(x: DataFrame, id_cols: Sequence[str], cols: Sequence[str], k: int, restarts: int, seed: int) -> DataFrame:
+    """(__r, __i, cols): the k rows with the smallest md5(seed, r, id) of every restart r.
+
+    Hashes are uniform, so the k smallest of n lie below a few k / n of their range:
+    only rows under that bound are ordered.  Restarts with fewer than k rows there are
+    asked again under a wider bound, up to the whole range."""
+    from pyspark.sql import Window
+    n = x.count()
+    part, todo, found = (k + 4 * k ** 0.5 + 4) / max(n, 1), list(range(1, int(restarts) + 1)), []
+    w = Window.partitionBy("__r").orderBy("__h", *id_cols)
+    while todo:
+        e = x.select(*id_cols, *[F.col(f"`{c}`") for c in cols], F.explode(F.array(*[F.lit(r) for r in todo])).alias("__r"))
+        e = e.withColumn("__h", hash_key(seed, "__r", *id_cols))
+        if part < 1:
+            e = e.where(F.col("__h") < F.lit(f"{int(part * 16 ** 12):012x}"))
+        got = cut_lineage(e.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k))  # restarts x k rows at most
+        full = set(todo) if part >= 1 else {r["__r"] for r in got.where(F.col("__i") == k).select("__r").collect()}
+        found.append(got.where(F.col("__r").isin(sorted(full))))
+        todo, part = [r for r in todo if r not in full], part * 8
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("__r", "__i", *[F.col(f"`{c}`") for c in cols])
+
+
 def transfer_rows(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], label: str, batch: int = 1000, max_passes: int = 100):
     """Hartigan-Wong transfers after Lloyd; returns (frame, sorted centroids, within-cluster sum of squares).
 
@@ -113,14 +135,17 @@ def transfer_rows(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], la
     row from the k cluster sizes and sums; the ``batch`` largest gains (a bounded
     table; ties by id) are applied on the driver one after another, each checked
     against the sums as the moves before it left them, so every move lowers the
-    sum.  Passes go on until no row gains.  A row alone in its cluster stays, and rows
+    sum.  The rows are written once; a pass joins them with the table of the rows moved
+    so far.  Passes go on until no row gains.  A row alone in its cluster stays, and rows
     with a NULL in a column keep their label.  Ids must be distinct.  Labels
     become 1..k by ascending centroid.
     """
     cols, id_cols = list(cols), list(id_cols)
     spark, point = df.sparkSession, F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
     x = df.withColumns({label: F.col(label).cast("int"), "__x": point})
-    x = cut_lineage(x.withColumn("__x", F.when(~F.exists("__x", lambda v: v.isNull() | F.isnan(v)), F.col("__x"))))
+    base = x = cut_lineage(x.withColumn("__x", F.when(~F.exists("__x", lambda v: v.isNull() | F.isnan(v)), F.col("__x"))))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in x.select(*id_cols).dtypes)
+    moved: dict[tuple, int] = {}  # the last cluster of every row that moved, at most batch x max_passes rows
 
     def sizes():
         got = x.where(F.col("__x").isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("__x")[j]) for j in range(len(cols))]).alias("s")).collect()
@@ -154,9 +179,9 @@ def transfer_rows(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], la
                 moves.append((*[r[c] for c in id_cols], to))
         if not moves:
             break
-        kinds = ", ".join(f"`{c}` {t}" for c, t in x.select(*id_cols).dtypes)
-        moved = spark.createDataFrame(moves, f"{kinds}, __to int")  # at most ``batch`` rows
-        x = cut_lineage(x.join(F.broadcast(moved), id_cols, "left").withColumn(label, F.coalesce("__to", label)).drop("__to"))
+        moved.update({m[:-1]: m[-1] for m in moves})
+        table = F.broadcast(spark.createDataFrame([(*key, to) for key, to in moved.items()], f"{kinds}, __to int"))
+        x = base.join(table, id_cols, "left").withColumn(label, F.coalesce("__to", label)).drop("__to")
     k = sizes()
     order = sorted(k, key=lambda c: [v / k[c][0] for v in k[c][1]])
     centers = [tuple(v / k[c][0] for v in k[c][1]) for c in order]
