@@ -41,67 +41,143 @@ def encode(frame: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, li
     return np.array(codes, np.int64).T.reshape(len(frame), len(features)), sizes, ordered
 
 
-def _grow(codes, sizes, ordered, g, h, params, rng, gains) -> np.ndarray:
-    """Leaf value of every cell in one tree per class; ``g``, ``h`` are (classes, cells). Trees grow level by level; ``gains`` adds up each predictor's splits."""
-    k, n = g.shape
-    node = np.repeat(np.arange(k), n)
-    g, h, code = g.ravel(), h.ravel(), np.tile(codes, (k, 1))
-    value, live, nodes = np.zeros(k * n), np.arange(k * n), k
+def level_numbers(frame: pd.DataFrame, train: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
+    """``frame``'s values as level numbers of ``train`` (see ``encode``) that take the same side of every split.
+
+    An ordered value between two levels counts as the upper one, an unknown level of a factor as -1."""
+    codes = []
+    for f in features:
+        if pd.api.types.is_numeric_dtype(train[f]):
+            levels = np.unique(train[f].to_numpy(np.float64, na_value=np.nan))  # a missing one comes last
+            codes.append(np.searchsorted(levels, frame[f].to_numpy(np.float64, na_value=np.nan)))
+        else:
+            text = lambda x: x.astype(object).where(x.notna(), "NA")
+            levels = pd.Index(pd.factorize(text(train[f]), sort=True)[1])
+            codes.append(levels.get_indexer(text(frame[f])))
+    return np.array(codes, np.int64).T.reshape(len(frame), len(features))
+
+
+def _grow(codes, sizes, ordered, at_cell, g, h, params, rng, gains, levels) -> np.ndarray:
+    """Leaf value of every cell in one tree per class, (classes, cells). Trees grow level by level.
+
+    ``codes``: (predictors, classes * cells).  ``g``, ``h`` are those of the entries
+    with rows, class by class, ``at_cell`` the places of their cells in ``codes``; sums
+    run over the entries, nodes are kept per cell.  ``gains`` adds up each predictor's
+    splits.  ``levels`` (a list, or None) receives each level's splits, leaf values and children.
+    """
+    k, total = int(params["classes"]), codes.shape[1]
+    node, value = np.repeat(np.arange(k), total // k), np.zeros(total)
+    live, nodes, is_ordered, widths = None, k, np.array(ordered), np.array(sizes)
     least, gamma, mtry = float(params["min_n"]), float(params["loss_reduction"]), int(params["mtry"])
-    for _ in range(int(params["tree_depth"])):
-        at = node[live]
-        gs, hs = np.bincount(at, g[live], nodes), np.bincount(at, h[live], nodes)
+    for depth in range(int(params["tree_depth"]) + 1):
+        here = node if live is None else node[live]
+        at = node[at_cell]
+        gs, hs = np.bincount(at, g, nodes), np.bincount(at, h, nodes)
         best, split = np.full(nodes, max(gamma, 1e-12)), np.full((nodes, 2), -1)
-        for j in rng.choice(len(sizes), min(mtry, len(sizes)), replace=False):
-            key = at * sizes[j] + code[live, j]
-            gl, hl = (np.bincount(key, x[live], nodes * sizes[j]).reshape(nodes, sizes[j]) for x in (g, h))
-            if ordered[j]:
-                gl, hl = gl.cumsum(1), hl.cumsum(1)
-            gr, hr = gs[:, None] - gl, hs[:, None] - hl
-            gain = 0.5 * (gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gs**2 / (hs + 1))[:, None])
+        if depth < int(params["tree_depth"]):
+            js = rng.choice(len(sizes), min(mtry, len(sizes)), replace=False)
+            # two children of ``least`` each need a node of twice that
+            able = np.flatnonzero(hs >= 1.999 * least)
+            slot, w, most_gain, picked = np.zeros(nodes, np.int64), widths[js], best[able], split[able]
+            slot[able] = np.arange(len(able))
+            few = len(able) < nodes
+            mine = np.flatnonzero((hs >= 1.999 * least)[at]) if few else slice(None)
+            start = np.append(0, (len(able) * w).cumsum())  # each predictor's nodes x levels, one after another
+            key = (slot[node] * w[:, None] + codes[js] + start[:-1, None])[:, at_cell[mine]].ravel()
+            gl, hl = (np.bincount(key, np.tile(x[mine], len(js)), start[-1]) for x in (g, h))
+            for i in np.flatnonzero(is_ordered[js]):
+                for x in (gl, hl):
+                    x[start[i]:start[i + 1]] = x[start[i]:start[i + 1]].reshape(len(able), w[i]).cumsum(1).ravel()
+            own_node = able[np.concatenate([np.repeat(np.arange(len(able)), v) for v in w])]
+            gr, hr = gs[own_node] - gl, hs[own_node] - hl
+            gain = 0.5 * (gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gs**2 / (hs + 1))[own_node])
             gain[(hl < least) | (hr < least)] = -np.inf
-            top = gain.argmax(1)
-            better = gain[np.arange(nodes), top] > best
-            best[better], split[better, 0], split[better, 1] = gain[better, top[better]], j, top[better]
-        np.add.at(gains, split[split[:, 0] >= 0, 0], best[split[:, 0] >= 0])
-        leaf = split[at, 0] < 0
-        value[live[leaf]] = (-gs / (hs + 1))[at[leaf]]
-        live, at = live[~leaf], at[~leaf]
-        if not len(live):
-            return value.reshape(k, n)
-        j, cut = split[at, 0], split[at, 1]
-        own = code[live, j]
-        right = np.where(np.array(ordered)[j], own > cut, own != cut)
-        _, node[live] = np.unique(2 * at + right, return_inverse=True)
-        nodes = node[live].max() + 1
-    at = node[live]
-    gs, hs = np.bincount(at, g[live], nodes), np.bincount(at, h[live], nodes)
-    value[live] = (-gs / (hs + 1))[at]
-    return value.reshape(k, n)
+            for i, j in enumerate(js):
+                table = gain[start[i]:start[i + 1]].reshape(len(able), w[i])
+                top = table.argmax(1)
+                most = table[np.arange(len(able)), top]
+                better = most > most_gain
+                most_gain[better], picked[better, 0], picked[better, 1] = most[better], j, top[better]
+            best[able], split[able] = most_gain, picked
+            np.add.at(gains, split[split[:, 0] >= 0, 0], best[split[:, 0] >= 0])
+        own, leaf = -gs / (hs + 1), split[:, 0] < 0
+        ends = leaf[here]
+        live = np.arange(total) if live is None else live
+        value[live[ends]] = own[here[ends]]
+        node[live[ends]] = 0  # no longer read
+        children = np.full(2 * nodes, -1)
+        if levels is not None:
+            levels.append((split, own, children))
+        if ends.all():
+            break
+        if leaf.any():
+            live, here = live[~ends], here[~ends]
+            stay = np.flatnonzero(~leaf[at])
+            at_cell, g, h = at_cell[stay], g[stay], h[stay]
+        j, cut = split[here, 0], split[here, 1]
+        mine = codes[j, live]
+        right = np.where(is_ordered[j], mine > cut, mine != cut)
+        to = 2 * here + right
+        kinds = np.flatnonzero(np.bincount(to, minlength=2 * nodes))
+        children[kinds] = np.arange(len(kinds))
+        node[live] = children[to]
+        nodes = len(kinds)
+    return value.reshape(k, -1)
 
 
 def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.ndarray, params: dict, seed: int,
-          gains: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+          gains: np.ndarray | None = None, trees: list | None = None) -> tuple[np.ndarray, int]:
     """(class probabilities of every cell, rounds). Cells without counts are only scored.
 
     Softmax boosting with second-order leaf values; stops after ``stop_iter``
     rounds without a lower training loss (no rows are set aside for it).
-    ``gains`` (one place per predictor) receives the gain of all splits.
+    ``gains`` (one place per predictor) receives the gain of all splits, ``trees`` the
+    trees' levels (for ``score_cells``).
+
+    Rows of ``codes`` that are equal (a cell met in several folds) share their scores
+    and places in the trees, and only those with rows in the round's sample are summed.
     """
     rng = np.random.default_rng(seed)
     gains = np.zeros(len(sizes)) if gains is None else gains
-    score, total = np.zeros(counts.shape), counts.sum()
+    same, of = np.unique(codes, axis=0, return_inverse=True)
+    of, k, m = of.ravel(), counts.shape[1], len(same)
+    wide = np.ascontiguousarray(np.tile(same.T, (1, k)))
+    score, total = np.zeros((m, k)), counts.sum()
     low, since, done = np.inf, 0, 0
-    share = float(params["sample_size"])
+    share, whole = float(params["sample_size"]), counts.astype(np.int64)
+    params = {**params, "classes": k}
     for done in range(1, int(params["trees"]) + 1):
-        c = rng.binomial(counts.astype(np.int64), share) if share < 1 else counts
-        p, n = softmax(score), c.sum(1, keepdims=True)
-        score += float(params["learn_rate"]) * _grow(codes, sizes, ordered, (n * p - c).T, np.maximum(n * p * (1 - p), 1e-16).T * (n.T > 0), params, rng, gains).T
-        loss = -(counts * np.log(np.maximum(softmax(score), 1e-15))).sum() / max(total, 1)
+        c = rng.binomial(whole, share) if share < 1 else counts
+        n = c.sum(1, keepdims=True)
+        used = np.flatnonzero(n[:, 0])
+        p, n, c = softmax(score)[of[used]], n[used], c[used]
+        at_cell = (of[used] + m * np.arange(k)[:, None]).ravel()
+        levels = None if trees is None else []
+        score += float(params["learn_rate"]) * _grow(wide, sizes, ordered, at_cell, (n * p - c).T.ravel(), np.maximum(n * p * (1 - p), 1e-16).T.ravel(), params, rng, gains, levels).T
+        if trees is not None:
+            trees.append(levels)
+        loss = -(counts * np.log(np.maximum(softmax(score), 1e-15))[of]).sum() / max(total, 1)
         low, since = (loss, 0) if loss < low else (low, since + 1)
         if since >= int(params["stop_iter"]):
             break
-    return softmax(score), done
+    return softmax(score)[of], done
+
+
+def score_cells(codes: np.ndarray, ordered: list[bool], trees: list, k: int, rate: float) -> np.ndarray:
+    """Class probabilities of cells (level numbers as ``level_numbers`` gives them) from the trees of a fit."""
+    m = len(codes)
+    wide, is_ordered, score = np.ascontiguousarray(np.tile(codes.T, (1, k))), np.array(ordered), np.zeros((m, k))
+    for levels in trees:
+        value, live, node = np.zeros(k * m), np.arange(k * m), np.repeat(np.arange(k), m)
+        for split, own, children in levels:
+            j, cut = split[node, 0], split[node, 1]
+            ends = j < 0
+            value[live[ends]] = own[node[ends]]
+            live, node, j, cut = live[~ends], node[~ends], j[~ends], cut[~ends]
+            mine = wide[j, live]
+            node = children[2 * node + np.where(is_ordered[j], mine > cut, mine != cut)]
+        score += rate * value.reshape(k, m).T
+    return softmax(score)
 
 
 def hand_till(p: np.ndarray, counts: np.ndarray) -> float | None:
@@ -148,17 +224,23 @@ def tune_cells(train: DataFrame, fold: str, features: Sequence[str], grid: Seque
     folds = sorted(r[0] for r in cells.select(fold).distinct().collect())
     names = [f"n_{c}" for c in classes]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g, f = divmod(int(key[0]), len(folds))
+    costs = [int(p["trees"]) * int(p["tree_depth"]) * int(p["mtry"]) for p in grid]
+    order = sorted(range(len(grid) * len(folds)), key=lambda t: -costs[t // len(folds)])  # the longest fits begin first
+
+    def run(batches):
+        pdf = pd.concat(batches)
+        key = order[int(pdf["task"].iloc[0])]
+        g, f = divmod(key, len(folds))
         pdf = pdf.sort_values([*features, fold], kind="stable")
         held = (pdf[fold] == folds[f]).to_numpy()
         codes, sizes, ordered = encode(pdf, features)
         counts = pdf[names].to_numpy(np.float64)
-        p, rounds = boost(codes, sizes, ordered, np.where(held[:, None], 0, counts), grid[g], seed + int(key[0]))
-        return pd.DataFrame({"grid_point": [g], "fold": [folds[f]], "auc": [hand_till(p[held], counts[held])], "rounds": [rounds]})
+        p, rounds = boost(codes, sizes, ordered, np.where(held[:, None], 0, counts), grid[g], seed + key)
+        yield pd.DataFrame({"grid_point": [g], "fold": [folds[f]], "auc": [hand_till(p[held], counts[held])], "rounds": [rounds]})
 
-    tasks = cells.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(len(grid) * len(folds) - 1))))
-    got = tasks.repartition(len(grid) * len(folds), "task").groupBy("task").applyInPandas(run, "grid_point int, fold int, auc double, rounds int")
+    # every fit is a partition of its own, whatever the shuffle settings; the cells are bounded
+    tasks = spark.range(0, len(order), 1, max(1, len(order))).select(F.col("id").alias("task")).crossJoin(F.broadcast(cells))
+    got = tasks.mapInPandas(run, "grid_point int, fold int, auc double, rounds int")
     mean = got.groupBy("grid_point").agg(F.avg("auc").alias("mean_roc_auc"), F.count("auc").alias("folds"), F.avg("rounds").alias("mean_rounds"))
     rows = [(g, *[float(p[k]) for k in SETTINGS]) for g, p in enumerate(grid)]
     table = spark.createDataFrame(rows, "grid_point int, " + ", ".join(f"{k} double" for k in SETTINGS))
@@ -174,22 +256,28 @@ def best_point(tuned: DataFrame) -> dict:
     return {k: r[k] for k in SETTINGS}
 
 
-def fit_predict_cells(train: DataFrame, test: DataFrame, features: Sequence[str], params: dict, label: str = "cluster", seed: int = 891) -> DataFrame:
+def fit_predict_cells(train: DataFrame, test: DataFrame, features: Sequence[str], params: dict, label: str = "cluster", seed: int = 891, share: int = 4096) -> DataFrame:
     """``test`` with ``pred_<class>`` and ``pred_class`` from one fit with ``params`` on all training rows."""
     features = list(features)
     classes = sorted(r[0] for r in train.select(label).distinct().collect())  # k labels
-    key = F.md5(F.to_json(F.struct(*features)))
-    both = class_cells(train, features, label, classes).unionByName(test.select(*features).distinct().withColumns({f"n_{c}": F.lit(0).cast("bigint") for c in classes}))
-    cells = bounded(both.groupBy(*features).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes]).withColumn("__cell", key))
+    key, names = F.md5(F.to_json(F.struct(*features))), [f"n_{c}" for c in classes]
+    cells = bounded(class_cells(train, features, label, classes).withColumn("__cell", key)).withColumn("__fit", F.lit(True))
+    ask = cut_lineage(test.select(*features).distinct().withColumns({n: F.lit(0).cast("bigint") for n in names}).withColumn("__cell", key)).withColumn("__fit", F.lit(False))
+    shares = max(1, -(-ask.count() // share))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__cell")
-        codes, sizes, ordered = encode(pdf, features)
-        p, _ = boost(codes, sizes, ordered, pdf[[f"n_{c}" for c in classes]].to_numpy(np.float64), params, seed)
-        return pd.DataFrame({"__cell": pdf["__cell"], **{f"pred_{c}": p[:, i] for i, c in enumerate(classes)}})
-
-    # one fit is one task, over a table bounded by the predictors' levels
-    scored = cells.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "__cell string, " + ", ".join(f"pred_{c} double" for c in classes))
+        fit, mine = pdf[pdf["__fit"]], pdf[~pdf["__fit"]]
+        codes, sizes, ordered = encode(fit, features)
+        trees: list = []
+        boost(codes, sizes, ordered, fit[names].to_numpy(np.float64), params, seed, trees=trees)
+        p = score_cells(level_numbers(mine, fit, features), ordered, trees, len(classes), float(params["learn_rate"]))
+        return pd.DataFrame({"__cell": mine["__cell"], **{f"pred_{c}": p[:, i] for i, c in enumerate(classes)}})
+
+    # the fit, over a table bounded by the predictors' levels, is made anew beside each share of the cells to score
+    both = cells.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).unionByName(
+        ask.withColumn("__share", F.pmod(F.xxhash64("__cell"), F.lit(shares)).cast("int")))
+    scored = both.groupBy("__share").applyInPandas(run, "__cell string, " + ", ".join(f"pred_{c} double" for c in classes))
     out = test.withColumn("__cell", key).join(scored, "__cell").drop("__cell")
     best = F.array_max(F.array(*[F.struct(F.col(f"pred_{c}").alias("p"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)]))
     return out.withColumn("pred_class", best["c"])
