@@ -59,7 +59,7 @@ def _nearest(far: np.ndarray, first_id: np.ndarray, k: int) -> np.ndarray:
     return by_id[np.argsort(far[:, by_id], axis=1, kind="stable")[:, :k]]
 
 
-def nearest_cells(cells: DataFrame, k: int, seed: int = 1, part_cells: int = 2048, max_ranges: int = 1000, share: int = 16_384) -> DataFrame:
+def nearest_cells(cells: DataFrame, k: int, seed: int = 1, part_cells: int = 2048, max_ranges: int = 1000, share: int = 16_384, ask_rows: int = 20_000) -> DataFrame:
     """(label, cell, near): the k nearest other cells of each cell's label, as structs (d, first, other).
 
     ``cells``: label, cell (key), first (smallest id), x (array of doubles).
@@ -116,6 +116,10 @@ def nearest_cells(cells: DataFrame, k: int, seed: int = 1, part_cells: int = 204
 
     bounded = dealt.groupBy("label", "at", "part").applyInPandas(bound, "label string, cell string, first string, x array<double>, place double, limit double")
 
+    def asks(pdf, rows, at, part):
+        out = pdf.iloc[rows][["label", "cell", "x"]].assign(at=at, part=part)
+        return out.assign(share=pd.util.hash_array(out["cell"].to_numpy(dtype=object), categorize=False) % np.array([shares[v] for v in out["label"]], np.uint64))
+
     def ask(batches):
         for pdf in batches:
             rows, at, part = [], [], []
@@ -126,8 +130,10 @@ def nearest_cells(cells: DataFrame, k: int, seed: int = 1, part_cells: int = 204
                         rows += [i] * parts
                         at += [a] * parts
                         part += range(parts)
-            out = pdf.iloc[rows][["label", "cell", "x"]].assign(at=at, part=part)
-            yield out.assign(share=pd.util.hash_array(out["cell"].to_numpy(dtype=object), categorize=False) % np.array([shares[v] for v in out["label"]], np.uint64))
+                if len(rows) >= ask_rows:  # a cell may ask many ranges
+                    yield asks(pdf, rows, at, part)
+                    rows, at, part = [], [], []
+            yield asks(pdf, rows, at, part)
 
     asked = bounded.mapInPandas(ask, "label string, cell string, x array<double>, at long, part long, share long")
     copies = F.create_map(*[F.lit(v) for label, n in shares.items() for v in (label, n)])

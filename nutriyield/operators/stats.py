@@ -285,7 +285,7 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "clusters") ->
 
 def k_scan(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], ks: Sequence[int], iters: int = 10, seed: int = 555) -> DataFrame:
     """Within-cluster sum of squares and silhouette for each k (choosing k), on the deterministic Lloyd form."""
-    out = None
+    out, df = None, cut_lineage(df)  # read by every k
     for k in ks:
         row = silhouette(lloyd_kmeans(df, cols, id_cols, k, iters, seed), cols).withColumn("k", F.lit(int(k)))
         out = row if out is None else out.unionByName(row)

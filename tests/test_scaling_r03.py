@@ -67,3 +67,20 @@ def test_scored_cells_are_not_bounded_by_the_fit(spark, monkeypatch):
     own = {r["m"]: r["pred_1"] for r in B.fit_predict_cells(df, df.where("a = 'b'"), ["a", "m"], SET).select("m", "pred_1").distinct().collect()}
     # a value between two levels falls on the side of the upper one
     assert out[10.5]["pred_1"] == own[20.0] and out[0.0]["pred_1"] == own[10.0] and out[73.5]["pred_1"] == own[40.0]
+
+
+def test_features_of_a_k_scan_are_computed_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: seen.add(1) or v, "double")
+    df = spark.range(40).select(F.col("id").cast("string").alias("id"), count((F.col("id") % 7).cast("double")).alias("v"))
+    assert ST.k_scan(df, ["v"], ["id"], [2, 3], iters=2).count() == 2
+    assert seen.value == 40
+
+
+def test_neighbours_asked_in_small_steps_are_the_same(spark):
+    from nutriyield.operators import oversample as OS
+    g = random.Random(8)
+    rows = [(("a" if i % 4 else "b"), f"r{i:03d}", g.gauss(0, 1), g.gauss(0, 1)) for i in range(160)]
+    df = spark.createDataFrame(rows, "label string, id string, x double, y double")
+    one = sorted(OS.smote(df, "label", ["x", "y"], "id", part_cells=4).collect())
+    assert one and one == sorted(OS.smote(df, "label", ["x", "y"], "id", part_cells=4, ask_rows=3).collect())
