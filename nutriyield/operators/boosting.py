@@ -76,29 +76,43 @@ def _grow(codes, sizes, ordered, at_cell, g, h, params, rng, gains, levels) -> n
         best, split = np.full(nodes, max(gamma, 1e-12)), np.full((nodes, 2), -1)
         if depth < int(params["tree_depth"]):
             js = rng.choice(len(sizes), min(mtry, len(sizes)), replace=False)
-            # two children of ``least`` each need a node of twice that
-            able = np.flatnonzero(hs >= 1.999 * least)
-            slot, w, most_gain, picked = np.zeros(nodes, np.int64), widths[js], best[able], split[able]
-            slot[able] = np.arange(len(able))
-            few = len(able) < nodes
-            mine = np.flatnonzero((hs >= 1.999 * least)[at]) if few else slice(None)
-            start = np.append(0, (len(able) * w).cumsum())  # each predictor's nodes x levels, one after another
-            key = (slot[node] * w[:, None] + codes[js] + start[:-1, None])[:, at_cell[mine]].ravel()
+            # two children of ``least`` each need a node of twice that, and two entries
+            fit_for = (hs >= 1.999 * least) & (np.bincount(at, minlength=nodes) > 1)
+            able = np.flatnonzero(fit_for)
+            slot, w, d = np.zeros(nodes, np.int64), widths[js], len(able)
+            slot[able] = np.arange(d)
+            few = d < nodes
+            mine = np.flatnonzero(fit_for[at]) if few else slice(None)
+            start = np.append(0, (d * w).cumsum())  # each predictor's nodes x levels, one after another
+            where = at_cell[mine]
+            key = (slot[at[mine]] * w[:, None] + codes[js[:, None], where] + start[:-1, None]).ravel()
             gl, hl = (np.bincount(key, np.tile(x[mine], len(js)), start[-1]) for x in (g, h))
             for i in np.flatnonzero(is_ordered[js]):
                 for x in (gl, hl):
-                    x[start[i]:start[i + 1]] = x[start[i]:start[i + 1]].reshape(len(able), w[i]).cumsum(1).ravel()
-            own_node = able[np.concatenate([np.repeat(np.arange(len(able)), v) for v in w])]
-            gr, hr = gs[own_node] - gl, hs[own_node] - hl
-            gain = 0.5 * (gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gs**2 / (hs + 1))[own_node])
+                    x[start[i]:start[i + 1]] = x[start[i]:start[i + 1]].reshape(d, w[i]).cumsum(1).ravel()
+            # a level without entries splits like the one before it or not at all: only met levels are compared
+            met = np.zeros(start[-1], bool)
+            met[key] = True
+            met = np.flatnonzero(met)
+            gl, hl = gl[met], hl[met]
+            i = np.repeat(np.arange(len(js)), np.diff(np.searchsorted(met, start)))
+            place, level = np.divmod(met - start[i], w[i])
+            gn, hn = gs[able], hs[able]
+            gr, hr = gn[place] - gl, hn[place] - hl
+            gain = 0.5 * (gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gn**2 / (hn + 1))[place])
             gain[(hl < least) | (hr < least)] = -np.inf
-            for i, j in enumerate(js):
-                table = gain[start[i]:start[i + 1]].reshape(len(able), w[i])
-                top = table.argmax(1)
-                most = table[np.arange(len(able)), top]
-                better = most > most_gain
-                most_gain[better], picked[better, 0], picked[better, 1] = most[better], j, top[better]
-            best[able], split[able] = most_gain, picked
+            most, top = np.full((len(js), d), -np.inf), np.zeros((len(js), d), np.int64)
+            if len(met):
+                group = i * d + place
+                first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                high = np.maximum.reduceat(gain, first)
+                tops = np.flatnonzero(gain == np.repeat(high, np.diff(np.append(first, len(gain)))))
+                most.ravel()[group[first]] = high
+                top.ravel()[group[first]] = level[tops[np.searchsorted(tops, first)]]
+                pick, each = most.argmax(0), np.arange(d)
+                better = np.flatnonzero(most[pick, each] > best[able])
+                pick, to = pick[better], able[better]
+                best[to], split[to, 0], split[to, 1] = most[pick, better], js[pick], top[pick, better]
             np.add.at(gains, split[split[:, 0] >= 0, 0], best[split[:, 0] >= 0])
         own, leaf = -gs / (hs + 1), split[:, 0] < 0
         ends = leaf[here]
@@ -134,33 +148,38 @@ def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.n
     ``gains`` (one place per predictor) receives the gain of all splits, ``trees`` the
     trees' levels (for ``score_cells``).
 
-    Rows of ``codes`` that are equal (a cell met in several folds) share their scores
-    and places in the trees, and only those with rows in the round's sample are summed.
+    Rows of ``codes`` that are equal (a cell met in several folds) are sampled one by
+    one, then their counts are added up: the trees sum and keep one entry a tuple, so
+    the work of a level grows with the distinct tuples, not with the folds.
     """
     rng = np.random.default_rng(seed)
     gains = np.zeros(len(sizes)) if gains is None else gains
     same, of = np.unique(codes, axis=0, return_inverse=True)
     of, k, m = of.ravel(), counts.shape[1], len(same)
+    by_tuple = np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[by_tuple], np.arange(m))
+    merged = lambda x: np.add.reduceat(x[by_tuple], starts, axis=0) if m else x
     wide = np.ascontiguousarray(np.tile(same.T, (1, k)))
-    score, total = np.zeros((m, k)), counts.sum()
-    low, since, done = np.inf, 0, 0
-    share, whole = float(params["sample_size"]), counts.astype(np.int64)
+    whole, every, total = counts.astype(np.int64), merged(counts), counts.sum()
+    score, low, since, done = np.zeros((m, k)), np.inf, 0, 0
+    share, p = float(params["sample_size"]), softmax(score)
     params = {**params, "classes": k}
     for done in range(1, int(params["trees"]) + 1):
-        c = rng.binomial(whole, share) if share < 1 else counts
+        c = merged(rng.binomial(whole, share)) if share < 1 else every
         n = c.sum(1, keepdims=True)
         used = np.flatnonzero(n[:, 0])
-        p, n, c = softmax(score)[of[used]], n[used], c[used]
-        at_cell = (of[used] + m * np.arange(k)[:, None]).ravel()
+        p, n, c = p[used], n[used], c[used]
+        at_cell = (used + m * np.arange(k)[:, None]).ravel()
         levels = None if trees is None else []
         score += float(params["learn_rate"]) * _grow(wide, sizes, ordered, at_cell, (n * p - c).T.ravel(), np.maximum(n * p * (1 - p), 1e-16).T.ravel(), params, rng, gains, levels).T
         if trees is not None:
             trees.append(levels)
-        loss = -(counts * np.log(np.maximum(softmax(score), 1e-15))[of]).sum() / max(total, 1)
+        p = softmax(score)
+        loss = -(every * np.log(np.maximum(p, 1e-15))).sum() / max(total, 1)
         low, since = (loss, 0) if loss < low else (low, since + 1)
         if since >= int(params["stop_iter"]):
             break
-    return softmax(score)[of], done
+    return p[of], done
 
 
 def score_cells(codes: np.ndarray, ordered: list[bool], trees: list, k: int, rate: float) -> np.ndarray:

@@ -36,6 +36,22 @@ def test_cells_equal_rows():
     assert np.abs(p - share).max() < 0.1
 
 
+def test_folds_add_no_entries(monkeypatch):
+    df, seen, grow = _data(), [], B._grow
+    df["fold"] = df.index % 10
+    per = df.groupby(["a", "m", "fold"])["y"].value_counts().unstack(fill_value=0).reset_index()
+    monkeypatch.setattr(B, "_grow", lambda *a: seen.append(len(a[3])) or grow(*a))
+    p, rounds = B.boost(*B.encode(per, ["a", "m"]), per[["1", "2", "3"]].to_numpy(float), SET, 3)
+    x, c = _cells(df)
+    assert len(per) > 5 * len(x) and max(seen) == 3 * len(x)
+    q, again = B.boost(*B.encode(x, ["a", "m"]), c, SET, 3)
+    at = {(a, m): i for i, (a, m) in enumerate(x.itertuples(index=False))}
+    assert rounds == again and np.allclose(p, q[[at[a, m] for a, m in zip(per["a"], per["m"])]])
+    # sampled cell by cell, and the same whatever the order in which equal tuples come
+    sampled, _ = B.boost(*B.encode(per, ["a", "m"]), per[["1", "2", "3"]].to_numpy(float), SET | {"sample_size": 0.5}, 3)
+    assert np.allclose(sampled.sum(1), 1) and max(seen) == 3 * len(x)
+
+
 def test_stops_without_progress():
     x, c = _cells(_data())
     assert B.boost(*B.encode(x, ["a", "m"]), c, SET | {"learn_rate": 0.0, "trees": 500}, 1)[1] == 6
