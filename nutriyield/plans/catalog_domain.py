@@ -380,7 +380,8 @@ def _profile_sql(gill_net: bool) -> dict:
 
 
 def _features(i: Inputs, gill_net: bool):
-    return PR.profile_features(i.kobo_trips, i.rdi, gill_net)
+    mine = F.col("gear") == "gill net"
+    return PR.profile_features(i.kobo_trips_of(mine if gill_net else ~mine), i.rdi, gill_net)
 
 
 def _clustered(i: Inputs, gill_net: bool):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutriyield.operators import composition as C
@@ -79,9 +79,23 @@ class Inputs:
         """Trips of the study window with their nested catch: the one place that nests lineitem."""
         # region fill over all trips (the mode needs every trip of a tracker),
         # then the head-only filters, then nest only the kept orders' lines
-        heads = TR.trip_window(TR.fill_region_by_tracker(D.trip_heads(self.t)),
-                               D.TRIP_START, D.TRIP_END, D.REGIONS)
-        return D.attach_catch(heads, D.trip_catch(self.t, heads))
+        return D.attach_catch(self._window_heads, D.trip_catch(self.t, self._window_heads))
+
+    @cached_property
+    def _window_heads(self) -> DataFrame:
+        return TR.trip_window(TR.fill_region_by_tracker(D.trip_heads(self.t)), D.TRIP_START, D.TRIP_END, D.REGIONS)
+
+    def kobo_trips_of(self, wanted: Column) -> DataFrame:
+        """``kobo_trips`` of the landings with a trip head for which ``wanted`` holds.
+
+        All heads of such a landing stay, as a landing's attributes are chosen among
+        them; the lines of the others are never nested.  The heads are written once:
+        both nesting and the attributes read them."""
+        heads = self._window_heads
+        some = heads.where(wanted).select("landing_id").distinct()
+        heads = cut_lineage(heads.join(some, "landing_id", "left_semi"))
+        trips = D.attach_catch(heads, D.trip_catch(self.t, heads))
+        return TR.trip_yields(trips, D.TRIP_START, D.TRIP_END, D.REGIONS)
 
     @cached_property
     def kobo_trips(self) -> DataFrame:

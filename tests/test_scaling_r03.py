@@ -84,3 +84,29 @@ def test_neighbours_asked_in_small_steps_are_the_same(spark):
     df = spark.createDataFrame(rows, "label string, id string, x double, y double")
     one = sorted(OS.smote(df, "label", ["x", "y"], "id", part_cells=4).collect())
     assert one and one == sorted(OS.smote(df, "label", ["x", "y"], "id", part_cells=4, ask_rows=3).collect())
+
+
+def test_only_lines_of_wanted_landings_are_nested(spark, monkeypatch):
+    from nutriyield.plans import inputs as I
+    # landing 4 has two heads, of which the smaller one in struct order gives the attributes
+    heads = [("1", 1, "gill net", "a"), ("2", 2, "hand line", "a"), ("3", 3, None, "a"), ("4", 4, "gill net", "b"), ("4", 4, "hand line", "a"), (None, 6, "gill net", "a"), ("7", 7, "gill net", None)]
+    frame = spark.createDataFrame(heads, "landing_id string, order_key long, gear string, habitat string").selectExpr(
+        "*", "'t' tracker_imei", "'NATION_1' municipality", "DATE'1997-05-02' landing_date", "1D trip_length", "1 fisher_number_man", "0 fisher_number_woman",
+        "0 fisher_number_child", "20D mesh_size", "'Motor' propulsion_gear", "5D landing_catch_price")
+    fields = ", ".join(f"order_key * 1D {f}" for f in ("catch", *I.TR._LF_FIELDS[1:]))
+    catch = spark.range(1, 9).selectExpr("id order_key").selectExpr("order_key l_orderkey", f"array(struct('x' catch_taxon, array(struct({fields})) length_frequency)) landing_catch")
+    nested = []
+
+    def trip_catch(t, orders=None):
+        nested.append({r["order_key"] for r in orders.select("order_key").collect()})
+        return catch
+
+    monkeypatch.setattr(I.D, "trip_heads", lambda t: frame)
+    monkeypatch.setattr(I.D, "trip_catch", trip_catch)
+    i = I.Inputs(spark, "/nowhere")
+    every = i.kobo_trips.collect()
+    for wanted in (F.col("gear") == "gill net", ~(F.col("gear") == "gill net")):
+        mine = {r for r in i.kobo_trips_of(wanted).collect()}
+        keep = "gill net" if len(nested) == 2 else "hand line"
+        assert {r for r in every if r["gear_type"] == keep} == {r for r in mine if r["gear_type"] == keep} != set()
+    assert nested == [{1, 2, 3, 4, 7}, {1, 4, 7}, {2, 4}]
