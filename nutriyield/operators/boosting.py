@@ -154,8 +154,9 @@ def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.n
     """
     rng = np.random.default_rng(seed)
     gains = np.zeros(len(sizes)) if gains is None else gains
-    same, of = np.unique(codes, axis=0, return_inverse=True)
+    same, first, of = np.unique(codes, axis=0, return_index=True, return_inverse=True)
     of, k, m = of.ravel(), counts.shape[1], len(same)
+    as_met = np.argsort(first)  # sums run in the order of the rows
     by_tuple = np.argsort(of, kind="stable")
     starts = np.searchsorted(of[by_tuple], np.arange(m))
     merged = lambda x: np.add.reduceat(x[by_tuple], starts, axis=0) if m else x
@@ -167,7 +168,7 @@ def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.n
     for done in range(1, int(params["trees"]) + 1):
         c = merged(rng.binomial(whole, share)) if share < 1 else every
         n = c.sum(1, keepdims=True)
-        used = np.flatnonzero(n[:, 0])
+        used = as_met[n[as_met, 0] > 0]
         p, n, c = p[used], n[used], c[used]
         at_cell = (used + m * np.arange(k)[:, None]).ravel()
         levels = None if trees is None else []
@@ -175,7 +176,7 @@ def boost(codes: np.ndarray, sizes: list[int], ordered: list[bool], counts: np.n
         if trees is not None:
             trees.append(levels)
         p = softmax(score)
-        loss = -(every * np.log(np.maximum(p, 1e-15))).sum() / max(total, 1)
+        loss = -(every * np.log(np.maximum(p, 1e-15)))[as_met].sum() / max(total, 1)
         low, since = (loss, 0) if loss < low else (low, since + 1)
         if since >= int(params["stop_iter"]):
             break
